@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.features import with_event_time
 from ledgerlens.functions.scalars import floor_div, label, micros, to_number
-from ledgerlens.operators.scan import MAX_CHUNKS, quantile_edges, segmented_scan
-from ledgerlens.session import hot_key_rows
+from ledgerlens.operators.scan import MAX_CHUNKS, fixed_edges, segmented_scan
+from ledgerlens.session import checkpointed, hot_key_rows
 
 UNITS = {"h": 3_600_000_000, "d": 86_400_000_000}
 MONEY_SCALE = 10_000
@@ -36,6 +36,8 @@ KINDS = [
 ]
 # A sliding maximum re-reads its window; entities above this many rows take the block method.
 MAX_SLIDING_ROWS = 5_000
+# Hot-key lists up to this length are collected and broadcast.
+LISTED_HOT_KEYS = 100_000
 
 
 def window_micros(text: str) -> int:
@@ -85,27 +87,47 @@ def money_units(column: Column) -> Column:
     return F.coalesce(F.round(to_number(column) * MONEY_SCALE).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+@dataclass(frozen=True)
+class HotKeys:
+    """Key values with too many rows for one task, and how many chunks to cut them into."""
+
+    table: DataFrame
+    listed: bool
+    chunks: int
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> HotKeys | None:
     """Key values with more than ``limit`` rows, or None when there are none.
 
-    One map-side-combined count. The list is bounded by ``rows / limit`` entries and comes back as a
-    literal table, so later plans do not repeat the count.
+    One map-side-combined count. A list of up to ``LISTED_HOT_KEYS`` values comes back as a literal
+    table that may be broadcast; a longer one stays a distributed table.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    found = counts.collect()
+    found = counts.limit(LISTED_HOT_KEYS + 1).collect()
     if not found:
         return None
-    return df.sparkSession.createDataFrame(found, counts.schema)
+    if len(found) > LISTED_HOT_KEYS:
+        return HotKeys(counts, False, MAX_CHUNKS)
+    table = df.sparkSession.createDataFrame(found, counts.schema)
+    total = sum(row["_rows"] for row in found)
+    return HotKeys(table, True, max(2, min(MAX_CHUNKS, -(-total // max(1, limit)))))
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> tuple[DataFrame, DataFrame]:
+    """(cold rows, hot rows)."""
+    named = hot.table.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    if hot.listed:
+        named = F.broadcast(named)
+    match = _same([(k, f"_hot_{k}") for k in keys])
+    return df.join(named, match, "left_anti"), df.join(named, match, "left_semi")
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cold rows, hot rows). ``hot`` is the bounded literal table of :func:`hot_keys`."""
-    named = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
-    match = None
-    for k in keys:
-        term = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-        match = term if match is None else match & term
-    return df.join(named, match, "left_anti"), df.join(named, match, "left_semi")
+def _same(pairs: Sequence[tuple[str, str]]) -> Column:
+    """Null-safe equality over column pairs."""
+    match = F.lit(True)
+    for left, right in pairs:
+        match = match & F.col(left).eqNullSafe(F.col(right))
+    return match
 
 
 def _measures(specs: Sequence[Spec]) -> list[str]:
@@ -182,38 +204,65 @@ def _cold(rows: DataFrame, specs: Sequence[Spec], lag: bool, sliding_max: Sequen
 # -- chunked scan for entities too large for one task ------------------------------
 
 
-def _hot(rows: DataFrame, specs: Sequence[Spec], lag: bool, chunks: int) -> DataFrame:
-    """The same ``_p_*`` columns as :func:`_cold`, built from one point per (entity, time)."""
+def _hot(rows: DataFrame, specs: Sequence[Spec], lag: bool, maxima: Sequence[Spec], chunks: int) -> DataFrame:
+    """The columns of :func:`_cold`, computed from one point per (entity, time) and joined back.
+
+    The points are checkpointed: they are read several times and decide the chunk edges.
+    """
     measures = _measures(specs)
-    edges = quantile_edges(rows, "_us", chunks)
     aggregates = [F.sum(f"_{m}").alias(f"_{m}") for m in measures]
-    if lag:
-        aggregates.append(F.min(F.struct("_current", "_ord")).alias("_first_ord"))
-    aggregates.append(F.count(F.lit(1)).alias("_ties"))
-    points = rows.groupBy("_key", "_us").agg(*aggregates)
+    aggregates.append(F.min(F.struct("_current", "_ord")).alias("_first_ord"))
+    if maxima:
+        aggregates.append(F.max("_amt").alias("_peak"))
+    points = checkpointed(rows.groupBy("_key", "_us").agg(*aggregates))
+    edges = fixed_edges(points, "_us", chunks)
 
+    found = points.select(F.col("_key").alias("_pk"), F.col("_us").alias("_origin"), "_first_ord")
+    if specs or lag:
+        found = _attach(found, _prefixes(points, specs, measures, edges))
+    if maxima:
+        found = _attach(found, _block_max(points, maxima, edges))
+    if not lag:
+        found = found.drop("_first_ord")
+    return rows.join(
+        found, F.col("_key").eqNullSafe(F.col("_pk")) & (F.col("_us") == F.col("_origin"))
+    ).drop("_pk", "_origin")
+
+
+def _attach(found: DataFrame, more: DataFrame) -> DataFrame:
+    return found.join(
+        more, F.col("_pk").eqNullSafe(F.col("_mk")) & (F.col("_origin") == F.col("_mo")), "left"
+    ).drop("_mk", "_mo")
+
+
+def _prefixes(points: DataFrame, specs: Sequence[Spec], measures: Sequence[str], edges: Column) -> DataFrame:
+    """Totals strictly before ``t`` and before each ``t - W``, per point.
+
+    Points and look-up marks (one per window) share one scan; marks carry no measure.
+    """
     windows = [0, *sorted({s.micros for s in specs})]
-    zero = {f"_{m}": F.lit(0).cast(dict(points.dtypes)[f"_{m}"]) for m in measures}
-    probes = points.select(
+    types = dict(points.dtypes)
+    none = F.lit(None).cast("bigint")
+    marks = points.select(
         "_key", F.col("_us").alias("_origin"), F.explode(F.array(*map(F.lit, windows))).alias("_w")
     ).select(
         "_key",
         "_origin",
         F.col("_w").cast("bigint").alias("_w"),
         (F.col("_origin") - F.col("_w")).alias("_us"),
-        *[c.alias(n) for n, c in zero.items()],
-        F.lit(None).cast("bigint").alias("_seen"),
+        *[F.lit(0).cast(types[f"_{m}"]).alias(f"_{m}") for m in measures],
+        none.alias("_seen"),
     )
-    marks = points.select(
+    body = points.select(
         "_key",
-        F.lit(None).cast("bigint").alias("_origin"),
-        F.lit(None).cast("bigint").alias("_w"),
+        none.alias("_origin"),
+        none.alias("_w"),
         "_us",
-        *zero,
+        *[f"_{m}" for m in measures],
         F.col("_us").alias("_seen"),
-    ).unionByName(probes)
+    )
     scanned = segmented_scan(
-        marks,
+        body.unionByName(marks),
         ["_key"],
         "_us",
         {f"_q_{m}": f"_{m}" for m in measures},
@@ -227,52 +276,37 @@ def _hot(rows: DataFrame, specs: Sequence[Spec], lag: bool, chunks: int) -> Data
         for w in windows
     ]
     picked.append(F.max(F.when(F.col("_w") == 0, F.col("_q_last"))).alias("_last_us"))
-    prefixes = scanned.groupBy("_key", "_origin").agg(*picked)
-    if lag:
-        firsts = points.select(
-            F.col("_key").alias("_fk"), F.col("_us").alias("_fu"), "_first_ord"
-        )
-        prefixes = prefixes.join(
-            firsts, F.col("_key").eqNullSafe(F.col("_fk")) & (F.col("_origin") == F.col("_fu"))
-        ).drop("_fk", "_fu")
-    prefixes = prefixes.withColumnRenamed("_key", "_pk")
-    return rows.join(
-        prefixes, F.col("_key").eqNullSafe(F.col("_pk")) & (F.col("_us") == F.col("_origin"))
-    ).drop("_pk", "_origin")
+    return scanned.groupBy(F.col("_key").alias("_mk"), F.col("_origin").alias("_mo")).agg(*picked)
 
 
-def _block_max(rows: DataFrame, specs: Sequence[Spec], chunks: int) -> DataFrame:
-    """Sliding maxima for large entities, linear in the rows.
+def _block_max(points: DataFrame, specs: Sequence[Spec], edges: Column) -> DataFrame:
+    """Sliding maxima, linear in the points.
 
     Time is cut into blocks as long as the window. ``[t - W, t)`` is the tail of one block and the
     head of the next, so a suffix maximum and a prefix maximum cover it.
     """
-    edges = quantile_edges(rows, "_us", chunks)
-    points = rows.groupBy("_key", "_us").agg(F.max("_amt").alias("_amt"))
     sizes = F.array(*[F.lit(w).cast("bigint") for w in sorted({s.micros for s in specs})])
-    spread = points.select("_key", "_us", "_amt", F.explode(sizes).alias("_w"))
+    spread = points.select("_key", "_us", "_peak", F.explode(sizes).alias("_w"))
 
-    def placed(df: DataFrame, at: Column, value: Column, origin: Column) -> DataFrame:
-        return df.select(
+    def placed(at: Column, value: Column, origin: Column) -> DataFrame:
+        return spread.select(
             "_key",
             "_w",
             at.alias("_us"),
             ((at - F.pmod(at, F.col("_w"))) / F.col("_w")).cast("bigint").alias("_block"),
-            value.cast("bigint").alias("_amt"),
+            value.cast("bigint").alias("_peak"),
             origin.cast("bigint").alias("_origin"),
         )
 
     none = F.lit(None)
-    body = placed(spread, F.col("_us"), F.col("_amt"), none)
-    head = body.unionByName(placed(spread, F.col("_us"), none, F.col("_us")))
-    tail = body.unionByName(placed(spread, F.col("_us") - F.col("_w"), none, F.col("_us")))
+    body = placed(F.col("_us"), F.col("_peak"), none)
+    heads = body.unionByName(placed(F.col("_us"), none, F.col("_us")))
+    tails = body.unionByName(placed(F.col("_us") - F.col("_w"), none, F.col("_us")))
     segment = ["_key", "_w", "_block"]
-    prefix = segmented_scan(head, segment, "_us", maxes={"_m": "_amt"}, edges=edges, before=True)
-    suffix = segmented_scan(tail, segment, "_us", maxes={"_m": "_amt"}, edges=edges, descending=True)
-    both = prefix.where("_origin IS NOT NULL").select("_key", "_w", "_origin", "_m").unionByName(
-        suffix.where("_origin IS NOT NULL").select("_key", "_w", "_origin", "_m")
-    )
-    best = both.groupBy(F.col("_key").alias("_pk"), "_origin").agg(
+    prefix = segmented_scan(heads, segment, "_us", maxes={"_m": "_peak"}, edges=edges, before=True)
+    suffix = segmented_scan(tails, segment, "_us", maxes={"_m": "_peak"}, edges=edges, descending=True)
+    both = prefix.unionByName(suffix).where("_origin IS NOT NULL")
+    return both.groupBy(F.col("_key").alias("_mk"), F.col("_origin").alias("_mo")).agg(
         *[
             F.coalesce(
                 F.max(F.when(F.col("_w") == s.micros, F.col("_m"))) / float(MONEY_SCALE), F.lit(0.0)
@@ -280,9 +314,6 @@ def _block_max(rows: DataFrame, specs: Sequence[Spec], chunks: int) -> DataFrame
             for s in specs
         ]
     )
-    return rows.join(
-        best, F.col("_key").eqNullSafe(F.col("_pk")) & (F.col("_us") == F.col("_origin"))
-    ).drop("_pk", "_origin")
 
 
 def _outputs(specs: Sequence[Spec]) -> dict[str, Column]:
@@ -324,21 +355,19 @@ def history_features(
         rows = past.unionByName(rows, allowMissingColumns=True)
     rows = _prepare(rows, entity, specs, order_col)
 
-    spark = df.sparkSession
-    limit = hot_key_rows(spark, hot_rows)
+    limit = hot_key_rows(df.sparkSession, hot_rows)
     maxima = [s for s in specs if s.kind == "amount_max"]
     plain = [s for s in specs if s.kind != "amount_max"]
 
-    if maxima:
-        rows = _with_maxima(rows, maxima, min(limit, max_rows or MAX_SLIDING_ROWS))
-    if plain or gap:
-        hot = hot_keys(rows, ["_key"], limit)
+    if specs or gap:
+        window_limit = min(limit, max_rows or MAX_SLIDING_ROWS) if maxima else limit
+        hot = hot_keys(rows, ["_key"], window_limit)
         if hot is None:
-            rows = _cold(rows, plain, gap, ())
+            rows = _cold(rows, plain, gap, maxima)
         else:
             cold, heavy = split_hot(rows, ["_key"], hot)
-            rows = _cold(cold, plain, gap, ()).unionByName(
-                _hot(heavy, plain, gap, _chunks_for(hot, limit)), allowMissingColumns=True
+            rows = _cold(cold, plain, gap, maxima).unionByName(
+                _hot(heavy, plain, gap, maxima, hot.chunks), allowMissingColumns=True
             )
         rows = rows.withColumns(_outputs(plain))
     if gap:
@@ -359,21 +388,6 @@ def history_features(
     return rows.where("_current = 1").select(*kept, *extra)
 
 
-def _chunks_for(hot: DataFrame, limit: int) -> int:
-    total = hot.agg(F.sum("_rows")).first()[0]
-    return max(2, min(MAX_CHUNKS, -(-int(total) // max(1, limit))))
-
-
-def _with_maxima(rows: DataFrame, maxima: Sequence[Spec], limit: int) -> DataFrame:
-    hot = hot_keys(rows, ["_key"], limit)
-    if hot is None:
-        return _cold(rows, (), False, maxima)
-    cold, heavy = split_hot(rows, ["_key"], hot)
-    return _cold(cold, (), False, maxima).unionByName(
-        _block_max(heavy, maxima, _chunks_for(hot, limit))
-    )
-
-
 def _first_visit(rows: DataFrame, merchant: str, limit: int) -> DataFrame:
     """``is_new_merchant``: the first (entity, merchant) row by time, history first, then row order."""
     rows = rows.withColumn("_pos", F.struct("_us", "_current", "_ord"))
@@ -390,11 +404,9 @@ def _first_visit(rows: DataFrame, merchant: str, limit: int) -> DataFrame:
         firsts = heavy.groupBy(F.col("_key").alias("_pk"), F.col(merchant).alias("_pm")).agg(
             F.min("_pos").alias("_first_pos")
         )
-        # One row per hot pair, bounded like the hot list itself.
-        heavy = heavy.join(
-            F.broadcast(firsts),
-            F.col("_key").eqNullSafe(F.col("_pk")) & F.col(merchant).eqNullSafe(F.col("_pm")),
-        ).drop("_pk", "_pm")
+        if hot.listed:
+            firsts = F.broadcast(firsts)  # one row per listed pair
+        heavy = heavy.join(firsts, _same([("_key", "_pk"), (merchant, "_pm")])).drop("_pk", "_pm")
         rows = direct(cold).unionByName(heavy)
     return rows.withColumn("is_new_merchant", (F.col("_pos") == F.col("_first_pos")).cast("int"))
 
@@ -515,7 +527,7 @@ def merchant_rank(
         rows = direct(rows)
     else:
         cold, heavy = split_hot(rows, pair, hot)
-        rows = direct(cold).unionByName(_hot_rank(heavy, pair, _chunks_for(hot, limit)))
+        rows = direct(cold).unionByName(_hot_rank(heavy, pair, hot.chunks))
     return rows.withColumn(
         "is_new_merchant_flag", (F.col("merchant_txn_rank") == 0).cast("int")
     ).drop("_us", "_ord")
@@ -523,21 +535,19 @@ def merchant_rank(
 
 def _hot_rank(rows: DataFrame, pair: list[str], chunks: int) -> DataFrame:
     """Rank = rows at earlier times (scan over times) + rank among equal times (scan over row order)."""
-    points = rows.groupBy(*pair, "_us").agg(F.count(F.lit(1)).alias("_n"))
+    points = checkpointed(rows.groupBy(*pair, "_us").agg(F.count(F.lit(1)).alias("_n")))
     earlier = segmented_scan(
-        points, pair, "_us", {"_before": "_n"}, edges=quantile_edges(rows, "_us", chunks), before=True
+        points, pair, "_us", {"_before": "_n"}, edges=fixed_edges(points, "_us", chunks), before=True
     ).select(*[F.col(c).alias(f"_pt_{c}") for c in pair], F.col("_us").alias("_pt_us"), "_before")
     tied = segmented_scan(
         rows.withColumn("_one", F.lit(1).cast("bigint")),
         [*pair, "_us"],
         "_ord",
         {"_tie_rank": "_one"},
-        edges=quantile_edges(rows, "_ord", chunks),
+        edges=fixed_edges(rows, "_ord", chunks),
         before=True,
     )
-    match = F.col("_us") == F.col("_pt_us")
-    for c in pair:
-        match = match & F.col(c).eqNullSafe(F.col(f"_pt_{c}"))
+    match = _same([("_us", "_pt_us"), *[(c, f"_pt_{c}") for c in pair]])
     return (
         tied.join(earlier, match)
         .withColumn("merchant_txn_rank", (F.col("_before") + F.col("_tie_rank")).cast("bigint"))

@@ -11,10 +11,10 @@ from ledgerlens.functions.features import with_event_time
 from ledgerlens.functions.scalars import label, location_key, to_time, whole_days
 from ledgerlens.operators.scan import (
     chunk_count,
-    chunk_of,
     quantile_edges,
     sampled_edges,
     segmented_scan,
+    with_chunk,
 )
 
 
@@ -296,11 +296,12 @@ def mutual_information(
     all features; a feature's cells are combined with sums only, so no task holds a whole feature.
     """
     columns = [F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in discrete]
-    columns += [
-        chunk_of(F.col(c), quantile_edges(df, c, bins)).cast("string").alias(c) for c in continuous
-    ]
+    binned = df
+    for c in continuous:
+        binned = with_chunk(binned, c, quantile_edges(df, c, bins), f"_bin_{c}")
+    columns += [F.col(f"_bin_{c}").cast("string").alias(c) for c in continuous]
     names = [*discrete, *continuous]
-    long = df.select(_fraud().alias("_y"), *columns).unpivot(["_y"], names, "feature", "value")
+    long = binned.select(_fraud().alias("_y"), *columns).unpivot(["_y"], names, "feature", "value")
     cells = long.groupBy("feature", "value").agg(
         F.sum("_y").alias("_pos"), F.count(F.lit(1)).alias("_all")
     )

@@ -29,6 +29,13 @@ def quantile_edges(df: DataFrame, order: str, chunks: int) -> Column:
     ).scalar()
 
 
+def fixed_edges(df: DataFrame, order: str, chunks: int) -> Column:
+    """The same quantiles computed now and kept as literals (``chunks - 1`` values)."""
+    probabilities = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
+    found = df.select(F.percentile_approx(F.col(order), probabilities, F.lit(10_000))).first()[0]
+    return F.array(*[F.lit(v).cast(dict(df.dtypes)[order]) for v in sorted(set(found or []))])
+
+
 def sampled_edges(values: DataFrame, order: str, chunks: int, sample: int = 4096) -> Column:
     """Scalar array of inner edges for any sortable type, from distinct ``values``.
 
@@ -44,9 +51,14 @@ def sampled_edges(values: DataFrame, order: str, chunks: int, sample: int = 4096
     )
 
 
-def chunk_of(order: Column, edges: Column) -> Column:
-    """Index of the chunk: how many edges are at or below the value (ties share a chunk)."""
-    return F.coalesce(F.size(F.filter(edges, lambda edge: edge <= order)), F.lit(0))
+def with_chunk(df: DataFrame, order: str, edges: Column, name: str = "_chunk") -> DataFrame:
+    """Add the chunk index: how many edges are at or below the value (ties share a chunk)."""
+    below = F.filter(F.col("_edges"), lambda edge: edge <= F.col(order))
+    return (
+        df.withColumn("_edges", edges)
+        .withColumn(name, F.coalesce(F.size(below), F.lit(0)))
+        .drop("_edges")
+    )
 
 
 def segmented_scan(
@@ -69,7 +81,7 @@ def segmented_scan(
     sums, maxes = dict(sums or {}), dict(maxes or {})
     segment = list(segment)
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    chunked = df.withColumn("_chunk", chunk_of(F.col(order), edges))
+    chunked = with_chunk(df, order, edges)
 
     totals = chunked.groupBy(*segment, "_chunk").agg(
         *[F.sum(src).alias(f"_tot_{out}") for out, src in sums.items()],
@@ -126,54 +138,63 @@ def running_total(
 # -- order statistics ----------------------------------------------------------
 
 
-def _narrow(df: DataFrame, value: str, low: int, high: int, rank: int, buckets: int):
-    """One histogram pass: the bucket of [low, high] that holds ``rank``, as (low, high, rank, rows)."""
+Bucket = tuple[int, int, int]
+
+
+def _histogram(df: DataFrame, value: str, low: int, high: int, buckets: int) -> list[Bucket]:
+    """(low, high, rows) of the non-empty equal-width buckets over [low, high], in order."""
     width = max(1, -(-(high - low + 1) // buckets))
-    start = F.lit(low).cast("bigint")
-    offset = F.col(value) - start
     unit = F.lit(width).cast("bigint")
-    bucket = ((offset - F.pmod(offset, unit)) / unit).cast("bigint")
-    rows = (
+    offset = F.col(value) - F.lit(low).cast("bigint")
+    counted = (
         df.where(F.col(value).between(low, high))
-        .groupBy(bucket.alias("b"))
+        .groupBy(((offset - F.pmod(offset, unit)) / unit).cast("bigint").alias("b"))
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy("b")
         .collect()  # at most ``buckets`` rows
     )
-    for b, n in rows:
+    return [(low + b * width, min(high, low + (b + 1) * width - 1), n) for b, n in counted]
+
+
+def _locate(histogram: list[Bucket], rank: int) -> tuple[int, int, int, int]:
+    """The bucket holding ``rank``: (low, high, rank within it, rows in it)."""
+    for low, high, n in histogram:
         if rank < n:
-            return low + b * width, min(high, low + (b + 1) * width - 1), rank, n
+            return low, high, rank, n
         rank -= n
     raise ValueError("rank beyond the end of the table")
 
 
-def nth_key(
+def nth_keys(
     df: DataFrame,
     order: str,
     tie: str,
-    rank: int,
+    ranks: Sequence[int],
     *,
-    bounds: tuple[int, int] | None = None,
     small: int = 50_000,
     buckets: int = 4096,
-) -> tuple[int, int]:
-    """The ``rank``-th (0-based) smallest ``(order, tie)`` pair of two integral columns, exactly.
+) -> list[tuple[int, int]]:
+    """The rows at the given 0-based ranks by ``(order, tie)``, two integral columns; exact.
 
-    Narrows by counting histogram buckets until few rows remain, then takes that row with a top-k
-    query. No full sort, and the driver sees at most ``buckets`` counts per pass.
+    Counts histogram buckets, narrows to the bucket of each rank until at most ``small`` rows remain,
+    then takes the row with a top-k query. Nothing is sorted as a whole, and the driver sees at most
+    ``buckets`` counts per pass.
     """
-    narrow = df.select(order, tie)
-    for column in (order, tie):
-        if bounds is None:
-            low, high = narrow.agg(F.min(column), F.max(column)).first()
-        else:
-            low, high = bounds
-        rows = small + 1
-        while low < high and rows > small:
-            low, high, rank, rows = _narrow(narrow, column, low, high, rank, buckets)
-        narrow = narrow.where(F.col(column).between(low, high))
-        bounds = None
-        if low < high or rows <= small:
-            break
-    found = narrow.orderBy(order, tie).offset(rank).limit(1).first()
-    return found[0], found[1]
+    pairs = df.select(order, tie)
+    low, high = pairs.agg(F.min(order), F.max(order)).first()
+    first_pass = _histogram(pairs, order, low, high, buckets)
+    found = []
+    for rank in ranks:
+        low, high, left, rows = _locate(first_pass, rank)
+        part = pairs
+        for column in (order, tie):
+            if column == tie:
+                low, high = part.agg(F.min(tie), F.max(tie)).first()
+            while rows > small and low < high:
+                low, high, left, rows = _locate(_histogram(part, column, low, high, buckets), left)
+            part = part.where(F.col(column).between(low, high))
+            if rows <= small:
+                break
+        row = part.orderBy(order, tie).offset(left).limit(1).first()
+        found.append((row[0], row[1]))
+    return found

@@ -65,3 +65,18 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             "fraud_probability": F.pmod(F.col("row_key") * 7919, F.lit(1000)) / F.lit(1000.0),
         }
     )
+
+
+EPSILON = 1e-9
+
+
+def rounded_sql(expression: str, digits: int) -> str:
+    """Rounding that ends ties the same way in both engines."""
+    return f"round({expression} + {EPSILON}, {digits})"
+
+
+def rounded(column, digits: int):
+    from pyspark.sql import functions as F
+
+    column = F.col(column) if isinstance(column, str) else column
+    return F.round(column + F.lit(EPSILON), digits)

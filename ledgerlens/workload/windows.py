@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import history as h
-from ledgerlens.workload.registry import register, valid
+from ledgerlens.workload.registry import register, rounded, rounded_sql, valid
 
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
@@ -25,7 +25,7 @@ SUMS_SQL = ", ".join(
     f"round(coalesce(sum(transactionAmount) {frame(hrs)}, 0), 2) AS txn_amount_sum_{name}"
     for name, hrs in (("24h", 24), ("7d", 168))
 )
-MEAN_SQL = f"round(coalesce(avg(transactionAmount) {frame(168)}, 0), 4) AS txn_amount_mean_7d"
+MEAN_SQL = rounded_sql(f"coalesce(avg(transactionAmount) {frame(168)}, 0)", 4) + " AS txn_amount_mean_7d"
 GAP_SQL = "(us - lag(us) OVER (PARTITION BY accountNumber ORDER BY us, row_key))"
 SECS_SQL = f"round(coalesce({GAP_SQL} / CAST(1000000 AS DOUBLE), 0), 6) AS seconds_since_last_txn"
 NEW_SQL = """CAST(row_number() OVER (PARTITION BY accountNumber, merchantName ORDER BY us, row_key) = 1 AS INTEGER)
@@ -40,13 +40,13 @@ def specs(kind):
     return [s for s in h.PIPELINE_SPECS if s.kind == kind]
 
 
-def rounded(df):
+def pipeline_columns(df):
     """The pipeline history columns, rounded as in the SQL."""
     return df.select(
         "row_key",
         *COUNT_COLUMNS,
         *[F.round(c, 2).alias(c) for c in SUM_COLUMNS],
-        F.round("txn_amount_mean_7d", 4).alias("txn_amount_mean_7d"),
+        rounded("txn_amount_mean_7d", 4).alias("txn_amount_mean_7d"),
         F.round("seconds_since_last_txn", 6).alias("seconds_since_last_txn"),
         "is_new_merchant",
     )
@@ -67,7 +67,7 @@ def hist_sums(spark, sf_dir):
 @register("hist_mean_7d", f"SELECT row_key, {MEAN_SQL} FROM valid")
 def hist_mean(spark, sf_dir):
     df = h.history_features(valid(spark, sf_dir), "accountNumber", specs("amount_mean"))
-    return df.select("row_key", F.round("txn_amount_mean_7d", 4).alias("txn_amount_mean_7d"))
+    return df.select("row_key", rounded("txn_amount_mean_7d", 4).alias("txn_amount_mean_7d"))
 
 
 @register("secs_since_last", f"SELECT row_key, {SECS_SQL} FROM valid")
@@ -87,13 +87,13 @@ def is_new_merchant(spark, sf_dir):
 
 @register("hist_pipeline", f"SELECT row_key, {HISTORY_SQL} FROM valid")
 def hist_pipeline(spark, sf_dir):
-    return rounded(h.pipeline_history(valid(spark, sf_dir)))
+    return pipeline_columns(h.pipeline_history(valid(spark, sf_dir)))
 
 
 @register("hist_pipeline_hot_keys", f"SELECT row_key, {HISTORY_SQL} FROM valid")
 def hist_pipeline_hot_keys(spark, sf_dir):
     """The same result with busy accounts split over range chunks."""
-    return rounded(h.pipeline_history(valid(spark, sf_dir), hot_rows=FORCED_HOT_ROWS))
+    return pipeline_columns(h.pipeline_history(valid(spark, sf_dir), hot_rows=FORCED_HOT_ROWS))
 
 
 SPLIT_US = "(SELECT max(us) - 6 * 86400000000 FROM valid)"
@@ -109,23 +109,23 @@ def _parts(df):
 @register("hist_with_lookback", LOOKBACK_SQL.replace("SELECT * FROM", "SELECT * EXCLUDE (us) FROM"))
 def hist_with_lookback(spark, sf_dir):
     past, current = _parts(valid(spark, sf_dir))
-    return rounded(h.pipeline_history(current, lookback=past))
+    return pipeline_columns(h.pipeline_history(current, lookback=past))
 
 
 @register("hist_with_lookback_hot_keys", LOOKBACK_SQL.replace("SELECT * FROM", "SELECT * EXCLUDE (us) FROM"))
 def hist_with_lookback_hot_keys(spark, sf_dir):
     past, current = _parts(valid(spark, sf_dir))
-    return rounded(h.pipeline_history(current, lookback=past, hot_rows=FORCED_HOT_ROWS))
+    return pipeline_columns(h.pipeline_history(current, lookback=past, hot_rows=FORCED_HOT_ROWS))
 
 
 AGGREGATES = {
     "velocity": "CAST(count(*) {f} AS BIGINT)",
     "amount_sum": "round(coalesce(sum(transactionAmount) {f}, 0), 2)",
-    "amount_mean": "round(coalesce(avg(transactionAmount) {f}, 0), 4)",
-    "amount_std": "round(coalesce(stddev_samp(transactionAmount) {f}, 0), 4)",
+    "amount_mean": rounded_sql("coalesce(avg(transactionAmount) {f}, 0)", 4),
+    "amount_std": rounded_sql("coalesce(stddev_samp(transactionAmount) {f}, 0)", 4),
     "amount_max": "round(coalesce(max(transactionAmount) {f}, 0), 2)",
     "total_fraud": "CAST(coalesce(sum(y) {f}, 0) AS BIGINT)",
-    "fraud_rate": "round(coalesce(avg(y) {f}, 0), 6)",
+    "fraud_rate": rounded_sql("coalesce(avg(y) {f}, 0)", 6),
 }
 DIGITS = {"amount_sum": 2, "amount_mean": 4, "amount_std": 4, "amount_max": 2, "fraud_rate": 6}
 HOURS = {"1h": 1, "24h": 24, "48h": 48, "72h": 72, "7D": 168, "14D": 336, "30D": 720, "90D": 2160, "180D": 4320, "365D": 8760}
@@ -145,7 +145,7 @@ def parametric_columns(df, entity, kinds, windows, *extra):
     for k in kinds:
         for w in windows:
             name = f"{k}_{entity}_{w}"
-            out.append(F.round(name, DIGITS[k]).alias(name) if k in DIGITS else F.col(name))
+            out.append((F.round(name, 2) if DIGITS[k] == 2 else rounded(name, DIGITS[k])).alias(name) if k in DIGITS else F.col(name))
     return df.select(*out)
 
 
