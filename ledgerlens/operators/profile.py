@@ -60,7 +60,6 @@ def entity_risk(df: DataFrame, key: Column | str, name: str = "segment") -> Data
     all_frauds, all_amount = totals.getField("frauds"), totals.getField("amount")
     grouped = (
         df.withColumn("_segment", key)
-        .where(F.col("_segment").isNotNull())
         .groupBy(F.col("_segment").alias(name))
         .agg(
             F.count("accountNumber").alias("total_transactions"),
@@ -68,7 +67,10 @@ def entity_risk(df: DataFrame, key: Column | str, name: str = "segment") -> Data
             F.avg(_fraud()).alias("fraud_prob"),
             _fraud_amount().alias("_fraud_amount"),
             F.sum("transactionAmount").alias("_amount"),
+            F.count("_segment").alias("_present"),
         )
+        # A count cannot be pushed below the grouping, where it would repeat the key expression.
+        .where("_present > 0")
     )
 
     def share(part: Column, whole: Column) -> Column:

@@ -195,10 +195,15 @@ def risk_sql(key):
     FROM k WHERE segment IS NOT NULL GROUP BY segment"""
 
 
-def risk_query(name, sql_key, key):
+def risk_query(name, sql_key, key, **prepared):
+    """``prepared`` columns are computed once, below the bucket expression that reads them."""
+
     def run(spark, sf_dir):
+        rows = scored(spark, sf_dir)
+        if prepared:
+            rows = rows.withColumns({n: make() for n, make in prepared.items()})
         return r(
-            profile.entity_risk(scored(spark, sf_dir), key()),
+            profile.entity_risk(rows, key()),
             6,
             "fraud_prob",
             "fraud_prob_cond",
@@ -218,7 +223,8 @@ risk_query(
 risk_query(
     "entity_risk_account_age",
     AGE_BUCKET_SQL.format(AGE_SQL),
-    lambda: s.account_age_bucket(s.whole_days(F.col("event_ts"), s.to_time(F.col("accountOpenDate")))),
+    lambda: s.account_age_bucket(F.col("age_days")),
+    age_days=lambda: s.whole_days(F.col("event_ts"), s.to_time(F.col("accountOpenDate"))),
 )
 risk_query(
     "entity_risk_cross_border",
@@ -229,7 +235,8 @@ risk_query("entity_risk_type", "transactionType", lambda: F.col("transactionType
 risk_query(
     "entity_risk_expiry",
     EXPIRY_BUCKET_SQL.format(MONTHS_SQL),
-    lambda: s.expiry_bucket(s.months_left(s.to_time(F.col("currentExpDate")), F.col("event_ts"))),
+    lambda: s.expiry_bucket(F.col("months")),
+    months=lambda: s.months_left(s.to_time(F.col("currentExpDate")), F.col("event_ts")),
 )
 risk_query(
     "entity_risk_expiry_match",
