@@ -5,19 +5,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import label
 from ledgerlens.schema import ENCODED_ENTITIES
+from ledgerlens.session import checkpointed
 
 
 @dataclass(frozen=True)
 class Encoders:
-    """Fitted rates: a table (entity, value, frauds, rows, rate) and the global rate."""
+    """Fitted rates: a stored table (entity, value, frauds, rows, rate) and the overall counts."""
 
     rates: DataFrame
-    global_rate: Column | float
+    frauds: int
+    rows: int
+
+    @property
+    def global_rate(self) -> float:
+        return self.frauds / self.rows if self.rows else 0.0
+
+    @property
+    def fraud_weight(self) -> float:
+        """Largest class count over fraud count; 1.0 without fraud."""
+        return max(self.frauds, self.rows - self.frauds) / self.frauds if self.frauds else 1.0
 
 
 def encoder_partials(
@@ -47,10 +58,18 @@ def merge_partials(*partials: DataFrame) -> DataFrame:
 def encoder_fit(
     df: DataFrame, entities: Sequence[str] = ENCODED_ENTITIES, target: str = "isFraud"
 ) -> Encoders:
-    """Mean label per value of each entity column, null kept as a value, and overall."""
-    rates = encoder_partials(df, entities, target).withColumn("rate", F.col("frauds") / F.col("rows"))
-    overall = df.select(F.coalesce(F.avg(label(F.col(target))), F.lit(0.0))).scalar()
-    return Encoders(rates, overall)
+    """Mean label per value of each entity column, null kept as a value, and overall.
+
+    One pass over the rows. The rates are checkpointed, so applying them does not read the training
+    rows again.
+    """
+    rates = checkpointed(
+        encoder_partials(df, entities, target).withColumn("rate", F.col("frauds") / F.col("rows"))
+    )
+    frauds, rows = (
+        rates.where(F.col("entity") == entities[0]).agg(F.sum("frauds"), F.sum("rows")).first()
+    )
+    return Encoders(rates, int(frauds or 0), int(rows or 0))
 
 
 def encoder_apply(
@@ -61,7 +80,7 @@ def encoder_apply(
     Unhinted left joins: AQE broadcasts a rate table that is small at run time and splits skewed
     values otherwise.
     """
-    default = F.lit(encoders.global_rate) if isinstance(encoders.global_rate, float) else encoders.global_rate
+    default = F.lit(encoders.global_rate)
     for entity in entities:
         rates = encoders.rates.where(F.col("entity") == entity).select(
             F.col("value").alias("_value"), F.col("rate").alias("_rate")

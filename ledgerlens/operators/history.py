@@ -34,6 +34,8 @@ KINDS = [
     "total_fraud",
     "fraud_rate",
 ]
+# Order of an entity's rows: time, history before current, then row order.
+POSITION = "struct(_us, _current, _ord)"
 # A sliding maximum re-reads its window; entities above this many rows take the block method.
 MAX_SLIDING_ROWS = 5_000
 # Hot-key lists up to this length are collected and broadcast.
@@ -178,7 +180,9 @@ def _prepare(df: DataFrame, entity: str, specs: Sequence[Spec], order_col: str |
 # -- direct windows: one exchange and one sort per entity --------------------------
 
 
-def _cold(rows: DataFrame, specs: Sequence[Spec], lag: bool, sliding_max: Sequence[Spec]) -> DataFrame:
+def _cold(
+    rows: DataFrame, specs: Sequence[Spec], lag: bool, sliding_max: Sequence[Spec], merchant: str | None
+) -> DataFrame:
     by_time = Window.partitionBy("_key").orderBy("_us")
     before = by_time.rangeBetween(Window.unboundedPreceding, -1)
     measures = _measures(specs)
@@ -198,17 +202,36 @@ def _cold(rows: DataFrame, specs: Sequence[Spec], lag: bool, sliding_max: Sequen
         frames[s.name] = F.coalesce(
             F.max("_amt").over(by_time.rangeBetween(-s.micros, -1)) / float(MONEY_SCALE), F.lit(0.0)
         )
-    return rows.withColumns(frames) if frames else rows
+    rows = rows.withColumns(frames) if frames else rows
+    if merchant:
+        # Hashing by entity already satisfies this partitioning: one more sort, no exchange.
+        visits = Window.partitionBy("_key", merchant)
+        rows = rows.withColumn("_first_pos", F.min(F.expr(POSITION)).over(visits))
+    return rows
 
 
 # -- chunked scan for entities too large for one task ------------------------------
 
 
-def _hot(rows: DataFrame, specs: Sequence[Spec], lag: bool, maxima: Sequence[Spec], chunks: int) -> DataFrame:
+def _hot(
+    rows: DataFrame,
+    specs: Sequence[Spec],
+    lag: bool,
+    maxima: Sequence[Spec],
+    merchant: str | None,
+    chunks: int,
+) -> DataFrame:
     """The columns of :func:`_cold`, computed from one point per (entity, time) and joined back.
 
     The points are checkpointed: they are read several times and decide the chunk edges.
     """
+    if merchant:
+        firsts = rows.groupBy(F.col("_key").alias("_pk"), F.col(merchant).alias("_pm")).agg(
+            F.min(F.expr(POSITION)).alias("_first_pos")
+        )
+        rows = rows.join(firsts, _same([("_key", "_pk"), (merchant, "_pm")])).drop("_pk", "_pm")
+    if not (specs or lag or maxima):
+        return rows
     measures = _measures(specs)
     aggregates = [F.sum(f"_{m}").alias(f"_{m}") for m in measures]
     aggregates.append(F.min(F.struct("_current", "_ord")).alias("_first_ord"))
@@ -359,17 +382,18 @@ def history_features(
     maxima = [s for s in specs if s.kind == "amount_max"]
     plain = [s for s in specs if s.kind != "amount_max"]
 
-    if specs or gap:
-        window_limit = min(limit, max_rows or MAX_SLIDING_ROWS) if maxima else limit
-        hot = hot_keys(rows, ["_key"], window_limit)
-        if hot is None:
-            rows = _cold(rows, plain, gap, maxima)
-        else:
-            cold, heavy = split_hot(rows, ["_key"], hot)
-            rows = _cold(cold, plain, gap, maxima).unionByName(
-                _hot(heavy, plain, gap, maxima, hot.chunks), allowMissingColumns=True
-            )
-        rows = rows.withColumns(_outputs(plain))
+    merchant = "merchantName" if new_merchant else None
+    if maxima:
+        limit = min(limit, max_rows or MAX_SLIDING_ROWS)
+    hot = hot_keys(rows, ["_key"], limit)
+    if hot is None:
+        rows = _cold(rows, plain, gap, maxima, merchant)
+    else:
+        cold, heavy = split_hot(rows, ["_key"], hot)
+        rows = _cold(cold, plain, gap, maxima, merchant).unionByName(
+            _hot(heavy, plain, gap, maxima, merchant, hot.chunks), allowMissingColumns=True
+        )
+    rows = rows.withColumns(_outputs(plain)) if plain else rows
     if gap:
         # The first row of a tie group is measured from the last earlier time; the others from it.
         leads = F.col("_first_ord") == F.struct("_current", "_ord")
@@ -378,7 +402,8 @@ def history_features(
             F.when(~leads, F.lit(0).cast("bigint")).otherwise(F.col("_us") - F.col("_last_us")),
         )
     if new_merchant:
-        rows = _first_visit(rows, "merchantName", limit)
+        first = F.expr(POSITION) == F.col("_first_pos")
+        rows = rows.withColumn("is_new_merchant", first.cast("int"))
     extra = [s.name for s in specs]
     extra += ["_gap_us"] if gap else []
     extra += ["is_new_merchant"] if new_merchant else []
@@ -388,29 +413,6 @@ def history_features(
     return rows.where("_current = 1").select(*kept, *extra)
 
 
-def _first_visit(rows: DataFrame, merchant: str, limit: int) -> DataFrame:
-    """``is_new_merchant``: the first (entity, merchant) row by time, history first, then row order."""
-    rows = rows.withColumn("_pos", F.struct("_us", "_current", "_ord"))
-    pair = ["_key", merchant]
-
-    def direct(df: DataFrame) -> DataFrame:
-        return df.withColumn("_first_pos", F.min("_pos").over(Window.partitionBy(*pair)))
-
-    hot = hot_keys(rows, pair, limit)
-    if hot is None:
-        rows = direct(rows)
-    else:
-        cold, heavy = split_hot(rows, pair, hot)
-        firsts = heavy.groupBy(F.col("_key").alias("_pk"), F.col(merchant).alias("_pm")).agg(
-            F.min("_pos").alias("_first_pos")
-        )
-        if hot.listed:
-            firsts = F.broadcast(firsts)  # one row per listed pair
-        heavy = heavy.join(firsts, _same([("_key", "_pk"), (merchant, "_pm")])).drop("_pk", "_pm")
-        rows = direct(cold).unionByName(heavy)
-    return rows.withColumn("is_new_merchant", (F.col("_pos") == F.col("_first_pos")).cast("int"))
-
-
 # -- the feature-pipeline step and the wider notebook-style builders ---------------
 
 

@@ -41,33 +41,36 @@ def ratio_cut(rows: DataFrame, total: int, ratio: float) -> tuple[int, int] | No
     return nth_keys(rows, "_us", "_ord", [position])[0]
 
 
-def chrono_split(
+def chrono_flag(
     df: DataFrame,
     test_days: int = 60,
     train_ratio: float = 0.8,
     order_col: str | None = "row_key",
-) -> tuple[DataFrame, DataFrame]:
-    """(train, test): the last ``test_days`` are the test; by ratio when that leaves a side empty."""
+) -> DataFrame:
+    """Add ``is_test``: 1 in the last ``test_days``; by ratio when that would leave a side empty.
+
+    A plain filter and projection over the input. Rows with an unreadable time belong to neither
+    side of a dated split and come last in a split by ratio.
+    """
     rows = _keyed(df, order_col)
     known = F.col("_us") < LAST
     low, high, total = rows.agg(
         F.min(F.when(known, F.col("_us"))), F.max(F.when(known, F.col("_us"))), F.count(F.lit(1))
     ).first()
-    if total == 0:
-        return df, df
-    helpers = ("_us", "_ord")
-    if high is not None:
-        cutoff = high - test_days * 86_400_000_000
-        if low < cutoff:
-            dated = rows.where(known)
-            return (
-                dated.where(F.col("_us") < cutoff).drop(*helpers),
-                dated.where(F.col("_us") >= cutoff).drop(*helpers),
-            )
-    cut = ratio_cut(rows, total, train_ratio)
-    if cut is None:
-        return rows.drop(*helpers), rows.where(F.lit(False)).drop(*helpers)
-    return rows.where(~_from(cut)).drop(*helpers), rows.where(_from(cut)).drop(*helpers)
+    cutoff = None if high is None else high - test_days * 86_400_000_000
+    if cutoff is not None and low < cutoff:
+        rows, late = rows.where(known), F.col("_us") >= cutoff
+    else:
+        cut = ratio_cut(rows, total, train_ratio) if total else None
+        late = F.lit(False) if cut is None else _from(cut)
+    return rows.withColumn("is_test", late.cast("int")).drop("_us", "_ord")
+
+
+def chrono_split(df: DataFrame, *args, **options) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by :func:`chrono_flag`."""
+    flagged = chrono_flag(df, *args, **options)
+    train, test = (flagged.where(F.col("is_test") == side).drop("is_test") for side in (0, 1))
+    return train, test
 
 
 def time_series_folds(df: DataFrame, k: int, order_col: str | None = "row_key") -> DataFrame:

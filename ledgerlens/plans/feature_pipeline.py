@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import features as local
 from ledgerlens.functions.quality import normalize_label, validate
-from ledgerlens.operators.encoding import Encoders, class_weights, encoder_apply, encoder_fit
+from ledgerlens.operators.encoding import Encoders, encoder_apply, encoder_fit
 from ledgerlens.operators.history import pipeline_history
-from ledgerlens.operators.split import chrono_split
+from ledgerlens.operators.split import chrono_flag
 from ledgerlens.schema import sanitize_columns
 
 Step = Callable[[DataFrame, DataFrame | None], DataFrame]
@@ -66,22 +66,27 @@ class FeaturePipeline:
         self, raw: DataFrame, lookback: DataFrame | None = None, with_class_weights: bool = False
     ) -> DataFrame:
         features = self.fit(raw).transform(raw, lookback)
-        return class_weights(features, self.label_column) if with_class_weights else features
+        if not with_class_weights:
+            return features
+        weight = F.when(F.col(self.label_column) == 1, self.encoders.fraud_weight).otherwise(1.0)
+        return features.withColumn("class_weight", weight)
 
     def save(self, path: str) -> None:
         spark = self.encoders.rates.sparkSession
-        rate = self.encoders.global_rate
-        if not isinstance(rate, float):
-            rate = spark.range(1).select(rate).first()[0]
         self.encoders.rates.write.mode("overwrite").parquet(f"{path}/rates")
-        facts = json.dumps({"global_rate": rate, "label_column": self.label_column})
-        spark.createDataFrame([(facts,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+        facts = {
+            "label_column": self.label_column,
+            "frauds": self.encoders.frauds,
+            "rows": self.encoders.rows,
+        }
+        text = spark.createDataFrame([(json.dumps(facts),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(f"{path}/facts")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FeaturePipeline:
         facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
         rates = spark.read.parquet(f"{path}/rates")
-        return cls(facts["label_column"], Encoders(rates, float(facts["global_rate"])))
+        return cls(facts["label_column"], Encoders(rates, facts["frauds"], facts["rows"]))
 
 
 def train_test_features(
@@ -93,8 +98,7 @@ def train_test_features(
     rows their own past and test rows the train rows before them.
     """
     pipeline = FeaturePipeline()
-    cleaned = pipeline.clean(raw)
-    train, test = chrono_split(cleaned, test_days, train_ratio)
+    both = chrono_flag(pipeline.clean(raw), test_days, train_ratio)
+    train = both.where(F.col("is_test") == 0)
     pipeline.encoders = encoder_fit(local.normalize_types(train), target=pipeline.label_column)
-    both = train.withColumn("is_test", F.lit(0)).unionByName(test.withColumn("is_test", F.lit(1)))
     return encoder_apply(derive(both, None, pipeline.steps), pipeline.encoders), pipeline

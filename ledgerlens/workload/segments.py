@@ -44,7 +44,7 @@ def encoder_fit(spark, sf_dir):
         "value",
         rounded("rate", 6).alias("rate"),
         "rows",
-        rounded(fitted.global_rate, 6).alias("global_rate"),
+        rounded(F.lit(fitted.global_rate), 6).alias("global_rate"),
     )
 
 
