@@ -83,6 +83,30 @@ def fit_model(
     return FraudModel(name, preprocessor, _estimator(name, params, seed).fit(_trainable(train, preprocessor)))
 
 
+def fit_models(
+    train: DataFrame,
+    names: Sequence[str],
+    seed: int = 42,
+    extra_numeric: Sequence[str] = (),
+    **params: Any,
+) -> dict[str, FraudModel]:
+    """Fit several components on one preprocessed table."""
+    preprocessor = fit_preprocessor(train, numeric=[*NUMERIC_FEATURES, *extra_numeric])
+    ready = checkpointed(_trainable(train, preprocessor))
+    return {n: FraudModel(n, preprocessor, _estimator(n, params, seed).fit(ready)) for n in names}
+
+
+def score_models(models: dict[str, FraudModel], df: DataFrame) -> DataFrame:
+    """Add ``{name}_score`` of models that share a preprocessor, preprocessing once."""
+    ready = next(iter(models.values())).preprocessor.transform(df)
+    for name, model in models.items():
+        scored = model.classifier.transform(ready)
+        ready = scored.withColumn(f"{name}_score", vector_to_array("probability")[1]).drop(
+            "rawPrediction", "probability", "prediction"
+        )
+    return ready.drop("features")
+
+
 # -- model selection -----------------------------------------------------------
 
 
@@ -180,9 +204,9 @@ class StackedModel:
     meta: Any
 
     def transform(self, df: DataFrame, output: str = "fraud_probability") -> DataFrame:
-        for name, model in {**self.anomaly, **self.boosters}.items():
+        for name, model in self.anomaly.items():
             df = model.transform(df, f"{name}_score")
-        return self.meta.transform(df, output)
+        return self.meta.transform(score_models(self.boosters, df), output)
 
 
 STACK_ANOMALY = ["isolation_forest", "one_class_svm", "autoencoder", "tabtransformer"]
@@ -210,11 +234,9 @@ def fit_stacked(
     staged = checkpointed(staged)
     if out_of_fold:
         held = oof_scores(staged, STACK_BOOSTERS, k, seed, columns, **params)
-    boosters = {n: fit_model(staged, n, seed, columns, **params) for n in STACK_BOOSTERS}
+    boosters = fit_models(staged, STACK_BOOSTERS, seed, columns, **params)
     if not out_of_fold:
-        held = staged
-        for name, model in boosters.items():
-            held = model.transform(held, f"{name}_score")
+        held = score_models(boosters, staged)
     return StackedModel(anomaly, boosters, fit_meta(held, [f"{n}_score" for n in boosters]))
 
 
@@ -231,8 +253,7 @@ def oof_scores(
     out = None
     for i in range(1, k + 1):
         fit_part, held = fold_parts(folded, i)
-        for name in names:
-            held = fit_model(fit_part, name, seed, extra_numeric, **params).transform(held, f"{name}_score")
+        held = score_models(fit_models(fit_part, names, seed, extra_numeric, **params), held)
         out = held if out is None else out.unionByName(held)
     return out
 
@@ -242,7 +263,7 @@ def fit_stacking_oof(
 ) -> StackedModel:
     """Out-of-fold predictions of base models feed a linear meta model."""
     held = checkpointed(oof_scores(train, names, k, **params))
-    base = {n: fit_model(train, n, **params) for n in names}
+    base = fit_models(train, names, **params)
     return StackedModel({}, base, fit_meta(held, [f"{n}_score" for n in names]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HOT_ROWS_KEY = "spark.ledgerlens.hotKeyRows"
 HOT_ROWS_DEFAULT = 1_000_000
@@ -53,9 +53,12 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df):
-    """Cut lineage through the shared folder (reliable checkpoint, survives executor loss)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows below the shared folder and read them back.
+
+    A written table survives executor loss, is column-pruned when read again, and gives the planner
+    its real size.
+    """
+    path = work_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

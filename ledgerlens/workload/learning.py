@@ -10,12 +10,13 @@ from ledgerlens.models.preprocess import fit_preprocessor
 from ledgerlens.models.reconstruction import fit_reconstruction
 from ledgerlens.models.registry import available_components
 from ledgerlens.operators import metrics as m
+from ledgerlens.operators import resample
 from ledgerlens.operators.split import calibration_split
 from ledgerlens.plans.feature_pipeline import FeaturePipeline, train_test_features
 from ledgerlens.plans.scoring import score_batch, score_frame
 from ledgerlens.schema import NUMERIC_FEATURES
 from ledgerlens.session import checkpointed, work_dir
-from ledgerlens.workload.registry import coerced, raw, register
+from ledgerlens.workload.registry import coerced, raw, register, scored
 
 SMALL = {"num_trees": 5, "max_depth": 4}
 SCORED = ["row_key", "isFraud", "fraud_probability", "prediction", "risk_band"]
@@ -157,3 +158,17 @@ def model_metrics(spark, sf_dir):
     scored = score_frame(t.fit_model(train, "random_forest", **SMALL), test, 0.5)
     row = m.collect_metrics(scored, 0.5)
     return row.withColumn("passed", (F.col("auc_pr") >= 0.20) & (F.col("recall") >= 0.65))
+
+
+NEAR_COLUMNS = ["transactionAmount", "availableMoney", "creditLimit", "currentBalance"]
+
+
+@register("smote")
+def smote(spark, sf_dir):
+    """Fraud raised to 20 % of legitimate rows."""
+    return resample.smote(scored(spark, sf_dir), NEAR_COLUMNS, ratio=0.2)
+
+
+@register("tomek_links")
+def tomek_links(spark, sf_dir):
+    return resample.drop_tomek(scored(spark, sf_dir), NEAR_COLUMNS).select("row_key", "isFraud")
