@@ -9,14 +9,15 @@ from ledgerlens.models.isolation import fit_isolation_forest
 from ledgerlens.models.preprocess import fit_preprocessor
 from ledgerlens.models.reconstruction import fit_reconstruction
 from ledgerlens.models.registry import available_components
+from ledgerlens.operators import explain as x
 from ledgerlens.operators import metrics as m
 from ledgerlens.operators import resample
-from ledgerlens.operators.split import calibration_split
+from ledgerlens.operators.split import background_sample, calibration_split
 from ledgerlens.plans.feature_pipeline import FeaturePipeline, train_test_features
 from ledgerlens.plans.scoring import score_batch, score_frame
-from ledgerlens.schema import NUMERIC_FEATURES
+from ledgerlens.schema import FEATURE_COLUMNS, NUMERIC_FEATURES
 from ledgerlens.session import checkpointed, work_dir
-from ledgerlens.workload.registry import coerced, raw, register, scored
+from ledgerlens.workload.registry import coerced, raw, register, rounded, rounded_sql, scored
 
 SMALL = {"num_trees": 5, "max_depth": 4}
 SCORED = ["row_key", "isFraud", "fraud_probability", "prediction", "risk_band"]
@@ -172,3 +173,82 @@ def smote(spark, sf_dir):
 @register("tomek_links")
 def tomek_links(spark, sf_dir):
     return resample.drop_tomek(scored(spark, sf_dir), NEAR_COLUMNS).select("row_key", "isFraud")
+
+
+WEIGHTS = {"transactionAmount": 0.01, "availableMoney": -0.001, "creditLimit": 0.0005, "currentBalance": 0.0002}
+LINEAR_SQL = " UNION ALL ".join(
+    f"SELECT row_key, '{c}' AS feature, ({c} - (SELECT avg({c}) FROM valid)) * {w} AS v FROM valid"
+    for c, w in WEIGHTS.items()
+)
+
+
+@register(
+    "contributions_linear",
+    f"""WITH c AS ({LINEAR_SQL})
+    SELECT row_key, feature, {rounded_sql('v', 6)} AS value, CASE WHEN v > 0 THEN 'fraud' ELSE 'legit' END AS direction FROM c""",
+)
+def contributions_linear(spark, sf_dir):
+    """Fixed weights against the table's means: every contribution of every row."""
+    df = scored(spark, sf_dir)
+    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in WEIGHTS])).scalar()
+    out = x.linear_contributions(df, WEIGHTS, {c: means.getField(c) for c in WEIGHTS})
+    return out.select("row_key", "feature", rounded("value", 6).alias("value"), "direction")
+
+
+EXPLAINED = ["merchantCategoryCode", "transactionAmount", "utilization", "pos_risk_tier", "cvv_mismatch", "txn_hour"]
+
+
+def alerts(spark, sf_dir):
+    """(model, alert rows, background): the held-out rows a small forest scores highest."""
+    train, test, _ = prepared(spark, sf_dir)
+    model = t.fit_model(train, "random_forest", **SMALL)
+    flagged = checkpointed(score_frame(model, test, 0.6).where("risk_band = 'critical'"))
+    background = checkpointed(background_sample(train, FEATURE_COLUMNS, 10))
+    return model, flagged, background
+
+
+@register("contributions")
+def contributions(spark, sf_dir):
+    """Exact per-feature contributions of a trained linear model, all held-out rows."""
+    train, test, _ = prepared(spark, sf_dir)
+    model = t.fit_model(train, "logistic_regression", max_iter=20)
+    out = x.model_linear_contributions(model, test, background_sample(train, FEATURE_COLUMNS))
+    return out.select("row_key", "feature", "value", "direction")
+
+
+@register("contributions_sampled")
+def contributions_sampled(spark, sf_dir):
+    model, flagged, background = alerts(spark, sf_dir)
+    return x.sampled_contributions(model, flagged, background, EXPLAINED).select(
+        "row_key", "feature", "value", "direction"
+    )
+
+
+@register("local_surrogate")
+def surrogate(spark, sf_dir):
+    model, flagged, background = alerts(spark, sf_dir)
+    return x.local_surrogate(model, flagged, background, EXPLAINED, samples=60).select(
+        "row_key", "feature", "label", "value", "direction"
+    )
+
+
+@register("global_importance")
+def importance(spark, sf_dir):
+    model, flagged, background = alerts(spark, sf_dir)
+    return x.global_importance(x.sampled_contributions(model, flagged, background, EXPLAINED))
+
+
+@register("explain_frame")
+def explain(spark, sf_dir):
+    model, flagged, background = alerts(spark, sf_dir)
+    parts = x.sampled_contributions(model, flagged, background, EXPLAINED).unionByName(
+        x.local_surrogate(model, flagged, background, EXPLAINED, samples=60)
+    )
+    out = x.explain_frame(flagged, parts)
+    return out.select(
+        "row_key",
+        "risk_band",
+        F.array_join("top_reasons", "; ").alias("top_reasons"),
+        F.array_join("explanation_methods", ",").alias("methods"),
+        F.size("feature_contributions").alias("contributions"),
+    )
