@@ -77,11 +77,17 @@ class FeatureStore:
         newest = with_event_time(self.read().where(F.col("accountNumber") == account))
         return newest.orderBy(F.col("event_ts").desc(), *_tie(newest)).limit(limit)
 
-    def recent_history_all(self, limit: int = 500) -> DataFrame:
-        """The newest rows of every account. Tasks keep only their top rows before the shuffle."""
+    def recent_history_all(self, limit: int = 500, exclude: str | None = None) -> DataFrame:
+        """The newest rows of every account. Tasks keep only their top rows before the shuffle.
+
+        ``exclude`` leaves out one ingest batch (its partitions are not read).
+        """
         if self.columns() is None:
             return self.spark.createDataFrame([], transaction_schema())
-        rows = with_event_time(self.read())
+        stored = self.spark.read.parquet(self.path)
+        if exclude is not None:
+            stored = stored.where(F.col("ingest_batch") != exclude)
+        rows = with_event_time(stored.drop(*LAYOUT))
         newest = Window.partitionBy("accountNumber").orderBy(F.col("event_ts").desc(), *_tie(rows))
         return rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit).drop("_n")
 
