@@ -16,8 +16,9 @@ from ledgerlens.plans.scoring import ALERT_THRESHOLD, score_frame
 from ledgerlens.session import checkpointed
 from ledgerlens.sources.sinks import write_alerts, write_scored
 from ledgerlens.sources.store import FeatureStore
-from ledgerlens.streaming.velocity import VELOCITY_COLUMNS, velocity
+from ledgerlens.streaming.velocity import STATE, VELOCITY_COLUMNS, velocity
 
+STATE_LATENESS = "30 days"
 # Declared monitoring window, slide and lateness.
 MONITOR_WINDOW, MONITOR_SLIDE, WATERMARK = "5 minutes", "1 minute", "2 minutes"
 
@@ -101,17 +102,18 @@ def monitor(scored: DataFrame) -> DataFrame:
 def velocity_stream(stream: DataFrame, key: str = "accountNumber", order: str = "row_key") -> DataFrame:
     """Per-account counts and sums over the state of the last 30 days, as rows arrive.
 
-    Equals the batch history when rows arrive in time order. A row older than its account's newest
-    stored time counts only the earlier rows that are still in state.
+    Equals the batch history when rows arrive in time order. A late row counts the earlier rows that
+    are still in state; rows more than ``STATE_LATENESS`` late are dropped.
     """
-    rows = validate(stream).select(
+    rows = validate(stream).withWatermark("event_ts", STATE_LATENESS).select(
+        "event_ts",
         F.col(key).alias("account"),
         F.col(order).cast("bigint").alias("row_key"),
         F.unix_micros("event_ts").alias("us"),
         F.round(F.col("transactionAmount") * 10_000).cast("bigint").alias("units"),
     )
-    return rows.groupBy("account").transformWithStateInPandas(
-        velocity(), outputStructType=VELOCITY_COLUMNS, outputMode="Append", timeMode="ProcessingTime"
+    return rows.groupBy("account").applyInPandasWithState(
+        velocity, VELOCITY_COLUMNS, STATE, "append", "EventTimeTimeout"
     )
 
 

@@ -6,8 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 HOUR = 3_600_000_000
 COUNT_WINDOWS = {"24h": 24 * HOUR, "48h": 48 * HOUR, "7d": 168 * HOUR, "30d": 720 * HOUR}
@@ -19,13 +18,8 @@ VELOCITY_COLUMNS = ", ".join(
     + [f"txn_count_{w} bigint" for w in COUNT_WINDOWS]
     + [f"txn_amount_sum_{w} double" for w in SUM_WINDOWS]
 )
-STATE = T.StructType(
-    [
-        T.StructField("us", T.LongType()),
-        T.StructField("rows", T.LongType()),
-        T.StructField("units", T.LongType()),
-    ]
-)
+POINT = ["us", "rows", "units"]
+STATE = "us array<bigint>, rows array<bigint>, units array<bigint>"
 
 
 def before(times: np.ndarray, at: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -46,27 +40,21 @@ def windowed(points: pd.DataFrame, us: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-class Velocity(StatefulProcessor):
+def velocity(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State: one (time, rows, units) point per distinct time in the last 30 days of the account."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.points = handle.getListState("points", STATE, ttlDurationMs=TTL_MILLIS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows, ignore_index=True)
-        new = batch.groupby("us", as_index=False).agg(rows=("us", "size"), units=("units", "sum"))
-        old = pd.DataFrame(list(self.points.get()) if self.points.exists() else [], columns=["us", "rows", "units"])
-        merged = pd.concat([old, new], ignore_index=True).astype("int64").groupby("us", as_index=False).sum()
-        out = pd.DataFrame(windowed(merged, batch["us"].to_numpy()))
-        out.insert(0, "row_key", batch["row_key"])
-        out.insert(1, "account", key[0])
-        fresh = merged[merged["us"] >= merged["us"].max() - RETAIN]
-        self.points.put([tuple(int(v) for v in row) for row in fresh.itertuples(index=False)])
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def velocity() -> Velocity:
-    return Velocity()
+    if state.hasTimedOut:
+        state.remove()
+        return
+    batch = pd.concat(batches, ignore_index=True)
+    new = batch.groupby("us", as_index=False).agg(rows=("us", "size"), units=("units", "sum"))
+    if state.exists:
+        old = pd.DataFrame(dict(zip(POINT, map(list, state.get))))
+        new = pd.concat([old, new], ignore_index=True).astype("int64").groupby("us", as_index=False).sum()
+    out = pd.DataFrame(windowed(new, batch["us"].to_numpy()))
+    out.insert(0, "row_key", batch["row_key"])
+    out.insert(1, "account", key[0])
+    fresh = new[new["us"] >= new["us"].max() - RETAIN]
+    state.update(tuple([int(v) for v in fresh[c]] for c in POINT))
+    # Idle accounts leave the state once the watermark has passed their last window.
+    state.setTimeoutTimestamp(int(new["us"].max()) // 1000 + TTL_MILLIS)
+    yield out

@@ -18,8 +18,6 @@ from ledgerlens.workload.learning import SMALL, prepared
 from ledgerlens.workload.registry import coerced, raw, register, rounded, rounded_sql
 from ledgerlens.workload.windows import COUNT_COLUMNS, COUNTS_SQL, SUM_COLUMNS, SUMS_SQL
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def event_stream(spark, sf_dir):
     """The events table as a stream of coerced transactions."""
@@ -78,7 +76,6 @@ def stream_monitor(spark, sf_dir):
 @register("stream_history", f"SELECT row_key, {COUNTS_SQL}, {SUMS_SQL} FROM valid")
 def stream_history(spark, sf_dir):
     """Stateful velocity over the stream equals the batch windows."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out = drained(spark, jobs.velocity_stream(event_stream(spark, sf_dir)))
     return out.select("row_key", *COUNT_COLUMNS, *[F.round(c, 2).alias(c) for c in SUM_COLUMNS])
 
