@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -49,7 +49,7 @@ class FeatureStore:
         missing = [c for c in stored if c not in features.columns]
         if missing:
             raise ValueError(f"features lack stored columns: {', '.join(missing)}")
-        return self._save(features.select(*stored), batch or uuid.uuid4().hex, replace=False)
+        return self._save(features.select(*stored), batch or f"append-{uuid.uuid4().hex}", replace=False)
 
     def _save(self, features: DataFrame, batch: str, replace: bool) -> int:
         if features.isEmpty():
@@ -59,16 +59,16 @@ class FeatureStore:
             if "event_ts" in features.columns
             else F.to_date(F.try_to_timestamp("transactionDateTime"))
         )
-        counted = Observation()
         rows = features.withColumns({"event_date": day, "ingest_batch": F.lit(batch)})
         (
-            rows.observe(counted, F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite")
+            rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "static" if replace else "dynamic")
             .partitionBy(*LAYOUT)
             .parquet(self.path)
         )
-        return counted.get["rows"]
+        # Counted from the footers of the partitions just written.
+        written = self.spark.read.parquet(self.path).where(F.col("ingest_batch") == batch)
+        return written.count()
 
     def recent_history(self, account: str, limit: int = 500) -> DataFrame:
         """The newest rows of one account; an absent table is empty."""
