@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def weights(n: int, salt: int) -> np.ndarray:
     """``n`` odd 64-bit multipliers that depend on ``salt`` alone."""
-    start = np.uint64(salt) * np.uint64(0xA24BAED4963EE407)
+    start = np.uint64(salt * 0xA24BAED4963EE407 % (1 << 64))
     return mix(start + np.arange(1, n + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 
 
