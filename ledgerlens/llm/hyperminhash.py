@@ -10,12 +10,12 @@ the probability of their Jaccard similarity, for short texts too.
 2. ``rows`` registers at a time are hashed as a band. In every bucket of equal bands the smallest member
    is paired with each other member: pairs grow with the bucket, not with its square.
 3. A pair goes on if the similarity estimated from its sketches, corrected for registers that are equal
-   by chance, is within six standard errors of the threshold; it is a link if its full sets confirm it.
+   by chance, is within five standard errors of the threshold; it is a link if its full sets confirm it.
 4. Links give components. In buckets that still hold several components, members of different components
-   are compared in square blocks of bounded size, and what the estimate lets through is confirmed on the
-   full sets too. So every pair that shares a band is linked, refused, or already in one component.
+   are compared in square blocks of bounded size, first by their sketches, then by the full sets of
+   those with a near partner. So every pair that shares a band is linked, refused, or joined already.
 
-With 40 bands of 5 registers a pair at similarity 0.85 shares no band once in 1.5e10 pairs.
+With 44 bands of 7 registers a pair at similarity 0.85 shares no band once in 2.5e7 pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from ledgerlens.llm.components import connected_components
 
 SHINGLE = 5
 VALUE_BITS, MANTISSA_BITS = 40, 10
-BLOCK = 512
+BLOCK = 1024
+DEVIATIONS = 5
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -47,7 +48,7 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
                 yield np.unique(shingles[start : stop - SHINGLE + 1])
             elif n:
                 whole = (words.hashes[start:stop] * weights(n, salt=1)).sum(dtype=np.uint64)
-                yield np.array([mix(np.array([whole + np.uint64(n) * GOLDEN]))[0]], np.uint64)
+                yield mix(np.array([whole]) + np.array([n], np.uint64) * GOLDEN)
             else:
                 yield np.empty(0, np.uint64)
 
@@ -55,47 +56,45 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
 def sketch(shingles: np.ndarray, buckets: int) -> np.ndarray:
     """16-bit registers of a non-empty set: leading zeros, then the bits after the first one."""
     best = np.full(buckets, -1, np.int64)
-    first, found = 0, 0
-    per_pass = max(1, 2048 // len(shingles))
-    low = np.uint64((1 << VALUE_BITS) - 1)
-    while found < buckets:
-        rounds = np.arange(first, first + per_pass, dtype=np.uint64)
-        hashed = mix(shingles[None, :] + (rounds * GOLDEN)[:, None])
-        bucket = ((hashed >> np.uint64(VALUE_BITS)) * np.uint64(buckets)) >> np.uint64(64 - VALUE_BITS)
-        for b, v in zip(bucket, hashed & low):
-            keys = np.sort((b << np.uint64(VALUE_BITS)) | v)
-            b = (keys >> np.uint64(VALUE_BITS)).astype(np.int64)
-            head = np.flatnonzero(np.diff(b, prepend=-1))
-            b, v = b[head], (keys[head] & low).astype(np.int64)
-            empty = best[b] < 0
-            best[b[empty]] = v[empty]
-            found += int(empty.sum())
-            if found == buckets:
-                break
+    empty = np.ones(buckets, bool)
+    low, shift = np.uint64((1 << VALUE_BITS) - 1), np.uint64(VALUE_BITS)
+    first, per_pass = 0, 1
+    while empty.any():
+        rounds = np.arange(first, first + per_pass, dtype=np.uint64) * GOLDEN
+        hashed = mix((shingles[None, :] + rounds[:, None]).ravel())
+        bucket = ((hashed >> shift) * np.uint64(buckets)) >> np.uint64(64 - VALUE_BITS)
+        kept = np.flatnonzero(empty[bucket])
+        keys = (bucket[kept] << shift) | (hashed[kept] & low)
+        turn = kept // len(shingles)  # an earlier round goes first
+        order = np.lexsort((keys, turn)) if per_pass > 1 else np.argsort(keys)
+        found, at = np.unique(bucket[kept][order], return_index=True)
+        best[found] = (keys[order][at] & low).astype(np.int64)
+        empty[found] = False
         first += per_pass
+        per_pass = max(1, min(64, 2048 // len(shingles)))
     length = np.frexp(best.astype(np.float64))[1].astype(np.int64)  # exact below 2^53
     zeros = VALUE_BITS - length
     mantissa = ((best << (zeros + 1)) >> (VALUE_BITS - MANTISSA_BITS)) & ((1 << MANTISSA_BITS) - 1)
     return ((zeros << MANTISSA_BITS) | mantissa).astype("<u2")
 
 
-def chance_equal(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
-    """Probability that the registers of disjoint sets of ``a`` and ``b`` shingles are equal."""
-    zeros = np.arange(VALUE_BITS + 1)[:, None]
+def zero_shares(n: np.ndarray, buckets: int) -> np.ndarray:
+    """For sets of ``n`` shingles, the share of registers with each number of leading zeros."""
+    zeros = np.arange(VALUE_BITS + 1)[None, :]
+    load = np.maximum(np.asarray(n, float) / buckets, 1.0)[:, None]
+    return np.exp(-load * 2.0 ** -(zeros + 1)) - np.exp(-load * 2.0**-zeros)
 
-    def falls(n):
-        load = np.maximum(n / buckets, 1.0)[None, :]
-        return np.exp(-load * 2.0 ** -(zeros + 1)) - np.exp(-load * 2.0**-zeros)
 
-    return (falls(np.asarray(a, float)) * falls(np.asarray(b, float))).sum(axis=0) / (1 << MANTISSA_BITS)
+def estimate(equal: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from the share of equal registers and the share that is equal by chance."""
+    return (equal - chance) / (1 - chance)
 
 
-def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from two rows of registers each, corrected for chance."""
+def estimate_pairs(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """The estimate for each row of ``left`` and the same row of ``right``."""
     buckets = left.shape[1]
-    equal = (left == right).mean(axis=1)
-    chance = chance_equal(n_left, n_right, buckets)
-    return (equal - chance) / (1 - chance)
+    chance = (zero_shares(n_left, buckets) * zero_shares(n_right, buckets)).sum(axis=1) / (1 << MANTISSA_BITS)
+    return estimate((left == right).mean(axis=1), chance)
 
 
 def _registers(column: pd.Series) -> np.ndarray:
@@ -108,7 +107,7 @@ class NearDuplicates:
     def __init__(self, percent: int, bands: int, rows: int):
         self.percent, self.bands, self.rows = percent, bands, rows
         share = percent / 100
-        self.least = share - 6 * (share * (1 - share) / (bands * rows)) ** 0.5
+        self.least = share - DEVIATIONS * (share * (1 - share) / (bands * rows)) ** 0.5
 
     def sketches(self, docs: DataFrame) -> DataFrame:
         """(id, n, set_a, set_b, registers) of docs (id, text); set_a and set_b name the set."""
@@ -132,7 +131,7 @@ class NearDuplicates:
         return docs.mapInPandas(run, schema)
 
     def band_rows(self, sketches: DataFrame) -> DataFrame:
-        """(band, node): one row per band and node."""
+        """(band, number, node): one row per node and band; ``number`` is the place of the band."""
         bands, rows = self.bands, self.rows
 
         def run(batches):
@@ -146,12 +145,25 @@ class NearDuplicates:
                 yield pd.DataFrame(
                     {
                         "band": keys.view(np.int64).ravel(),
+                        "number": np.tile(np.arange(bands, dtype=np.int16), len(batch)),
                         "node": np.repeat(batch["node"].to_numpy(), bands),
                     }
                 )
 
         kind = sketches.schema["node"].dataType.simpleString()
-        return sketches.select("node", "registers").mapInPandas(run, f"band bigint, node {kind}")
+        return sketches.select("node", "registers").mapInPandas(run, f"band bigint, number smallint, node {kind}")
+
+    def full_sets(self, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(node, members): the shingle sets of the nodes in ``wanted`` (_w), made again from their texts."""
+
+        def sets(batches):
+            for batch in batches:
+                found = [s.tobytes() for s in shingle_sets(batch["text"].tolist())]
+                yield pd.DataFrame({"node": batch["node"], "members": found})
+
+        kind = texts.schema["node"].dataType.simpleString()
+        chosen = texts.join(wanted, F.col("node") == F.col("_w"), "left_semi")
+        return checkpointed(chosen.mapInPandas(sets, f"node {kind}, members binary"))
 
     def confirmed(self, pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
         """The ``pairs`` (a, b) whose estimate lets them through and whose full sets are close enough."""
@@ -161,18 +173,13 @@ class NearDuplicates:
         def close(batches):
             for batch in batches:
                 if len(batch):
-                    near = estimate(
+                    near = estimate_pairs(
                         _registers(batch["ra"]), _registers(batch["rb"]), batch["na"], batch["nb"]
                     )
                     smaller, larger = np.minimum(batch["na"], batch["nb"]), np.maximum(batch["na"], batch["nb"])
                     ok = (near >= least) & (100 * smaller >= percent * larger).to_numpy()
                     yield batch.loc[ok, ["a", "b"]]
 
-        def sets(batches):
-            for batch in batches:
-                found = [s.tobytes() for s in shingle_sets(batch["text"].tolist())]
-                yield pd.DataFrame({"node": batch["node"], "members": found})
-
         def check(batches):
             for batch in batches:
                 ok = np.zeros(len(batch), bool)
@@ -191,11 +198,7 @@ class NearDuplicates:
             .mapInPandas(close, f"a {kind}, b {kind}")
         )
         wanted = through.select(F.col("a").alias("_w")).union(through.select("b")).distinct()
-        members = checkpointed(
-            texts.join(wanted, F.col("node") == F.col("_w"), "left_semi").mapInPandas(
-                sets, f"node {kind}, members binary"
-            )
-        )
+        members = self.full_sets(texts, wanted)
         full = lambda s: members.toDF(f"_{s}", f"m{s}")
         return (
             through.join(full("b"), F.col("b") == F.col("_b"))
@@ -204,57 +207,96 @@ class NearDuplicates:
             .mapInPandas(check, f"a {kind}, b {kind}")
         )
 
-    def across(self, members: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Close pairs (a, b) of different components within a band, compared block against block.
+    def across(self, members: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links (a, b) between different components that share a band; those that join components.
 
-        ``members`` is (band, node, component). A bucket of m members is cut into k = ceil(m / BLOCK)
-        blocks; every block meets every other in a task of its own, which reads two blocks at most.
+        ``members`` is (band, number, node, component). A bucket of m members is cut into
+        k = ceil(m / BLOCK) blocks; every two blocks meet in a task of their own. First the sketches alone
+        are compared, and nodes without any near partner leave; the others meet again with their full
+        sets. A pair is looked at in the first band it shares only, and not if links found before in the
+        task have joined it.
         """
-        least = self.least
+        percent, rows = self.percent, self.rows
         kind = sketches.schema["node"].dataType.simpleString()
         size = members.groupBy(F.col("band").alias("_b")).agg(
             F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k")
         )
         cut = (
             members.join(checkpointed(size), F.col("band") == F.col("_b"))
+            .join(sketches.select(F.col("node").alias("_n"), "n", "registers"), F.col("node") == F.col("_n"))
             .withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
             .select(
-                "band",
-                "node",
-                "component",
-                "_own",
-                F.least("_own", "_other").alias("_i"),
-                F.greatest("_own", "_other").alias("_j"),
+                "band", "number", "node", "component", "n", "registers", "_own",
+                F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
             )
-            .join(sketches.select(F.col("node").alias("_n"), "n", "registers"), F.col("node") == F.col("_n"))
-        )
-
-        def compare(rows: pd.DataFrame) -> pd.DataFrame:
-            i, j = rows["_i"].iloc[0], rows["_j"].iloc[0]
-            left, right = rows[rows["_own"] == i], rows[rows["_own"] == j]
-            ra, rb = _registers(left["registers"]), _registers(right["registers"])
-            na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-            nodes_a, nodes_b = left["node"].to_numpy(), right["node"].to_numpy()
-            other = left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-            found_a, found_b = [], []
-            for row in range(len(ra)):
-                picked = np.flatnonzero(other[row] & ((nodes_a[row] < nodes_b) | (i != j)))
-                if len(picked):
-                    near = estimate(
-                        np.broadcast_to(ra[row], (len(picked), ra.shape[1])),
-                        rb[picked],
-                        np.full(len(picked), na[row]),
-                        nb[picked],
-                    )
-                    hit = nodes_b[picked[near >= least]]
-                    found_a.append(np.full(len(hit), nodes_a[row]))
-                    found_b.append(hit)
-            a = np.concatenate([np.empty(0, nodes_a.dtype), *found_a])
-            b = np.concatenate([np.empty(0, nodes_a.dtype), *found_b])
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        )
+        least = self.least
 
-        return cut.groupBy("band", "_i", "_j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+        def near(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+            """(row, rows) of near pairs of different components, each pair once."""
+            number = int(group["number"].iloc[0])
+            own = group["_own"].to_numpy()
+            right = np.flatnonzero(own == group["_j"].iloc[0])
+            left = np.flatnonzero(own == group["_i"].iloc[0])
+            same = group["_i"].iloc[0] == group["_j"].iloc[0]
+            registers = _registers(group["registers"])
+            shares = zero_shares(group["n"].to_numpy(), registers.shape[1])
+            component, n = group["component"].to_numpy(), group["n"].to_numpy()
+            for row in left:
+                others = right[(component[right] != component[row]) & ((right > row) | (not same))]
+                smaller, larger = np.minimum(n[others], n[row]), np.maximum(n[others], n[row])
+                others = others[100 * smaller >= percent * larger]
+                if not len(others):
+                    continue
+                equal = registers[others] == registers[row]
+                chance = shares[others] @ shares[row] / (1 << MANTISSA_BITS)
+                ok = estimate(equal.mean(axis=1), chance) >= least
+                others, equal = others[ok], equal[ok]
+                if number:
+                    before = equal[:, : number * rows].reshape(len(others), number, rows)
+                    others = others[~before.all(axis=2).any(axis=1)]
+                if len(others):
+                    yield row, others
+
+        def involved(group: pd.DataFrame) -> pd.DataFrame:
+            used = np.zeros(len(group), bool)
+            for row, others in near(group):
+                used[row] = True
+                used[others] = True
+            return group[used]
+
+        def check(group: pd.DataFrame) -> pd.DataFrame:
+            sets = [np.frombuffer(m, np.uint64) for m in group["members"]]
+            nodes = group["node"].to_numpy()
+            joined = {c: c for c in group["component"]}
+            component = group["component"].to_numpy()
+
+            def top(c):
+                while joined[c] != c:
+                    joined[c] = c = joined[joined[c]]
+                return c
+
+            found = []
+            for row, others in near(group):
+                for other in others:
+                    x, y = top(component[row]), top(component[other])
+                    if x == y:
+                        continue
+                    shared = len(np.intersect1d(sets[row], sets[other], assume_unique=True))
+                    if 100 * shared >= percent * (len(sets[row]) + len(sets[other]) - shared):
+                        joined[max(x, y)] = min(x, y)
+                        found.append((nodes[row], nodes[other]))
+            return pd.DataFrame(found, columns=["a", "b"])
+
+        first = checkpointed(cut.groupBy("band", "_i", "_j").applyInPandas(involved, cut.schema))
+        full = self.full_sets(texts, first.select(F.col("node").alias("_w")).distinct())
+        return (
+            first.join(full.toDF("_n", "members"), F.col("node") == F.col("_n"))
+            .drop("_n")
+            .groupBy("band", "_i", "_j")
+            .applyInPandas(check, f"a {kind}, b {kind}")
+        )
 
 
 def near_duplicates(
@@ -263,8 +305,8 @@ def near_duplicates(
     text_col: str = "text",
     *,
     percent: int = 85,
-    bands: int = 40,
-    rows: int = 5,
+    bands: int = 44,
+    rows: int = 7,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; other columns are not read.
 
@@ -304,7 +346,7 @@ def near_duplicates(
         .where(F.col("lead") < F.col("_last"))
         .select("_band", "lead")
     )
-    crowded = checkpointed(members.join(shared, F.col("band") == F.col("_band")).select("band", "lead", "node"))
+    crowded = checkpointed(members.join(shared, F.col("band") == F.col("_band")).select("band", "number", "lead", "node"))
     pairs = (
         crowded.where(F.col("lead") != F.col("node"))
         .select(F.col("lead").alias("a"), F.col("node").alias("b"))
@@ -315,7 +357,7 @@ def near_duplicates(
 
     left = labels.toDF("_node", "_label")
     named = crowded.join(left, F.col("node") == F.col("_node"), "left").select(
-        "band", "node", F.coalesce("_label", "node").alias("component")
+        "band", "number", "node", F.coalesce("_label", "node").alias("component")
     )
     named = checkpointed(named)
     mixed = checkpointed(
@@ -325,9 +367,10 @@ def near_duplicates(
         .select("_band")
     )
     open_rows = checkpointed(named.join(mixed, F.col("band") == F.col("_band"), "left_semi"))
-    rest = checkpointed(steps.across(open_rows, chosen))
-    more = checkpointed(steps.confirmed(rest, chosen, texts))
-    labels = connected_components(links.unionByName(more), "a", "b").toDF("_node", "_label")
+    more = checkpointed(steps.across(open_rows, chosen, texts))
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more), "a", "b")
+    labels = labels.toDF("_node", "_label")
 
     result = checkpointed(
         classes.join(labels, F.col("node") == F.col("_node"), "left").select(

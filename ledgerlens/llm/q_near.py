@@ -11,4 +11,4 @@ from ledgerlens.llm.registry import register
 
 @register("op2_minhash_near_dedup")
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, bands=40, rows=5)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, bands=44, rows=7)

@@ -62,7 +62,7 @@ def test_estimate_is_near_the_similarity():
         for _ in range(20):
             pool = rng.integers(0, 2**63, 2 * size - shared, dtype=np.uint64)
             a, b = np.unique(pool[:size]), np.unique(pool[size - shared :])
-            got = H.estimate(H.sketch(a, 200)[None], H.sketch(b, 200)[None], np.array([size]), np.array([size]))[0]
+            got = H.estimate_pairs(H.sketch(a, 200)[None], H.sketch(b, 200)[None], np.array([size]), np.array([size]))[0]
             off.append(got - shared / (2 * size - shared))
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.05
 
