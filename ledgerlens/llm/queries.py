@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import q_decontamination, q_lines, q_near, q_pieces, q_toxicity  # noqa: F401
+from ledgerlens.llm import q_decontamination, q_lines, q_near, q_pieces, q_quality, q_toxicity  # noqa: F401
 from ledgerlens.llm.registry import ORACLES, QUERIES  # noqa: F401
