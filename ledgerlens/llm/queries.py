@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import q_decontamination, q_lines, q_near, q_pieces, q_quality, q_toxicity  # noqa: F401
+from ledgerlens.llm import (  # noqa: F401
+    q_chat,
+    q_decontamination,
+    q_lines,
+    q_near,
+    q_pieces,
+    q_quality,
+    q_search,
+    q_toxicity,
+)
 from ledgerlens.llm.registry import ORACLES, QUERIES  # noqa: F401
