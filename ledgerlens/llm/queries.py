@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerlens.llm import (  # noqa: F401
+    q_blocks,
     q_chat,
     q_decontamination,
     q_lines,
