@@ -233,16 +233,14 @@ class NearDuplicates:
         )
         least = self.least
 
-        def near(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-            """(row, rows) of near pairs of different components, each pair once."""
-            number = int(group["number"].iloc[0])
-            own = group["_own"].to_numpy()
-            right = np.flatnonzero(own == group["_j"].iloc[0])
-            left = np.flatnonzero(own == group["_i"].iloc[0])
-            same = group["_i"].iloc[0] == group["_j"].iloc[0]
-            registers = _registers(group["registers"])
-            shares = zero_shares(group["n"].to_numpy(), registers.shape[1])
-            component, n = group["component"].to_numpy(), group["n"].to_numpy()
+        def near(rows_of: dict, a: int, b: int) -> Iterator[tuple[int, np.ndarray]]:
+            """(row, rows) of near pairs of different components within rows a to b, each pair once."""
+            number, own = int(rows_of["number"][a]), rows_of["_own"][a:b]
+            right = a + np.flatnonzero(own == rows_of["_j"][a])
+            left = a + np.flatnonzero(own == rows_of["_i"][a])
+            same = rows_of["_i"][a] == rows_of["_j"][a]
+            registers, shares = rows_of["registers"], rows_of["shares"]
+            component, n = rows_of["component"], rows_of["n"]
             for row in left:
                 others = right[(component[right] != component[row]) & ((right > row) | (not same))]
                 smaller, larger = np.minimum(n[others], n[row]), np.maximum(n[others], n[row])
@@ -259,44 +257,83 @@ class NearDuplicates:
                 if len(others):
                     yield row, others
 
-        def involved(group: pd.DataFrame) -> pd.DataFrame:
-            used = np.zeros(len(group), bool)
-            for row, others in near(group):
-                used[row] = True
-                used[others] = True
-            return group[used]
-
-        def check(group: pd.DataFrame) -> pd.DataFrame:
-            sets = [np.frombuffer(m, np.uint64) for m in group["members"]]
-            nodes = group["node"].to_numpy()
-            joined = {c: c for c in group["component"]}
-            component = group["component"].to_numpy()
-
-            def top(c):
-                while joined[c] != c:
-                    joined[c] = c = joined[joined[c]]
-                return c
-
-            found = []
-            for row, others in near(group):
-                for other in others:
-                    x, y = top(component[row]), top(component[other])
-                    if x == y:
-                        continue
-                    shared = len(np.intersect1d(sets[row], sets[other], assume_unique=True))
-                    if 100 * shared >= percent * (len(sets[row]) + len(sets[other]) - shared):
-                        joined[max(x, y)] = min(x, y)
-                        found.append((nodes[row], nodes[other]))
-            return pd.DataFrame(found, columns=["a", "b"])
+        def arrays(frame: pd.DataFrame) -> tuple[dict, np.ndarray]:
+            """The columns as arrays, and where each group begins, with the end."""
+            names = ("band", "number", "node", "component", "n", "_own", "_i", "_j")
+            rows_of = {c: frame[c].to_numpy() for c in names}
+            rows_of["registers"] = _registers(frame["registers"])
+            rows_of["shares"] = zero_shares(rows_of["n"], rows_of["registers"].shape[1])
+            change = np.zeros(len(frame), bool)
+            change[:1] = True
+            for c in ("band", "_i", "_j"):
+                change[1:] |= rows_of[c][1:] != rows_of[c][:-1]
+            return rows_of, np.append(np.flatnonzero(change), len(frame))
+
+        def involved(batches):
+            for frame in whole_groups(batches, ("band", "_i", "_j")):
+                rows_of, bounds = arrays(frame)
+                used = np.zeros(len(frame), bool)
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    for row, others in near(rows_of, a, b):
+                        used[row] = True
+                        used[others] = True
+                yield frame[used]
 
-        first = checkpointed(cut.groupBy("band", "_i", "_j").applyInPandas(involved, cut.schema))
+        def check(batches):
+            for frame in whole_groups(batches, ("band", "_i", "_j")):
+                rows_of, bounds = arrays(frame)
+                nodes, component = rows_of["node"], rows_of["component"]
+                sets = [np.frombuffer(m, np.uint64) for m in frame["members"]]
+                found = []
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    joined = {c: c for c in component[a:b]}
+
+                    def top(c):
+                        while joined[c] != c:
+                            joined[c] = c = joined[joined[c]]
+                        return c
+
+                    for row, others in near(rows_of, a, b):
+                        for other in others:
+                            x, y = top(component[row]), top(component[other])
+                            if x == y:
+                                continue
+                            shared = len(np.intersect1d(sets[row], sets[other], assume_unique=True))
+                            if 100 * shared >= percent * (len(sets[row]) + len(sets[other]) - shared):
+                                joined[max(x, y)] = min(x, y)
+                                found.append((nodes[row], nodes[other]))
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+        together = lambda df: df.repartition("band", "_i", "_j").sortWithinPartitions("band", "_i", "_j")
+        first = checkpointed(together(cut).mapInPandas(involved, cut.schema))
         full = self.full_sets(texts, first.select(F.col("node").alias("_w")).distinct())
-        return (
-            first.join(full.toDF("_n", "members"), F.col("node") == F.col("_n"))
-            .drop("_n")
-            .groupBy("band", "_i", "_j")
-            .applyInPandas(check, f"a {kind}, b {kind}")
-        )
+        with_sets = first.join(full.toDF("_n", "members"), F.col("node") == F.col("_n")).drop("_n")
+        return together(with_sets).mapInPandas(check, f"a {kind}, b {kind}")
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted ``batches`` in frames that hold each group of ``keys`` as a whole."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held:
+            tail, head = held[-1].iloc[-1], batch.iloc[0]
+            if any(tail[k] != head[k] for k in keys):
+                yield pd.concat(held, ignore_index=True)
+                held = []
+        change = np.zeros(len(batch), bool)
+        for k in keys:
+            values = batch[k].to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        cuts = np.flatnonzero(change)
+        if len(cuts):
+            yield pd.concat([*held, batch.iloc[: cuts[-1]]], ignore_index=True)
+            held = [batch.iloc[cuts[-1] :]]
+        else:
+            held.append(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def near_duplicates(
@@ -330,8 +367,11 @@ def near_duplicates(
         )
     )
     same_set = (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("n") == F.col("_n"))
+    # Joined by the id alone, so that one exchange serves the join and the removal of repeated rows.
+    equal = lambda x, y: F.col(x).bitwiseXOR(F.col(y)) == 0
     chosen = checkpointed(
-        real.join(classes, same_set & (F.col("id") == F.col("node")))
+        real.join(classes, F.col("id") == F.col("node"))
+        .where(equal("set_a", "_a") & equal("set_b", "_b") & equal("n", "_n"))
         .select("node", "n", "registers")
         .dropDuplicates(["node"])
     )
@@ -347,6 +387,8 @@ def near_duplicates(
         .select("_band", "lead")
     )
     crowded = checkpointed(members.join(shared, F.col("band") == F.col("_band")).select("band", "number", "lead", "node"))
+    mates = crowded.select(F.col("node").alias("_mate")).distinct()
+    chosen = checkpointed(chosen.join(mates, F.col("node") == F.col("_mate"), "left_semi"))
     pairs = (
         crowded.where(F.col("lead") != F.col("node"))
         .select(F.col("lead").alias("a"), F.col("node").alias("b"))

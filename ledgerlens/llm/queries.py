@@ -10,6 +10,7 @@ from ledgerlens.llm import (  # noqa: F401
     q_near,
     q_pieces,
     q_quality,
+    q_repeats,
     q_search,
     q_toxicity,
 )
