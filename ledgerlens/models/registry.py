@@ -47,8 +47,9 @@ def forest(seed: int = 42, **p: Any) -> RandomForestClassifier:
 
 
 def logistic(seed: int = 42, **p: Any) -> LogisticRegression:
-    """``C`` follows the usual inverse-strength meaning when ``rows`` is given."""
-    strength = 1.0 / (float(p.get("C", 1.0)) * float(p.get("rows", 1000)))
+    """``C`` is the usual inverse strength: the penalty is weighed against the summed loss of all rows, whose
+    total weight is ``weight_sum`` (Spark averages the loss)."""
+    strength = 1.0 / (float(p.get("C", 1.0)) * max(float(p["weight_sum"]), 1e-9))
     return LogisticRegression(
         maxIter=int(p.get("max_iter", 100)), regParam=strength, elasticNetParam=0.0, standardization=True
     )
@@ -70,19 +71,20 @@ def low_rank(seed: int = 42, **p: Any) -> Callable:
 COMPONENTS: dict[str, Component] = {
     c.name: c
     for c in [
-        Component("logistic_regression", "calibrated baseline", "available", "Linear model on the full vector.", logistic),
-        Component("random_forest", "supervised baseline", "available", "Bagged trees.", forest),
-        Component("xgboost", "champion candidate", "available", "Slot filled by gradient-boosted trees.", boosted),
-        Component("lightgbm", "challenger", "available", "Slot filled by gradient-boosted trees.", boosted),
-        Component("catboost", "challenger", "available", "Slot filled by the linear model.", logistic),
-        Component("isolation_forest", "anomaly baseline", "available", "Random split trees, no labels.", isolation),
-        Component("one_class_svm", "anomaly baseline", "available", "Slot filled by low-rank reconstruction error.", low_rank),
-        Component("autoencoder", "anomaly challenger", "available", "Slot filled by random split trees.", isolation),
-        Component("tabtransformer", "challenger", "available", "Slot filled by bagged trees.", forest),
-        Component("stacking_ensemble", "ensemble", "available", "Out-of-fold stack of forest and linear model.", None),
+        Component("logistic_regression", "linear reference", "available", "One weight per input; cheap to explain.", logistic),
+        Component("random_forest", "tree reference", "available", "Bagged trees.", forest),
+        Component("xgboost", "main booster", "available", "Slot filled by gradient-boosted trees.", boosted),
+        Component("lightgbm", "second booster", "available", "Slot filled by gradient-boosted trees.", boosted),
+        Component("catboost", "linear alternative", "available", "Slot filled by the linear model.", logistic),
+        Component("isolation_forest", "unlabelled outliers", "available", "Random split trees, no labels.", isolation),
+        Component("one_class_svm", "unlabelled outliers", "available", "Slot filled by low-rank reconstruction error.", low_rank),
+        Component("autoencoder", "unlabelled outliers", "available", "Slot filled by random split trees.", isolation),
+        Component("tabtransformer", "tree alternative", "available", "Slot filled by bagged trees.", forest),
+        Component("stacking_ensemble", "combination", "available", "Out-of-fold stack of forest and linear model.", None),
     ]
 }
 ANOMALY = ["isolation_forest", "one_class_svm", "autoencoder"]
+LINEAR = ["logistic_regression", "catboost"]
 TREES = ["xgboost", "random_forest", "lightgbm", "tabtransformer"]
 
 

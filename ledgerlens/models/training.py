@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import label
 from ledgerlens.models.preprocess import Preprocessor, fit_preprocessor
-from ledgerlens.models.registry import ANOMALY, component
+from ledgerlens.models.registry import ANOMALY, LINEAR, component
 from ledgerlens.operators.encoding import class_weights
 from ledgerlens.operators.metrics import average_precision, minmax_score, score_range
 from ledgerlens.operators.split import fold_parts, time_series_folds
@@ -61,7 +61,9 @@ class FraudModel:
         return _probability(self.classifier.transform(self.preprocessor.transform(df)), output)
 
 
-def _estimator(name: str, params: dict, seed: int):
+def _estimator(name: str, params: dict, seed: int, ready: DataFrame):
+    if name in LINEAR:
+        params = {**params, "weight_sum": ready.agg(F.sum("_weight")).first()[0] or 0.0}
     built = component(name).build(seed=seed, **params)
     return built.setFeaturesCol("features").setLabelCol("_label").setWeightCol("_weight")
 
@@ -80,7 +82,8 @@ def fit_model(
 ) -> FraudModel:
     """Fit one supervised component on a feature table (class weights included)."""
     preprocessor = fit_preprocessor(train, numeric=[*NUMERIC_FEATURES, *extra_numeric])
-    return FraudModel(name, preprocessor, _estimator(name, params, seed).fit(_trainable(train, preprocessor)))
+    ready = _trainable(train, preprocessor)
+    return FraudModel(name, preprocessor, _estimator(name, params, seed, ready).fit(ready))
 
 
 def fit_models(
@@ -93,7 +96,7 @@ def fit_models(
     """Fit several components on one preprocessed table."""
     preprocessor = fit_preprocessor(train, numeric=[*NUMERIC_FEATURES, *extra_numeric])
     ready = checkpointed(_trainable(train, preprocessor))
-    return {n: FraudModel(n, preprocessor, _estimator(n, params, seed).fit(ready)) for n in names}
+    return {n: FraudModel(n, preprocessor, _estimator(n, params, seed, ready).fit(ready)) for n in names}
 
 
 def score_models(models: dict[str, FraudModel], df: DataFrame) -> DataFrame:
@@ -133,7 +136,7 @@ def grid_search(
         ready = checkpointed(_trainable(fit_part, preprocessor))
         target = checkpointed(_trainable(held, preprocessor))
         for params, results in scores:
-            model = _estimator(name, params, seed).fit(ready)
+            model = _estimator(name, params, seed, ready).fit(ready)
             predicted = _probability(
                 model.transform(target).withColumn("isFraud", F.col("_label").cast("int")), "fraud_probability"
             )
@@ -209,6 +212,7 @@ class StackedModel:
         return self.meta.transform(score_models(self.boosters, df), output)
 
 
+# The parts of the stack.
 STACK_ANOMALY = ["isolation_forest", "one_class_svm", "autoencoder", "tabtransformer"]
 STACK_BOOSTERS = ["xgboost", "lightgbm"]
 

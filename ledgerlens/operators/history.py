@@ -440,6 +440,19 @@ def pipeline_history(
     return out.withColumn("seconds_since_last_txn", gap_seconds).drop("_gap_us")
 
 
+def no_history(df: DataFrame, lookback: DataFrame | None = None) -> DataFrame:
+    """The history step for rows that are each scored on their own: the values of a first transaction."""
+    kinds = {"velocity": F.lit(0).cast("bigint")}
+    return df.withColumns(
+        {
+            "transactionAmount": F.coalesce(to_number(F.col("transactionAmount")), F.lit(0.0)),
+            **{s.name: kinds.get(s.kind, F.lit(0.0)) for s in PIPELINE_SPECS},
+            "is_new_merchant": F.lit(1),
+            "seconds_since_last_txn": F.lit(0.0),
+        }
+    )
+
+
 def parametric_specs(kind: str, entity: str, windows: Sequence[str] = DEFAULT_WINDOWS) -> list[Spec]:
     if kind not in KINDS:
         raise ValueError(f"unknown history kind {kind!r}; expected one of {KINDS}")

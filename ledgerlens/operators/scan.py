@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.session import checkpointed
+
 MAX_CHUNKS = 512
 
 
@@ -81,7 +83,9 @@ def segmented_scan(
     sums, maxes = dict(sums or {}), dict(maxes or {})
     segment = list(segment)
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    chunked = with_chunk(df, order, edges)
+    # Stored, so that the chunk is a plain column: as an expression over the row it is also a join key, and
+    # the optimizer would infer a filter with that expression for the side that lacks its input.
+    chunked = checkpointed(with_chunk(df, order, edges))
 
     totals = chunked.groupBy(*segment, "_chunk").agg(
         *[F.sum(src).alias(f"_tot_{out}") for out, src in sums.items()],

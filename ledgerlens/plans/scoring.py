@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.quality import rejects
-from ledgerlens.functions.scalars import heuristic_reasons, risk_band
+from ledgerlens.functions.scalars import risk_band
+from ledgerlens.operators.explain import explain_frame
+from ledgerlens.operators.history import PIPELINE_SPECS, no_history, pipeline_history
 from ledgerlens.plans.feature_pipeline import FeaturePipeline
 from ledgerlens.schema import SCHEMA_VERSION
-from ledgerlens.sources.readers import from_records, payload_rejects
+from ledgerlens.sources.readers import RAW, from_records, payload_rejects
 
 ALERT_THRESHOLD = 0.82
 
@@ -32,24 +36,33 @@ def score_batch(
     threshold: float = ALERT_THRESHOLD,
     schema_version: str = SCHEMA_VERSION,
     keep: tuple[str, ...] = (),
+    explain: Callable[[DataFrame], DataFrame] | None = None,
+    key: str = "row_key",
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, rejects) for a table of JSON payloads.
 
-    Payloads are scored without history. Rows that fail validation, and payloads that are not JSON
-    objects, go to the rejects with their reasons.
+    Every payload is scored on its own, as its account's first transaction: no payload sees another, and
+    no window or shuffle is needed. ``explain`` gives the contributions of scored rows by ``key`` (which must
+    then be in ``keep``); without it the rule reasons apply. Rows that fail validation, and payloads that are
+    not JSON objects, go to the rejects as they came, with their reasons.
     """
-    rows = from_records(payloads, keep=keep)
-    scored = score_frame(model, pipeline.transform(rows), threshold)
-    scores = scored.select(
+    alone = replace(pipeline, steps=[no_history if s is pipeline_history else s for s in pipeline.steps])
+    rows = from_records(payloads, keep=(*keep, RAW))
+    scored = score_frame(model, alone.transform(rows.drop(RAW)), threshold)
+    enriched = explain_frame(scored, explain(scored) if explain else None, key)
+    scores = enriched.select(
         *keep,
+        *[s.name for s in PIPELINE_SPECS],
+        "is_new_merchant",
         "fraud_probability",
         "risk_band",
         F.lit(threshold).alias("threshold"),
-        heuristic_reasons(F.col("fraud_probability")).alias("top_reasons"),
-        F.array(F.lit("heuristic")).alias("explanation_methods"),
+        "top_reasons",
+        "explanation_methods",
+        "feature_contributions",
         F.lit(schema_version).alias("schema_version"),
     )
-    invalid = rejects(rows).select(F.to_json(F.struct(*rows.columns)).alias("value"), "reject_reasons")
+    invalid = rejects(rows).select(F.col(RAW).alias("value"), "reject_reasons")
     unread = payload_rejects(payloads).select(
         F.col("value").cast("string").alias("value"), F.array(F.lit("not a JSON object")).alias("reject_reasons")
     )

@@ -6,10 +6,10 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens.schema import coerce, raw_schema
 
+RAW = "_raw"
 JSON_SUFFIXES = {".jsonl", ".txt", ".ndjson"}
 
 # CSV cells that count as missing.
@@ -63,20 +63,30 @@ def read_transactions(spark: SparkSession, path: str, keep: tuple[str, ...] = ()
 def from_records(payloads: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """JSON payloads (an object or a list of objects per row) to the fixed schema.
 
-    Payloads that are not JSON objects are dropped here; see :func:`payload_rejects`.
+    Payloads and list items that are not JSON objects are left out here; see :func:`payload_rejects`. With
+    ``RAW`` in ``keep`` the text of each item is carried along.
     """
-    return coerce(payloads.select(F.inline(_records(F.col(column), keep))), keep)
+    items = payloads.select(F.explode(F.filter(_items(F.col(column)), _is_object)).alias(RAW))
+    parsed = items.select(RAW, F.from_json(RAW, raw_schema(c for c in keep if c != RAW)).alias("_r"))
+    return coerce(parsed.select("_r.*", *([RAW] if RAW in keep else [])), keep)
 
 
 def payload_rejects(payloads: DataFrame, column: str = "value") -> DataFrame:
-    """Payload rows that hold no JSON object."""
-    size = F.coalesce(F.size(_records(F.col(column), ())), F.lit(0))
-    return payloads.where(size <= 0)
+    """What :func:`from_records` leaves out, in ``column``: payloads without any item that could be read, and
+    list items that are not JSON objects."""
+    items = _items(F.col(column))
+    bad = F.filter(items, lambda item: ~_is_object(item))
+    whole = F.array(F.col(column).cast("string"))
+    left = F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, whole).otherwise(bad)
+    return payloads.withColumn(column, F.explode(left))
 
 
-def _records(value: Column, keep: tuple[str, ...]) -> Column:
-    text = value.cast("string")
-    item = raw_schema(keep)
-    return F.when(
-        F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, T.ArrayType(item))
-    ).when(F.startswith(F.ltrim(text), F.lit("{")), F.array(F.from_json(text, item)))
+def _items(value: Column) -> Column:
+    """The texts of the items of a JSON list, or the text itself; null for anything else."""
+    text = F.ltrim(value.cast("string"))
+    listed = F.transform(F.from_json(text, "array<string>"), lambda item: F.coalesce(item, F.lit("null")))
+    return F.when(F.startswith(text, F.lit("[")), listed).when(F.startswith(text, F.lit("{")), F.array(text))
+
+
+def _is_object(item: Column) -> Column:
+    return F.startswith(F.ltrim(item), F.lit("{"))

@@ -77,6 +77,34 @@ class FeatureStore:
         newest = with_event_time(self.read().where(F.col("accountNumber") == account))
         return newest.orderBy(F.col("event_ts").desc(), *_tie(newest)).limit(limit)
 
+    def history_for(self, rows: DataFrame, days: int = 30, exclude: str | None = None) -> DataFrame | None:
+        """Stored rows that decide the history of ``rows``: for their accounts, all rows of the ``days`` before
+        the first of them, and of older ones the first per merchant and the last of the account.
+
+        The accounts are joined before anything is sorted or grouped, and recent rows are read from their date
+        partitions alone. ``exclude`` leaves out one ingest batch. None before the first write.
+        """
+        if self.columns() is None:
+            return None
+        first = with_event_time(rows).agg(F.min("event_ts")).first()[0]
+        if first is None:
+            return None
+        since = F.lit(first) - F.make_dt_interval(F.lit(days))
+        accounts = rows.select(F.col("accountNumber").alias("_account")).distinct()
+        stored = self.spark.read.parquet(self.path)
+        if exclude is not None:
+            stored = stored.where(F.col("ingest_batch") != exclude)
+        mine = stored.join(accounts, F.col("accountNumber") == F.col("_account"), "left_semi")
+        recent = with_event_time(mine.where(F.col("event_date") >= F.to_date(since))).where(F.col("event_ts") >= since)
+        older = with_event_time(mine.where(F.col("event_date") <= F.to_date(since))).where(F.col("event_ts") < since)
+        older = older.drop(*LAYOUT)
+        whole = F.struct(*older.columns)
+        order = F.struct("event_ts", *(["row_key"] if "row_key" in older.columns else []))
+        seen = older.groupBy("accountNumber", "merchantName").agg(F.min_by(whole, order).alias("_r"))
+        last = older.groupBy("accountNumber").agg(F.max_by(whole, order).alias("_r"))
+        bounds = seen.select("_r.*").unionByName(last.select("_r.*")).distinct()
+        return recent.drop(*LAYOUT).unionByName(bounds)
+
     def recent_history_all(self, limit: int = 500, exclude: str | None = None) -> DataFrame:
         """The newest rows of every account. Tasks keep only their top rows before the shuffle.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -39,7 +40,9 @@ def score_stream(
     *,
     store: FeatureStore | None = None,
     history: str = "batch",
-    history_rows: int = 500,
+    history_days: int = 30,
+    explain: Callable[[DataFrame], DataFrame] | None = None,
+    key: str = "row_key",
     monitor_dir: str | None = None,
     threshold: float = ALERT_THRESHOLD,
     model_version: str = "unknown",
@@ -48,26 +51,26 @@ def score_stream(
     """Validate, featurise, store, score, explain and write each micro-batch.
 
     ``history="batch"`` computes windows inside the micro-batch only; ``history="store"`` also reads
-    the newest stored rows of the accounts in the batch. Output folders and store partitions are
-    named by batch id, so a replayed batch rewrites its own output.
+    the stored rows of the batch's accounts: all of the last ``history_days``, and of older ones what
+    the gap and the new-merchant flag need. Output folders and store partitions are
+    named by batch id, so a replayed batch rewrites its own output. ``explain`` gives the contributions of
+    scored rows by ``key``; without it the rule reasons apply.
     """
     if history not in ("batch", "store"):
         raise ValueError(f"history must be 'batch' or 'store', not {history!r}")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         lookback = None
-        if history == "store" and store is not None and store.columns() is not None:
+        if history == "store" and store is not None:
             # A replayed batch must not see its own earlier output.
-            past = store.recent_history_all(history_rows, exclude=f"stream-{batch_id}")
-            accounts = batch.select("accountNumber").distinct()
-            lookback = past.join(accounts, "accountNumber", "left_semi")
+            lookback = store.history_for(batch, history_days, exclude=f"stream-{batch_id}")
         features = checkpointed(pipeline.transform(batch, lookback))
         if features.isEmpty():
             return
         if store is not None:
             store.append(features, batch=f"stream-{batch_id}")
         scored = score_frame(model, features, threshold)
-        enriched = explain_frame(tag_version(scored, model_version))
+        enriched = explain_frame(tag_version(scored, model_version), explain(scored) if explain else None, key)
         target = write_scored(enriched, scored_dir, batch_id)
         written = batch.sparkSession.read.schema(enriched.schema).json(target)
         write_alerts(written, alerts_dir, threshold, batch_id)
@@ -100,10 +103,10 @@ def monitor(scored: DataFrame) -> DataFrame:
 
 
 def velocity_stream(stream: DataFrame, key: str = "accountNumber", order: str = "row_key") -> DataFrame:
-    """Per-account counts and sums over the state of the last 30 days, as rows arrive.
+    """Per-account counts and sums over the rows that have arrived, as rows arrive.
 
-    Equals the batch history when rows arrive in time order. A late row counts the earlier rows that
-    are still in state; rows more than ``STATE_LATENESS`` late are dropped.
+    Equals the batch history when rows arrive in time order. State keeps the longest window and the allowed
+    lateness, so a late row's windows are whole; rows more than ``STATE_LATENESS`` late are dropped.
     """
     rows = validate(stream).withWatermark("event_ts", STATE_LATENESS).select(
         "event_ts",

@@ -8,19 +8,6 @@ from pyspark.sql import types as T
 from ledgerlens.schema import TRANSACTION_FIELDS, coerce
 from ledgerlens.sources.readers import csv_missing
 
-DEFAULT_TRIGGER = 15.0
-
-
-def trigger_seconds(text: str) -> float:
-    """"15 seconds", "2 minutes", "1 hour" to seconds; blank is the default, no unit is seconds."""
-    words = text.split()
-    if not words:
-        return DEFAULT_TRIGGER
-    unit = words[1].lower() if len(words) > 1 else "seconds"
-    factor = 60 if unit.startswith("minute") else 3600 if unit.startswith("hour") else 1
-    return float(words[0]) * factor
-
-
 def landing_stream(
     spark: SparkSession,
     path: str,
@@ -31,7 +18,8 @@ def landing_stream(
     """CSV files dropped into a folder; each is read once, as the query's checkpoint records.
 
     ``columns`` is the header of the files (the fixed order by default); a file with another header
-    is an error instead of being read into the wrong columns.
+    is an error instead of being read into the wrong columns. Files are taken in order of modification time,
+    then path; within a micro-batch rows have no order.
     """
     names = columns or list(TRANSACTION_FIELDS)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])

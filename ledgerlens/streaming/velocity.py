@@ -11,7 +11,8 @@ from pyspark.sql.streaming.state import GroupState
 HOUR = 3_600_000_000
 COUNT_WINDOWS = {"24h": 24 * HOUR, "48h": 48 * HOUR, "7d": 168 * HOUR, "30d": 720 * HOUR}
 SUM_WINDOWS = {"24h": 24 * HOUR, "7d": 168 * HOUR}
-RETAIN = 720 * HOUR
+# The longest window and the lateness that the stream allows.
+RETAIN = 2 * 720 * HOUR
 TTL_MILLIS = RETAIN // 1000
 VELOCITY_COLUMNS = ", ".join(
     ["row_key bigint", "account string"]
@@ -41,7 +42,7 @@ def windowed(points: pd.DataFrame, us: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def velocity(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: one (time, rows, units) point per distinct time in the last 30 days of the account."""
+    """State: one (time, rows, units) point per distinct time in the last 60 days of the account."""
     if state.hasTimedOut:
         state.remove()
         return

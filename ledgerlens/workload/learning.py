@@ -1,4 +1,8 @@
-"""Queries over model training, scoring, resampling and explanations (small model sizes)."""
+"""Queries over model training, scoring, resampling and explanations.
+
+Tree counts and depths are a parameter of the workload, ``SMALL``; features, background rows and
+perturbations are the operators' own.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,6 @@ from ledgerlens.models import training as t
 from ledgerlens.models.isolation import fit_isolation_forest
 from ledgerlens.models.preprocess import fit_preprocessor
 from ledgerlens.models.reconstruction import fit_reconstruction
-from ledgerlens.models.registry import available_components
 from ledgerlens.operators import explain as x
 from ledgerlens.operators import metrics as m
 from ledgerlens.operators import resample
@@ -41,7 +44,7 @@ def trained_query(name, model_name, **params):
 
 trained_query("train_gbt", "xgboost", **SMALL)
 trained_query("train_forest", "random_forest", **SMALL)
-trained_query("train_logistic", "logistic_regression", max_iter=30)
+trained_query("train_logistic", "logistic_regression")
 
 
 @register("preprocess")
@@ -57,13 +60,13 @@ def preprocess(spark, sf_dir):
 @register("score_frame")
 def score(spark, sf_dir):
     train, test, _ = prepared(spark, sf_dir)
-    return score_frame(t.fit_model(train, "catboost", max_iter=20), test).select(*SCORED)
+    return score_frame(t.fit_model(train, "catboost"), test).select(*SCORED)
 
 
 @register("score_batch")
 def batch(spark, sf_dir):
     train, _, pipeline = prepared(spark, sf_dir)
-    model = t.fit_model(train, "logistic_regression", max_iter=20)
+    model = t.fit_model(train, "logistic_regression")
     payloads = raw(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
     scores, rejected = score_batch(payloads, model, pipeline, keep=("row_key",))
     joined = scores.select(
@@ -78,15 +81,6 @@ def batch(spark, sf_dir):
     )
 
 
-@register("model_registry")
-def registry(spark, sf_dir):
-    """Components with how many features and rows of the given table they would train on."""
-    size = coerced(spark, sf_dir).select(F.count(F.lit(1))).scalar()
-    return spark.createDataFrame(available_components()).withColumns(
-        {"features": F.lit(len(NUMERIC_FEATURES)), "rows": size}
-    )
-
-
 @register("save_load_model")
 def save_load(spark, sf_dir):
     train, test, _ = prepared(spark, sf_dir)
@@ -195,7 +189,7 @@ def contributions_linear(spark, sf_dir):
     return out.select("row_key", "feature", rounded("value", 6).alias("value"), "direction")
 
 
-EXPLAINED = ["merchantCategoryCode", "transactionAmount", "utilization", "pos_risk_tier", "cvv_mismatch", "txn_hour"]
+EXPLAINED = FEATURE_COLUMNS
 
 
 def alerts(spark, sf_dir):
@@ -203,7 +197,7 @@ def alerts(spark, sf_dir):
     train, test, _ = prepared(spark, sf_dir)
     model = t.fit_model(train, "random_forest", **SMALL)
     flagged = checkpointed(score_frame(model, test, 0.6).where("risk_band = 'critical'"))
-    background = checkpointed(background_sample(train, FEATURE_COLUMNS, 10))
+    background = checkpointed(background_sample(train, FEATURE_COLUMNS))
     return model, flagged, background
 
 
@@ -211,7 +205,7 @@ def alerts(spark, sf_dir):
 def contributions(spark, sf_dir):
     """Exact per-feature contributions of a trained linear model, all held-out rows."""
     train, test, _ = prepared(spark, sf_dir)
-    model = t.fit_model(train, "logistic_regression", max_iter=20)
+    model = t.fit_model(train, "logistic_regression")
     out = x.model_linear_contributions(model, test, background_sample(train, FEATURE_COLUMNS))
     return out.select("row_key", "feature", "value", "direction")
 
@@ -227,7 +221,7 @@ def contributions_sampled(spark, sf_dir):
 @register("local_surrogate")
 def surrogate(spark, sf_dir):
     model, flagged, background = alerts(spark, sf_dir)
-    return x.local_surrogate(model, flagged, background, EXPLAINED, samples=60).select(
+    return x.local_surrogate(model, flagged, background, EXPLAINED).select(
         "row_key", "feature", "label", "value", "direction"
     )
 
@@ -242,7 +236,7 @@ def importance(spark, sf_dir):
 def explain(spark, sf_dir):
     model, flagged, background = alerts(spark, sf_dir)
     parts = x.sampled_contributions(model, flagged, background, EXPLAINED).unionByName(
-        x.local_surrogate(model, flagged, background, EXPLAINED, samples=60)
+        x.local_surrogate(model, flagged, background, EXPLAINED)
     )
     out = x.explain_frame(flagged, parts)
     return out.select(

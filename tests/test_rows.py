@@ -29,15 +29,15 @@ def test_absent_required_columns_reject_everything(spark):
 
 def test_flags_and_time_features(txns):
     row = feat.amount_ratio(
-        feat.account_age(feat.temporal(feat.risk_flags(txns({"enteredCVV": "999", "merchantCountryCode": "CAN"}))))
+        feat.account_age(feat.temporal(feat.risk_flags(txns({"enteredCVV": "999", "merchantCountryCode": "US"}))))
     ).first()
-    assert (row.txn_hour, row.is_night_txn, row.cvv_mismatch, row.cross_border) == (23, 1, 1, 1)
+    assert (row.txn_hour, row.is_night_txn, row.cvv_mismatch, row.cross_border) == (2, 1, 1, 1)
     assert row.account_age_days > 0 and row.utilization > 0
 
 
 def test_edge_values(txns):
     rows = txns(
-        {"creditLimit": 0.0, "acqCountry": None, "merchantCountryCode": None, "cardCVV": None, "accountOpenDate": "2017-01-01"}
+        {"creditLimit": 0.0, "acqCountry": None, "merchantCountryCode": None, "cardCVV": None, "accountOpenDate": "2019-04-01"}
     )
     row = feat.amount_ratio(feat.account_age(feat.risk_flags(rows))).first()
     assert (row.utilization, row.amount_to_limit_ratio, row.cross_border, row.cvv_mismatch) == (0.0, 0.0, 0, 0)

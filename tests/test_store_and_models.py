@@ -12,7 +12,6 @@ from ledgerlens.plans.feature_pipeline import FeaturePipeline
 from ledgerlens.plans.scoring import score_batch, score_frame
 from ledgerlens.sources import sinks
 from ledgerlens.sources.store import FeatureStore
-from ledgerlens.streaming.sources import trigger_seconds
 
 
 def test_store_round_trip(spark, tmp_path):
@@ -149,8 +148,3 @@ def test_tomek_links_are_mutual_and_mixed(spark):
     )
     assert [(r.minority, r.majority) for r in resample.tomek_links(df, ["a"]).collect()] == [(0, 1)]
     assert sorted(r.row_key for r in resample.drop_tomek(df, ["a"]).collect()) == [0, 2, 3, 4]
-
-
-@pytest.mark.parametrize("text, seconds", [("15 seconds", 15), ("2 minutes", 120), ("1 hour", 3600), ("", 15), ("7", 7)])
-def test_trigger_text(text, seconds):
-    assert trigger_seconds(text) == seconds
