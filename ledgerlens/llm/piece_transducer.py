@@ -17,15 +17,17 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from ledgerlens.llm.common import worker_state
 
 BLANK = "\u2581"
-MEMO, PAIR_MEMO = 400_000, 1_000_000
+MEMO, PAIR_MEMO = 600_000, 1_000_000
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-BYTE = re.compile(r"<0x[0-9A-F]{2}>")
+START = -1
 
 
 def _fields(data: bytes):
@@ -103,10 +105,15 @@ class PieceTransducer:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[piece] = i
                 self.scores[piece] = sp.get_score(i)
-        self.longest = max(map(len, self.ids))
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.ids):
             raise ValueError("pieces that run over blanks or line ends are not supported")
-        self.silent = {i for i in range(len(self.pieces)) if sp.is_control(i)}
+        self.byte_of = {i: b for b, i in self.bytes.items()}
+        # What each id shows; bytes below 128 are characters of their own, whatever is beside them.
+        self.shown = ["" if sp.is_control(i) else p for i, p in enumerate(self.pieces)]
+        for i, byte in self.byte_of.items():
+            self.shown[i] = chr(byte) if byte < 128 else ""
+        high = [i for i, byte in self.byte_of.items() if byte >= 128] or [-1]
+        self.high = (min(high), max(high))
 
     # -- the acceptor over neighbouring pieces ---------------------------------
 
@@ -122,43 +129,48 @@ class PieceTransducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _passes(self, memo: dict, left: str, right: str) -> bool:
-        """Whether the arc from ``left`` to ``right`` has weight 0; ``left`` is empty at the start."""
-        key = (left, right)
-        found = memo.get(key)
-        if found is None:
-            if len(memo) > PAIR_MEMO:
-                memo.clear()
-            found = memo[key] = self._merged(left + right) == ([left, right] if left else [right])
+    def _passes(self, memo: dict, left: int, right: int) -> bool:
+        """Whether the arc from piece ``left`` to piece ``right`` has weight 0; ``left`` is START at the start."""
+        if len(memo) > PAIR_MEMO:
+            memo.clear()
+        pieces = [self.pieces[right]] if left == START else [self.pieces[left], self.pieces[right]]
+        found = memo[left * len(self.pieces) + right] = self._merged("".join(pieces)) == pieces
+        return found
+
+    def _lexicon(self):
+        """The automaton that tells which pieces end at each position of a string."""
+        found = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            found.add_word(piece, (i, len(piece)))
+        found.make_automaton()
         return found
 
     # -- composition with an input ---------------------------------------------
 
-    def _path(self, segment: str, pairs: dict) -> tuple[int, ...]:
+    def _path(self, segment: str, state: dict) -> tuple[int, ...]:
         """Ids of the shortest path through ``segment``."""
-        ids, longest = self.ids, self.longest
-        ends: list[str] = [""]  # the piece that ends at each position, on the path of weight 0
-        for stop in range(1, len(segment) + 1):
-            for start in range(max(0, stop - longest), stop):
-                piece = segment[start:stop]
-                if piece in ids:
-                    before = ends[start]
-                    if before and before not in ids:
-                        before = ""  # no piece has that character, so nothing merges across it
-                    if self._passes(pairs, before, piece):
-                        ends.append(piece)
-                        break
-            else:
-                ends.append(segment[stop - 1])  # byte fallback
+        pairs, size = state["pairs"], len(self.pieces)
+        # For each position, the piece that ends there on the path of weight 0. Without one the character
+        # before it is in no piece: nothing merges across it, so what follows begins afresh.
+        ends = [START] * (len(segment) + 1)
+        lengths = [0] * (len(segment) + 1)
+        for at, (piece, length) in state["lexicon"].iter(segment):
+            if not lengths[at + 1]:
+                left = ends[at + 1 - length]
+                passes = pairs.get(left * size + piece)
+                if passes is None:
+                    passes = self._passes(pairs, left, piece)
+                if passes:
+                    ends[at + 1], lengths[at + 1] = piece, length
         out, at = [], len(segment)
         while at:
-            piece = ends[at]
-            at -= len(piece)
-            known = ids.get(piece)
-            if known is not None:
-                out.append(known)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
+            if lengths[at]:
+                out.append(ends[at])
+                at -= lengths[at]
+                continue
+            at -= 1
+            if self.bytes:
+                out.extend(self.bytes[b] for b in reversed(segment[at].encode("utf-8", "surrogatepass")))
             else:
                 out.append(self.unknown)
         return tuple(reversed(out))
@@ -167,14 +179,16 @@ class PieceTransducer:
         """The ids of each text; none for a null or empty text."""
         state = worker_state("pieces")
         if state.get("of") != (len(self.pieces), self.pieces[-1]):
-            state.update(of=(len(self.pieces), self.pieces[-1]), memo={}, pairs={})
-        memo, pairs = state["memo"], state["pairs"]
-        newline = self._path("\n", pairs)
+            state.update(of=(len(self.pieces), self.pieces[-1]), memo={}, after_blank={}, pairs={})
+            state["lexicon"] = self._lexicon()
+        memo, blank_memo = state["memo"], state["after_blank"]
+        known = blank_memo.get
+        newline = self._path("\n", state)
 
         def segment(text: str) -> tuple[int, ...]:
             found = memo.get(text)
             if found is None:
-                found = self._path(text, pairs)
+                found = self._path(text, state)
                 if len(text) <= 64:
                     if len(memo) >= MEMO:
                         memo.clear()
@@ -188,6 +202,14 @@ class PieceTransducer:
                 for part in SEGMENT.findall(line):
                     ids.extend(segment(part))
 
+        def after_blank(word: str) -> tuple[int, ...]:
+            path = self._path(BLANK + word, state)
+            if len(word) <= 64:
+                if len(blank_memo) >= MEMO:
+                    blank_memo.clear()
+                blank_memo[word] = path
+            return path
+
         out = []
         for text in texts:
             ids: list[int] = []
@@ -196,40 +218,42 @@ class PieceTransducer:
                 words = marked.split(BLANK)
                 if words[0] or "" in words[1:]:
                     lines(marked, ids)
-                else:
-                    for word in words[1:]:
-                        key = BLANK + word
-                        found = memo.get(key)
-                        if found is not None:
-                            ids.extend(found)
-                        elif "\n" in word:
-                            lines(key, ids)
-                        else:
-                            ids.extend(segment(key))
+                    out.append(ids)
+                    continue
+                for word in words[1:]:
+                    found = known(word)
+                    if found is not None:
+                        ids += found
+                    elif "\n" in word:
+                        head, *rest = word.split("\n")
+                        ids += known(head) or after_blank(head)
+                        for part in rest:
+                            ids += newline
+                            if part:
+                                ids += segment(part)
+                    else:
+                        ids += after_blank(word)
             out.append(ids)
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ``ids``."""
-        pieces = self.pieces
-        if not self.bytes or max(ids, default=0) < min(self.bytes.values()):
-            joined = "".join(pieces[i] for i in ids if i not in self.silent)
-        else:
-            of = {i: b for b, i in self.bytes.items()}
+        numbers = np.asarray(ids, np.int64)
+        if ((numbers >= self.high[0]) & (numbers <= self.high[1])).any():
             out, run = [], bytearray()
             for i in ids:
-                byte = of.get(i)
+                byte = self.byte_of.get(i)
                 if byte is not None:
                     run.append(byte)
                     continue
                 if run:
                     out.append(_run_text(bytes(run)))
                     run.clear()
-                if i not in self.silent:
-                    out.append(pieces[i])
-            if run:
-                out.append(_run_text(bytes(run)))
+                out.append(self.shown[i])
+            out.append(_run_text(bytes(run)))
             joined = "".join(out)
+        else:
+            joined = "".join(map(self.shown.__getitem__, ids))
         if self.prefix and joined.startswith(BLANK):
             joined = joined[1:]
         return joined.replace(BLANK, " ")
@@ -258,7 +282,7 @@ def encode_pieces(
                 texts = [t or "" for t in part[text_col]]
                 ids = made.encode_many(texts)
                 back = [made.decode(i) for i in ids]
-                part["ids"] = pd.Series(ids, index=part.index, dtype=object)
+                part["ids"] = pd.Series([np.array(i, np.int32) for i in ids], index=part.index, dtype=object)
                 part["n_ids"] = [len(i) for i in ids]
                 part["round_trip"] = [a == b for a, b in zip(texts, back)]
                 if decoded:
