@@ -67,7 +67,7 @@ class _Model:
             # One id of several lanes with the same context stays: the last lane's.
             table[at] = np.where(right | (level > 0), guess, ids)
             sure[at] = np.where(right, np.minimum(level + 1, 3), np.maximum(level - 1, 0))
-        np.add.at(self.rules.reshape(-1), rule * 3 + outcome, 2)
+        self.rules += 2 * np.bincount(rule * 3 + outcome, minlength=3 * RULES).reshape(RULES, 3)
         crowded = self.rules.sum(axis=1) > 4000
         if crowded.any():
             self.rules[crowded] = (self.rules[crowded] + 1) >> 1
