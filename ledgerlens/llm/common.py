@@ -7,6 +7,7 @@ import types
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import checkpointed
@@ -97,3 +98,51 @@ def byte_chunks(sizes: Sequence[int], most: int = 1 << 21) -> Iterator[slice]:
         total += size + 1
     if start < len(sizes):
         yield slice(start, len(sizes))
+
+
+FILTER_CHUNK = 1 << 12
+
+
+class KeyFilter:
+    """A bit filter over 64-bit keys, made by Spark and read in tasks; it may let other keys through.
+
+    Its size is set by the number of keys and is at most ``MOST_BITS / 8`` bytes.
+    """
+
+    LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
+
+    def __init__(self, keys: DataFrame):
+        """``keys`` has one bigint column, ``key``."""
+        bits, n = self.LEAST_BITS, keys.count()
+        while bits < self.MOST_BITS and bits < 16 * n:
+            bits *= 2
+        span = 8 * FILTER_CHUNK
+
+        def slots(batches):
+            for batch in batches:
+                both = np.concatenate(_filter_slots(batch["key"].to_numpy(), bits)).astype(np.int64)
+                yield pd.DataFrame({"chunk": both // span, "bit": both % span}).drop_duplicates()
+
+        def fill(rows: pd.DataFrame) -> pd.DataFrame:
+            mark = np.zeros(span, np.uint8)
+            mark[rows["bit"]] = 1
+            data = np.packbits(mark, bitorder="little").tobytes()
+            return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "data": [data]})
+
+        filled = np.zeros((-(-bits // span), FILTER_CHUNK), np.uint8)
+        marked = keys.mapInPandas(slots, "chunk bigint, bit bigint").distinct()
+        for row in marked.groupBy("chunk").applyInPandas(fill, "chunk bigint, data binary").toLocalIterator():
+            filled[row["chunk"]] = np.frombuffer(row["data"], np.uint8)
+        self.bits = bits
+        self.table = keys.sparkSession.sparkContext.broadcast(filled.ravel())
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        table, hit = self.table.value, np.ones(len(keys), bool)
+        for slot in _filter_slots(keys, self.bits):
+            hit &= (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return hit
+
+
+def _filter_slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    keys, low = mix(keys.astype(np.int64).view(np.uint64)), np.uint64(bits - 1)
+    return keys & low, mix(keys + GOLDEN) & low

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import GOLDEN, Words, byte_chunks, checkpointed, mix, weights
+from ledgerlens.llm.common import GOLDEN, KeyFilter, Words, byte_chunks, checkpointed, mix, weights
 from ledgerlens.llm.components import connected_components
 
 SHINGLE = 5
@@ -154,16 +154,22 @@ class NearDuplicates:
         return sketches.select("node", "registers").mapInPandas(run, f"band bigint, number smallint, node {kind}")
 
     def full_sets(self, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(node, members): the shingle sets of the nodes in ``wanted`` (_w), made again from their texts."""
+        """(node, members): the shingle sets of the nodes in ``wanted`` (_w), made again from their texts.
+
+        A bit filter finds them in a pass over the texts, which saves a shuffle of all texts; sets of other
+        nodes that it lets through go unused.
+        """
+        wanted_keys = KeyFilter(wanted.select(F.xxhash64("_w").alias("key")))
 
         def sets(batches):
             for batch in batches:
+                batch = batch[wanted_keys.passes(batch["_key"].to_numpy())]
                 found = [s.tobytes() for s in shingle_sets(batch["text"].tolist())]
                 yield pd.DataFrame({"node": batch["node"], "members": found})
 
         kind = texts.schema["node"].dataType.simpleString()
-        chosen = texts.join(wanted, F.col("node") == F.col("_w"), "left_semi")
-        return checkpointed(chosen.mapInPandas(sets, f"node {kind}, members binary"))
+        keyed = texts.select("node", "text", F.xxhash64("node").alias("_key"))
+        return checkpointed(keyed.mapInPandas(sets, f"node {kind}, members binary"))
 
     def confirmed(self, pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
         """The ``pairs`` (a, b) whose estimate lets them through and whose full sets are close enough."""
