@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Iterator, Sequence
@@ -24,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Ask the driver for a collection, after which Spark's cleaner removes the shuffle files of steps whose
+    result has been written as a table. It saves disk where large steps follow each other; nothing else
+    depends on it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def worker_state(name: str) -> dict:
     """A dict that lives as long as the Python worker, so that later tasks can reuse what it holds."""
     module = sys.modules.setdefault("_ledgerlens_worker", types.ModuleType("_ledgerlens_worker"))

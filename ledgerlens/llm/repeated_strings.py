@@ -25,13 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import GOLDEN, _powers, checkpointed, mix
+from ledgerlens.llm.common import GOLDEN, KeyFilter, _powers, checkpointed, mix, release_shuffles
 
 SEED = 24
 SEGMENT = 1 << 20  # window starts looked at together
 PLACE_BITS = np.uint64(22)
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
-CHUNK_BYTES = 1 << 12  # of the filter
 SHARD = 1 << 21  # suffixes sorted at a time, whole anchors
 
 
@@ -91,11 +89,6 @@ class Runs:
         return text, first, count, seeds[anchor[head]]
 
 
-def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(bits - 1)
-    return hashes & low, mix(hashes + GOLDEN) & low
-
-
 def suffix_names(buffer: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
     """Names of the ``length``-byte prefixes of the suffixes at ``valid``: equal exactly if the bytes are.
 
@@ -183,36 +176,14 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         .where(F.col("_least") < F.col("_last"))
         .select("anchor")
     )
-    bits, n = LEAST_BITS, shared.count()
-    while bits < MOST_BITS and bits < 16 * n:
-        bits *= 2
-
-    def slots(batches):
-        for batch in batches:
-            both = np.concatenate(_slots(batch["anchor"].to_numpy().view(np.uint64), bits)).astype(np.int64)
-            yield pd.DataFrame({"chunk": both // (8 * CHUNK_BYTES), "bit": both % (8 * CHUNK_BYTES)}).drop_duplicates()
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        mark = np.zeros(8 * CHUNK_BYTES, np.uint8)
-        mark[rows["bit"]] = 1
-        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "data": [np.packbits(mark, bitorder="little").tobytes()]})
-
-    filled = np.zeros((-(-bits // (8 * CHUNK_BYTES)), CHUNK_BYTES), np.uint8)
-    # At most bits / 8 bytes in all, 64 MB whatever the input.
-    marked = shared.mapInPandas(slots, "chunk bigint, bit bigint").groupBy("chunk").applyInPandas(fill, "chunk bigint, data binary")
-    for row in marked.toLocalIterator():
-        filled[row["chunk"]] = np.frombuffer(row["data"], np.uint8)
-    shipped = spark.sparkContext.broadcast(filled.ravel())
+    release_shuffles(spark)
+    shared_anchors = KeyFilter(shared.withColumnRenamed("anchor", "key"))
 
     def runs_of(batches):
-        table = shipped.value
         for batch in batches:
             for texts, ids, sign in raw(batch):
                 runs = Runs(texts, length)
-                hit = np.ones(len(runs.anchor), bool)
-                for slot in _slots(runs.anchor, bits):
-                    hit &= (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at = np.flatnonzero(hit)
+                at = np.flatnonzero(shared_anchors.passes(runs.anchor.view(np.int64)))
                 text, first, count = runs.text[at], runs.first[at], runs.count[at]
                 pieces = [texts[t][f : f + c + length - 1] for t, f, c in zip(text.tolist(), first.tolist(), count.tolist())]
                 yield pd.DataFrame(
@@ -226,18 +197,14 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                 )
 
     places = checkpointed(
-        usable.mapInPandas(runs_of, f"anchor bigint, id {kind}, sign bigint, first bigint, piece binary").select(
-            "anchor", "id", "sign", "first", "piece",
-            F.xxhash64("piece").alias("sign_a"),
-            F.xxhash64("anchor", "piece", F.lit(7)).alias("sign_b"),
-        )
-    )
-    combined = (
-        places.groupBy("anchor", "sign_a", "sign_b", "piece")
-        .agg(F.min("id").alias("least"), F.max("id").alias("last"))
-        .repartition("anchor")
-        .sortWithinPartitions("anchor")
+        usable.mapInPandas(runs_of, f"anchor bigint, id {kind}, sign bigint, first bigint, piece binary")
+    )
+    combined = checkpointed(
+        places.groupBy("anchor", "piece").agg(F.min("id").alias("least"), F.max("id").alias("last"))
     )
+    release_shuffles(spark)
+    names = {"sign_a": F.xxhash64("piece"), "sign_b": F.xxhash64("anchor", "piece", F.lit(7))}
+    dealt = combined.repartition("anchor").sortWithinPartitions("anchor").withColumns(names)
 
     def shards(batches):
         held, size = [], 0
@@ -266,13 +233,14 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
             yield _ranges(pd.concat(held, ignore_index=True), length)
 
     found = checkpointed(
-        combined.mapInPandas(shards, f"sign_a bigint, sign_b bigint, at int, windows int, least {kind}").select(
+        dealt.mapInPandas(shards, f"sign_a bigint, sign_b bigint, at int, windows int, least {kind}").select(
             F.col("sign_a").alias("_a"), F.col("sign_b").alias("_b"), "at", "windows", "least"
         )
     )
 
+    release_shuffles(spark)
     ranges = (
-        places.select("id", "sign", "first", "sign_a", "sign_b")
+        places.select("id", "sign", "first", *[c.alias(n) for n, c in names.items()])
         .join(found, (F.col("sign_a") == F.col("_a")) & (F.col("sign_b") == F.col("_b")))
         .where(F.col("least") < F.col("id"))
         .select(
