@@ -246,3 +246,51 @@ def explain(spark, sf_dir):
         F.array_join("explanation_methods", ",").alias("methods"),
         F.size("feature_contributions").alias("contributions"),
     )
+
+
+@register("train_job")
+def train_job(spark, sf_dir):
+    """Train, save, load in a new object: scores before and after, and the gate."""
+    from ledgerlens.models.artifact import Artifact
+    from ledgerlens.plans.training_job import train_job as job
+
+    path = work_dir(spark, "artifact")
+    fitted = job(coerced(spark, sf_dir), path, "random_forest", threshold=0.5, **SMALL)
+    loaded = Artifact.load(spark, path)
+    both, _ = train_test_features(coerced(spark, sf_dir))
+    held = checkpointed(both.where("is_test = 1"))
+    before = score_frame(fitted.model, held, 0.5).select("row_key", F.col("fraud_probability").alias("before"))
+    after = score_frame(loaded.model, held, 0.5).select(F.col("row_key").alias("_key"), "fraud_probability", "risk_band")
+    joined = before.join(after, F.col("row_key") == F.col("_key")).drop("_key")
+    return joined.withColumn("passed", F.lit(bool(loaded.facts["passed"])))
+
+
+@register(
+    "score_batch_alone",
+    """SELECT row_key, CAST(0 AS BIGINT) AS txn_count_30d, CAST(0 AS DOUBLE) AS txn_amount_sum_7d, 1 AS is_new_merchant,
+    CAST(NULL AS STRING) AS reasons FROM valid
+    UNION ALL SELECT row_key, NULL, NULL, NULL, array_to_string(list_filter([
+      CASE WHEN transactionAmount IS NULL THEN 'amount missing' WHEN transactionAmount <= 0 THEN 'amount not positive' END,
+      CASE WHEN accountNumber IS NULL THEN 'accountNumber missing' END,
+      CASE WHEN customerId IS NULL THEN 'customerId missing' END,
+      CASE WHEN merchantName IS NULL THEN 'merchantName missing' END,
+      CASE WHEN TRY_CAST(transactionDateTime AS TIMESTAMP) IS NULL THEN 'transactionDateTime unreadable' END],
+      lambda x: x IS NOT NULL), '; ')
+    FROM txn WHERE row_key NOT IN (SELECT row_key FROM valid)""",
+)
+def score_batch_alone(spark, sf_dir):
+    """History columns of payloads scored one by one, and the rejects, as they came."""
+    train, _, pipeline = prepared(spark, sf_dir)
+    payloads = raw(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    model = t.fit_model(train, "logistic_regression")
+    scores, rejected = score_batch(payloads, model, pipeline, keep=("row_key",))
+    key = F.get_json_object("value", "$.row_key")
+    return scores.select(
+        F.col("row_key").cast("bigint").alias("row_key"),
+        F.col("txn_count_30d").cast("bigint").alias("txn_count_30d"),
+        "txn_amount_sum_7d",
+        F.col("is_new_merchant").cast("int").alias("is_new_merchant"),
+    ).unionByName(
+        rejected.select(key.cast("bigint").alias("row_key"), F.array_join("reject_reasons", "; ").alias("reasons")),
+        allowMissingColumns=True,
+    )

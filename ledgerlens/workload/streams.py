@@ -16,7 +16,7 @@ from ledgerlens.workload.fixture import TXN_SQL
 from ledgerlens.workload.io import CSV_SQL
 from ledgerlens.workload.learning import SMALL, prepared
 from ledgerlens.workload.registry import coerced, raw, register, rounded, rounded_sql
-from ledgerlens.workload.windows import COUNT_COLUMNS, COUNTS_SQL, SUM_COLUMNS, SUMS_SQL
+from ledgerlens.workload.windows import COUNT_COLUMNS, COUNTS_SQL, NEW_SQL, SUM_COLUMNS, SUMS_SQL
 
 
 def event_stream(spark, sf_dir):
@@ -27,6 +27,26 @@ def event_stream(spark, sf_dir):
     return coerce(rows, keep=("row_key",))
 
 
+FILES = 5
+
+
+def staged_stream(spark, sf_dir):
+    """The events as ``FILES`` files in time order, one per micro-batch."""
+    landing = work_dir(spark, "events")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cuts = events.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / FILES for i in range(1, FILES)])).first()[0]
+    bounds = [None, *cuts, None]
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        part = events if low is None else events.where(at > low)
+        part = part if high is None else part.where(at <= high)
+        # One file each; files are taken in the order they were written.
+        part.coalesce(1).write.parquet(f"{landing}/part={i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    rows = spark.sql(TXN_SQL.replace("FROM events", "FROM {events}"), events=stream.parquet(f"{landing}/part=*"))
+    return coerce(rows, keep=("row_key",))
+
+
 def drained(spark, df):
     """Run an append stream to its end and read what it wrote."""
     out = work_dir(spark, "stream-out")
@@ -75,8 +95,8 @@ def stream_monitor(spark, sf_dir):
 
 @register("stream_history", f"SELECT row_key, {COUNTS_SQL}, {SUMS_SQL} FROM valid")
 def stream_history(spark, sf_dir):
-    """Stateful velocity over the stream equals the batch windows."""
-    out = drained(spark, jobs.velocity_stream(event_stream(spark, sf_dir)))
+    """Stateful velocity over several micro-batches equals the batch windows."""
+    out = drained(spark, jobs.velocity_stream(staged_stream(spark, sf_dir)))
     return out.select("row_key", *COUNT_COLUMNS, *[F.round(c, 2).alias(c) for c in SUM_COLUMNS])
 
 
@@ -85,8 +105,9 @@ def scoring(spark, sf_dir, history):
     train, _, pipeline = prepared(spark, sf_dir)
     model = fit_model(train, "random_forest", **SMALL)
     scored, alerts = work_dir(spark, "scored"), work_dir(spark, "alerts")
+    stream = staged_stream(spark, sf_dir) if history == "store" else event_stream(spark, sf_dir)
     jobs.score_stream(
-        event_stream(spark, sf_dir),
+        stream,
         pipeline,
         model,
         scored,
@@ -97,7 +118,11 @@ def scoring(spark, sf_dir, history):
         threshold=0.6,
         model_version="v1",
     ).awaitTermination()
-    columns = "row_key bigint, txn_count_24h double, fraud_probability double, prediction int, risk_band string, model_version string, batch int"
+    columns = (
+        "row_key bigint, txn_count_24h double, txn_count_48h double, txn_count_7d double, txn_count_30d double, "
+        "txn_amount_sum_24h double, txn_amount_sum_7d double, is_new_merchant double, fraud_probability double, "
+        "prediction int, risk_band string, model_version string, batch int"
+    )
     return spark.read.schema(columns).json(scored)
 
 
@@ -109,3 +134,15 @@ def stream_score(spark, sf_dir):
 @register("stream_score_store")
 def stream_score_store(spark, sf_dir):
     return scoring(spark, sf_dir, "store")
+
+
+@register("stream_store_history", f"SELECT row_key, {COUNTS_SQL}, {SUMS_SQL}, {NEW_SQL} FROM valid")
+def stream_store_history(spark, sf_dir):
+    """History columns scored in several micro-batches with the store equal the batch windows."""
+    out = scoring(spark, sf_dir, "store")
+    return out.select(
+        "row_key",
+        *[F.col(c).cast("bigint").alias(c) for c in COUNT_COLUMNS],
+        *[F.round(c, 2).alias(c) for c in SUM_COLUMNS],
+        F.col("is_new_merchant").cast("int").alias("is_new_merchant"),
+    )
