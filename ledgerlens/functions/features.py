@@ -15,6 +15,7 @@ from ledgerlens.functions.scalars import (
 )
 from ledgerlens.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
+# Fixed values.
 NIGHT_HOURS = [22, 23, 0, 1, 2, 3, 4]
 HIGH_RISK_ENTRY = [81, 90]
 HIGH_RISK_CONDITION = [8, 59, 99]

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.split import hash_sample
+from ledgerlens.session import checkpointed
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double"
 EULER = 0.5772156649015329
@@ -102,13 +103,22 @@ def fit_isolation_forest(
     seed: int = 42,
     key: str = "row_key",
 ) -> IsolationForest:
-    """Each tree sees ``sample_rows`` rows of a pool of at most ``trees × sample_rows`` rows."""
+    """Each tree sees about ``sample_rows`` rows of a pool of at most ``trees × sample_rows`` rows.
+
+    A row of a full pool is in one tree, chosen by its hash; rows of a smaller pool are in as many trees as
+    it takes, all different. So about ``trees × sample_rows`` rows are dealt out in either case.
+    """
     columns = list(columns)
     values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
-    pool = hash_sample(df.select(key, F.array(*values).alias("x")), trees * sample_rows, key, seed)
-    draws = pool.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    draw = Window.partitionBy("tree").orderBy(F.xxhash64(key, "tree", F.lit(seed)), key)
-    samples = draws.withColumn("_n", F.row_number().over(draw)).where(F.col("_n") <= sample_rows)
+    pool = checkpointed(hash_sample(df.select(key, F.array(*values).alias("x")), trees * sample_rows, key, seed))
+    rows = pool.count()
+    copies = min(trees, max(1, -(-trees * sample_rows // max(1, rows))))
+    start = F.xxhash64(key, F.lit(seed))
+    samples = pool.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy")).select(
+        "x",
+        F.pmod(F.pmod(start, F.lit(trees)) + F.col("_copy"), F.lit(trees)).cast("int").alias("tree"),
+        F.xxhash64(key, "_copy", F.lit(seed)).alias("_n"),
+    )
 
     def grow_tree(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_n")
@@ -117,5 +127,5 @@ def fit_isolation_forest(
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "length"])
 
     nodes = samples.groupBy("tree").applyInPandas(grow_tree, NODE_SCHEMA).toPandas()
-    size = int(min(sample_rows, pool.count()))
+    size = int(min(sample_rows, rows))
     return IsolationForest(columns, nodes, size, df.sparkSession)

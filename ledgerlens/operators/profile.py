@@ -184,13 +184,18 @@ def mapped_back(df: DataFrame, key: str, stats: DataFrame) -> DataFrame:
     return df.join(stats, key, "left")
 
 
-def location_features(df: DataFrame) -> DataFrame:
-    """Row count and fraud rate of the (country, city) of each row."""
-    df = df.withColumn("location", location_key(F.col("acqCountry"), F.col("merchantCity")))
-    stats = df.groupBy("location").agg(
+def location_stats(df: DataFrame) -> DataFrame:
+    """Row count and fraud rate per (country, city)."""
+    key = location_key(F.col("acqCountry"), F.col("merchantCity"))
+    return df.groupBy(key.alias("location")).agg(
         F.count(F.lit(1)).alias("location_txn_count"), F.avg(_fraud()).alias("location_fraud_rate")
     )
-    return mapped_back(df, "location", stats)
+
+
+def location_features(df: DataFrame) -> DataFrame:
+    """Row count and fraud rate of the (country, city) of each row."""
+    keyed = df.withColumn("location", location_key(F.col("acqCountry"), F.col("merchantCity")))
+    return mapped_back(keyed, "location", location_stats(df))
 
 
 def target_encode(df: DataFrame, entity: str, target: str = "isFraud") -> DataFrame:

@@ -271,8 +271,7 @@ LOCATION = "coalesce(acqCountry, 'Unknown') || '_' || coalesce(merchantCity, 'Un
     FROM valid GROUP BY 1""",
 )
 def location_stats(spark, sf_dir):
-    out = profile.location_features(scored(spark, sf_dir))
-    return r(out.select("location", "location_txn_count", "location_fraud_rate").distinct(), 6, "location_fraud_rate")
+    return r(profile.location_stats(scored(spark, sf_dir)), 6, "location_fraud_rate")
 
 
 @register(
