@@ -53,6 +53,11 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
+def set_name(shingles: np.ndarray, salt: int) -> np.uint64:
+    """64 bits that name a set, whatever the order of its members."""
+    return mix(shingles + np.array([salt], np.uint64) * GOLDEN).sum(dtype=np.uint64)
+
+
 def sketch(shingles: np.ndarray, buckets: int) -> np.ndarray:
     """16-bit registers of a non-empty set: leading zeros, then the bits after the first one."""
     best = np.full(buckets, -1, np.int64)
@@ -120,8 +125,7 @@ class NearDuplicates:
                     if not len(found):
                         rows.append((0, 0, 0, b""))
                         continue
-                    names = [mix(found + np.uint64(k) * GOLDEN).sum(dtype=np.uint64) for k in (1, 2)]
-                    a, b = np.array(names, np.uint64).view(np.int64)
+                    a, b = np.array([set_name(found, k) for k in (1, 2)], np.uint64).view(np.int64)
                     rows.append((len(found), a, b, sketch(found, buckets).tobytes()))
                 out = pd.DataFrame(rows, columns=["n", "set_a", "set_b", "registers"])
                 out.insert(0, "id", batch["id"].to_numpy())
@@ -153,23 +157,27 @@ class NearDuplicates:
         kind = sketches.schema["node"].dataType.simpleString()
         return sketches.select("node", "registers").mapInPandas(run, f"band bigint, number smallint, node {kind}")
 
-    def full_sets(self, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    def full_sets(self, texts: DataFrame, wanted: DataFrame, sketches: DataFrame) -> DataFrame:
         """(node, members): the shingle sets of the nodes in ``wanted`` (_w), made again from their texts.
 
         A bit filter finds them in a pass over the texts, which saves a shuffle of all texts; sets of other
-        nodes that it lets through go unused.
+        nodes that it lets through go unused. Of several texts under one id the sketched one counts.
         """
         wanted_keys = KeyFilter(wanted.select(F.xxhash64("_w").alias("key")))
 
         def sets(batches):
             for batch in batches:
                 batch = batch[wanted_keys.passes(batch["_key"].to_numpy())]
-                found = [s.tobytes() for s in shingle_sets(batch["text"].tolist())]
-                yield pd.DataFrame({"node": batch["node"], "members": found})
+                found = list(shingle_sets(batch["text"].tolist()))
+                names = np.array([set_name(s, 1) for s in found], np.uint64).view(np.int64)
+                yield pd.DataFrame({"node": batch["node"], "name": names, "members": [s.tobytes() for s in found]})
 
         kind = texts.schema["node"].dataType.simpleString()
         keyed = texts.select("node", "text", F.xxhash64("node").alias("_key"))
-        return checkpointed(keyed.mapInPandas(sets, f"node {kind}, members binary"))
+        made = keyed.mapInPandas(sets, f"node {kind}, name bigint, members binary")
+        own = sketches.select(F.col("node").alias("_n"), F.col("set_a").alias("_name"))
+        match = (F.col("node") == F.col("_n")) & (F.col("name") == F.col("_name"))
+        return checkpointed(made.join(own, match, "left_semi").drop("name").dropDuplicates(["node"]))
 
     def confirmed(self, pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
         """The ``pairs`` (a, b) whose estimate lets them through and whose full sets are close enough."""
@@ -204,7 +212,7 @@ class NearDuplicates:
             .mapInPandas(close, f"a {kind}, b {kind}")
         )
         wanted = through.select(F.col("a").alias("_w")).union(through.select("b")).distinct()
-        members = self.full_sets(texts, wanted)
+        members = self.full_sets(texts, wanted, sketches)
         full = lambda s: members.toDF(f"_{s}", f"m{s}")
         return (
             through.join(full("b"), F.col("b") == F.col("_b"))
@@ -312,7 +320,7 @@ class NearDuplicates:
 
         together = lambda df: df.repartition("band", "_i", "_j").sortWithinPartitions("band", "_i", "_j")
         first = checkpointed(together(cut).mapInPandas(involved, cut.schema))
-        full = self.full_sets(texts, first.select(F.col("node").alias("_w")).distinct())
+        full = self.full_sets(texts, first.select(F.col("node").alias("_w")).distinct(), sketches)
         with_sets = first.join(full.toDF("_n", "members"), F.col("node") == F.col("_n")).drop("_n")
         return together(with_sets).mapInPandas(check, f"a {kind}, b {kind}")
 
@@ -360,7 +368,8 @@ def near_duplicates(
 
     A null or wordless text has no shingles and is linked with nothing. A row without an id is linked
     with nothing either: its component is null and it is kept. Repeated rows with one id share their
-    component; rows with one id and different texts are compared each by its own text. An empty table
+    component. Ids are taken to name texts: where one id has several texts, each row keeps its own size and class,
+    and of the classes that the id is the smallest member of, one is compared with the rest. An empty table
     gives an empty table.
     """
     steps = NearDuplicates(percent, bands, rows)
@@ -378,7 +387,7 @@ def near_duplicates(
     chosen = checkpointed(
         real.join(classes, F.col("id") == F.col("node"))
         .where(equal("set_a", "_a") & equal("set_b", "_b") & equal("n", "_n"))
-        .select("node", "n", "registers")
+        .select("node", "n", "registers", "set_a")
         .dropDuplicates(["node"])
     )
     texts = source.withColumnRenamed("id", "node")
