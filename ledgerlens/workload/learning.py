@@ -193,10 +193,10 @@ EXPLAINED = FEATURE_COLUMNS
 
 
 def alerts(spark, sf_dir):
-    """(model, alert rows, background): the held-out rows a small forest scores highest."""
+    """(model, alert rows, background): the held-out rows at or above the default alert threshold."""
     train, test, _ = prepared(spark, sf_dir)
     model = t.fit_model(train, "random_forest", **SMALL)
-    flagged = checkpointed(score_frame(model, test, 0.6).where("risk_band = 'critical'"))
+    flagged = checkpointed(score_frame(model, test).where("risk_band = 'critical'"))
     background = checkpointed(background_sample(train, FEATURE_COLUMNS))
     return model, flagged, background
 
