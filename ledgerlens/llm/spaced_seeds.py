@@ -59,19 +59,26 @@ def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes & low, mix(hashes + GOLDEN) & low
 
 
-def best_segment(doc: np.ndarray, item: np.ndarray, offset: int) -> tuple[int, int, int]:
+def best_segment(doc: np.ndarray, item: np.ndarray, offset: int, least: int) -> tuple[int, int, int]:
     """(equal words, words, first word in doc) of the best run of ``item`` laid on ``doc`` at ``offset``.
 
-    The best run has the largest sum of +1 for an equal and -MISMATCH for a changed word; the earliest of
-    those, and the shortest from there.
+    Of all runs with ``least`` equal words or more and at most one word in four changed, that is those whose
+    sum of +1 for an equal and -MISMATCH for a changed word is not negative, the one with the largest sum; the
+    earliest of those, and the shortest from there. Zeros if there is none.
     """
     low, high = max(0, -offset), min(len(item), len(doc) - offset)
     equal = item[low:high] == doc[low + offset : high + offset]
+    n_equal = np.concatenate([[0], np.cumsum(equal)])
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
-    least = np.minimum.accumulate(total)
-    end = int(np.argmax(total - least))
-    start = int(np.flatnonzero(total[: end + 1] == least[end])[0])
-    return int(equal[start:end].sum()), end - start, low + offset + start
+    # The last start that leaves ``least`` equal words before each end.
+    latest = np.searchsorted(n_equal, n_equal - least, side="right") - 1
+    before = np.minimum.accumulate(total)[latest]
+    gain = np.where(latest >= 0, total - before, -1)
+    end = int(np.argmax(gain))
+    if gain[end] < 0:
+        return 0, 0, 0
+    start = int(np.flatnonzero(total[: latest[end] + 1] == before[end])[0])
+    return int(n_equal[end] - n_equal[start]), end - start, low + offset + start
 
 
 def contaminated(
@@ -88,8 +95,9 @@ def contaminated(
 
     (``doc_id``, ``item_id``, ``n_equal``, ``n_words``, ``item_words``, ``doc_start``): words that are equal
     within the best overlap, its length in words, the item's length, and the overlap's first word in the
-    document (from 0). An overlap counts with ``min_words`` equal words or more (all words of an item with
-    fewer than 11), at most one word in four changed, and a window of 11 words around which a mask fits.
+    document (from 0). Any stretch counts as an overlap that has ``min_words`` equal words or more (all words
+    of an item with fewer than 11), at most one word in four changed, and, on the same diagonal, a window of 11
+    words where a mask fits.
     Items with fewer than 5 words prove nothing and match nothing.
 
     Null and empty texts match nothing. Rows with a null id are reported with that null id. Repeated rows
@@ -198,11 +206,11 @@ def contaminated(
                 item, words = np.frombuffer(item, np.uint64), np.frombuffer(words, np.uint64)
                 best = (0, 0, 0)
                 for offset in places:
-                    found = best_segment(words, item, int(offset))
+                    found = best_segment(words, item, int(offset), min_words if m >= SPAN else m)
                     if (found[0], -found[1], -found[2]) > (best[0], -best[1], -best[2]):
                         best = found
                 equal, length, start = best
-                if equal >= (min_words if m >= SPAN else m) and 4 * (length - equal) <= length:
+                if equal:
                     rows.append((key, item_id, equal, length, m, start))
             yield pd.DataFrame(rows, columns=["id", "item_id", "n_equal", "n_words", "item_words", "doc_start"])
 
