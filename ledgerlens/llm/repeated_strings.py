@@ -13,6 +13,9 @@ anchor), so every window is in one run and equal windows are in runs with equal
    of 16, 32 and ``length`` bytes, so the common prefix doubles at each level and sorted order is induced from
    the level before. Suffixes with one final name share ``length`` bytes; the smallest document of each is
    found, and told per run as ranges of windows.
+   An anchor with more than SHARD bytes of distinct runs would not fit a task. Its runs, of at most
+   ``length`` - SEED + 1 windows each, become rows of windows instead; the smallest document of each window is
+   found by a grouping by its bytes, combined on the map side, and joined back to the runs.
 4. The ranges go back to every place of the run and are put together per document.
 """
 
@@ -30,7 +33,7 @@ from ledgerlens.llm.common import GOLDEN, KeyFilter, _powers, checkpointed, mix,
 SEED = 24
 SEGMENT = 1 << 20  # window starts looked at together
 PLACE_BITS = np.uint64(22)
-SHARD = 1 << 21  # suffixes sorted at a time, whole anchors
+SHARD = 1 << 21  # suffixes sorted at a time, whole anchors; anchors beyond are compared by windows
 
 
 def _segments(texts: Sequence[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -141,6 +144,42 @@ def _ranges(runs: pd.DataFrame, length: int) -> pd.DataFrame:
     return out[~(lone & (least[head] == runs["least"].to_numpy()[owner[head]]))]
 
 
+def _heavy_ranges(runs: DataFrame, length: int, shape: str) -> DataFrame:
+    """The ranges of ``_ranges`` for runs of any number, by a grouping of their windows."""
+    last_window = F.length("piece") - F.lit(length)
+    windows = runs.select(
+        "sign_a", "sign_b", "piece", "least", "last", F.explode(F.sequence(F.lit(0), last_window)).alias("at")
+    ).withColumn("window", F.substring("piece", F.col("at") + 1, F.lit(length)))
+    # A window of one document tells nothing. Written, so that the join has an exchange on either side.
+    shared = checkpointed(
+        windows.groupBy("window")
+        .agg(F.min("least").alias("_first"), F.max("last").alias("_end"))
+        .where(F.col("_first") < F.col("_end"))
+        .select(F.col("window").alias("_window"), "_first")
+    )
+    marks = (
+        windows.join(shared, F.col("window") == F.col("_window"))
+        .where(F.col("_first") < F.col("last"))
+        .groupBy("sign_a", "sign_b")
+        .agg(F.sort_array(F.collect_list(F.struct("at", F.col("_first").alias("least")))).alias("marks"))
+    )
+
+    def together(batches):
+        """Neighbouring windows with one smallest document as one range."""
+        for batch in batches:
+            rows = []
+            for sign_a, sign_b, found in zip(batch["sign_a"], batch["sign_b"], batch["marks"]):
+                begin = 0
+                for k in range(1, len(found) + 1):
+                    same = k < len(found) and found[k]["least"] == found[begin]["least"]
+                    if not same or found[k]["at"] != found[begin]["at"] + k - begin:
+                        rows.append((sign_a, sign_b, found[begin]["at"], k - begin, found[begin]["least"]))
+                        begin = k
+            yield pd.DataFrame(rows, columns=["sign_a", "sign_b", "at", "windows", "least"])
+
+    return checkpointed(marks.mapInPandas(together, shape))
+
+
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """(id, sign, spans): for documents (id, text) the byte ranges [start, stop) that an earlier document has;
     ``sign`` is the text's xxhash64.
@@ -204,7 +243,16 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     )
     release_shuffles(spark)
     names = {"sign_a": F.xxhash64("piece"), "sign_b": F.xxhash64("anchor", "piece", F.lit(7))}
-    dealt = combined.repartition("anchor").sortWithinPartitions("anchor").withColumns(names)
+    heavy = checkpointed(
+        combined.groupBy("anchor")
+        .agg(F.sum(F.length("piece")).alias("_bytes"))
+        .where(F.col("_bytes") > SHARD)
+        .select(F.col("anchor").alias("_heavy"))
+    )
+    release_shuffles(spark)
+    is_heavy = F.col("anchor") == F.col("_heavy")
+    light = combined.join(heavy, is_heavy, "left_anti")
+    dealt = light.repartition("anchor").sortWithinPartitions("anchor").withColumns(names)
 
     def shards(batches):
         held, size = [], 0
@@ -232,13 +280,13 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         if held:
             yield _ranges(pd.concat(held, ignore_index=True), length)
 
-    found = checkpointed(
-        dealt.mapInPandas(shards, f"sign_a bigint, sign_b bigint, at int, windows int, least {kind}").select(
-            F.col("sign_a").alias("_a"), F.col("sign_b").alias("_b"), "at", "windows", "least"
-        )
-    )
-
+    shape = f"sign_a bigint, sign_b bigint, at int, windows int, least {kind}"
+    sorted_ranges = checkpointed(dealt.mapInPandas(shards, shape))
     release_shuffles(spark)
+    frequent = combined.join(heavy, is_heavy, "left_semi").withColumns(names)
+    found = sorted_ranges.unionByName(_heavy_ranges(frequent, length, shape)).select(
+        F.col("sign_a").alias("_a"), F.col("sign_b").alias("_b"), "at", "windows", "least"
+    )
     ranges = (
         places.select("id", "sign", "first", *[c.alias(n) for n, c in names.items()])
         .join(found, (F.col("sign_a") == F.col("_a")) & (F.col("sign_b") == F.col("_b")))
