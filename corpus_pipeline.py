@@ -10,7 +10,7 @@ columns of ``documents``.
 4. decontaminate: documents that share a passage with the table ``benchmark`` go.
 5. pieces: every document gets its SentencePiece ids; nothing goes.
 
-Documents without an id stay in every stage that decides by id.
+Documents without an id stay in near_dedup, which decides by id.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from ledgerlens.llm.hyperminhash import near_duplicates
 from ledgerlens.llm.line_dedup import line_dedup
 from ledgerlens.llm.piece_transducer import encode_pieces
 from ledgerlens.llm.q_pieces import machine
-from ledgerlens.llm.spaced_seeds import contaminated
+from ledgerlens.llm.spaced_seeds import overlaps
 from ledgerlens.llm.toxicity import fit_toxicity, score_toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -52,8 +52,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak"))
-    return docs.join(checkpointed(found.distinct()), F.col("doc_id") == F.col("_leak"), "left_anti")
+    found = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak"), "sign")
+    # By id and text, so that rows without an id go too, and of rows that share an id those with the passage.
+    same_row = F.col("doc_id").eqNullSafe(F.col("_leak")) & (F.xxhash64("text") == F.col("sign"))
+    return docs.join(checkpointed(found.distinct()), same_row, "left_anti")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,6 +104,20 @@ def contaminated(
     of either table give one row; rows with one id and different texts are compared each. Of several equally
     good overlaps the first in the document is told. Empty tables give an empty table.
     """
+    return overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col, min_words=min_words).drop("sign")
+
+
+def overlaps(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    *,
+    min_words: int = 10,
+) -> DataFrame:
+    """The rows of ``contaminated`` with ``sign``, the xxhash64 of the document's text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     items = items.where(F.col("text").isNotNull()).distinct()
@@ -200,8 +214,8 @@ def contaminated(
     def verify(batches):
         for batch in batches:
             rows = []
-            for key, item_id, m, item, words, places in zip(
-                batch["id"], batch["item_id"], batch["m"], batch["item_hashes"], batch["words"], batch["offsets"]
+            for key, sign, item_id, m, item, words, places in zip(
+                batch["id"], batch["sign"], batch["item_id"], batch["m"], batch["item_hashes"], batch["words"], batch["offsets"]
             ):
                 item, words = np.frombuffer(item, np.uint64), np.frombuffer(words, np.uint64)
                 best = (0, 0, 0)
@@ -211,17 +225,18 @@ def contaminated(
                         best = found
                 equal, length, start = best
                 if equal:
-                    rows.append((key, item_id, equal, length, m, start))
-            yield pd.DataFrame(rows, columns=["id", "item_id", "n_equal", "n_words", "item_words", "doc_start"])
+                    rows.append((key, sign, item_id, equal, length, m, start))
+            yield pd.DataFrame(rows, columns=["id", "sign", "item_id", "n_equal", "n_words", "item_words", "doc_start"])
 
     known = hits.select("id", "sign", "words").dropDuplicates(["id", "sign"])
     names = hashed.withColumnRenamed("item", "_item")
     return (
         known.join(offsets, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sign") == F.col("_sign")))
         .join(names, F.col("item") == F.col("_item"))
-        .select("id", "item_id", "m", "item_hashes", "words", "offsets")
+        .select("id", "sign", "item_id", "m", "item_hashes", "words", "offsets")
         .mapInPandas(
-            verify, f"id {id_kind}, item_id {item_kind}, n_equal int, n_words int, item_words int, doc_start int"
+            verify,
+            f"id {id_kind}, sign bigint, item_id {item_kind}, n_equal int, n_words int, item_words int, doc_start int",
         )
         .withColumnRenamed("id", id_col)
         .withColumnRenamed("item_id", item_col)
