@@ -34,6 +34,7 @@ SHINGLE = 5
 VALUE_BITS, MANTISSA_BITS = 40, 10
 BLOCK = 1024
 DEVIATIONS = 5
+MOST_MISSED = 1e-4  # share of pairs at the threshold that may have no band in common
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -112,6 +113,9 @@ class NearDuplicates:
     def __init__(self, percent: int, bands: int, rows: int):
         self.percent, self.bands, self.rows = percent, bands, rows
         share = percent / 100
+        missed = (1 - share**rows) ** bands
+        if missed > MOST_MISSED:
+            raise ValueError(f"{bands} bands of {rows} rows miss {missed:.1e} of the pairs at {percent} percent")
         self.least = share - DEVIATIONS * (share * (1 - share) / (bands * rows)) ** 0.5
 
     def sketches(self, docs: DataFrame) -> DataFrame:
