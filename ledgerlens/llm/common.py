@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import types
 from collections.abc import Iterator, Sequence
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import checkpointed
 
-__all__ = ["checkpointed", "table", "worker_state", "mix", "Words", "byte_chunks"]
+__all__ = ["checkpointed", "table", "small_batches", "fresh", "worker_state", "mix", "Words", "byte_chunks"]
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -25,18 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Ask the driver for a collection, after which Spark's cleaner removes the shuffle files of steps whose
-    result has been written as a table. It saves disk where large steps follow each other; nothing else
-    depends on it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have rows with whole texts reach Python ``rows`` at a time, unless the session asks for a size itself."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(rows))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def worker_state(name: str) -> dict:
-    """A dict that lives as long as the Python worker, so that later tasks can reuse what it holds."""
+    """A dict that lives in the Python worker for later tasks of the same operator.
+
+    Only one operator's is kept: what the one before held goes when another asks for its own.
+    """
     module = sys.modules.setdefault("_ledgerlens_worker", types.ModuleType("_ledgerlens_worker"))
-    return module.__dict__.setdefault(name, {})
+    if module.__dict__.get("operator") != name:
+        module.__dict__.update(operator=name, state={})
+    return module.__dict__["state"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,7 +64,8 @@ def weights(n: int, salt: int) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    state = worker_state("powers")
+    module = sys.modules.setdefault("_ledgerlens_worker", types.ModuleType("_ledgerlens_worker"))
+    state = module.__dict__.setdefault("powers", {})
     if state.get("n", 0) < n:
         n = max(n, 1 << 20)
         for key, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):

@@ -119,7 +119,7 @@ class NearDuplicates:
         self.least = share - DEVIATIONS * (share * (1 - share) / (bands * rows)) ** 0.5
 
     def sketches(self, docs: DataFrame) -> DataFrame:
-        """(id, n, set_a, set_b, registers) of docs (id, text); set_a and set_b name the set."""
+        """(id, n, set_a, set_b, registers) of docs (id, text); set_a and set_b name the set. A column sign is kept."""
         buckets = self.bands * self.rows
 
         def run(batches):
@@ -133,10 +133,11 @@ class NearDuplicates:
                     rows.append((len(found), a, b, sketch(found, buckets).tobytes()))
                 out = pd.DataFrame(rows, columns=["n", "set_a", "set_b", "registers"])
                 out.insert(0, "id", batch["id"].to_numpy())
-                yield out
+                yield out.assign(sign=batch["sign"].to_numpy()) if signed else out
 
+        signed = "sign" in docs.columns
         schema = f"id {docs.schema['id'].dataType.simpleString()}, n bigint, set_a bigint, set_b bigint, registers binary"
-        return docs.mapInPandas(run, schema)
+        return docs.mapInPandas(run, schema + ", sign bigint" * signed)
 
     def band_rows(self, sketches: DataFrame) -> DataFrame:
         """(band, number, node): one row per node and band; ``number`` is the place of the band."""
@@ -362,9 +363,12 @@ def near_duplicates(
     percent: int = 85,
     bands: int = 44,
     rows: int = 7,
+    signed: bool = False,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; other columns are not read.
 
+    With ``signed`` the xxhash64 of the row's text follows as ``sign``, which tells rows of one id apart.
+
     Words are runs without blanks, A-Z in lower case; a document's set has its distinct five-word
     shingles, or its whole word sequence if it is shorter. Documents are linked where
     ``100 * shared >= percent * union``; ``component_id`` is the smallest id reachable, and the row with
@@ -378,7 +382,7 @@ def near_duplicates(
     """
     steps = NearDuplicates(percent, bands, rows)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = checkpointed(steps.sketches(source))
+    sketches = checkpointed(steps.sketches(source.withColumn("sign", F.xxhash64("text")) if signed else source))
     real = sketches.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = checkpointed(
         real.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("node")).withColumnsRenamed(
@@ -444,6 +448,7 @@ def near_duplicates(
         "n",
         F.when(usable, F.col("set_a")).otherwise(F.xxhash64("id", "n")).alias("set_a"),
         F.when(usable, F.col("set_b")).otherwise(F.lit(None)).alias("set_b"),
+        *(["sign"] if signed else []),
     )
     component = F.coalesce("_component", "id")
     return spread.join(result, same_set, "left").select(
@@ -451,4 +456,5 @@ def near_duplicates(
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         component.eqNullSafe(F.col("id")).alias("kept"),
+        *(["sign"] if signed else []),
     )

@@ -85,12 +85,14 @@ def line_dedup(
         .agg(F.sort_array(F.collect_set("_pos")).alias("_lost"))
     )
     own = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    # The own columns travel in a struct, where their names meet none of those used here.
     marked = docs.select(
-        *[F.col(c) for c in own],
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_own"),
+        F.col(id_col).alias("_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_sign"),
     )
-    match = F.col(id_col).eqNullSafe(F.col("_lost_id")) & (F.col("_sign") == F.col("_lost_sign"))
+    match = F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_sign") == F.col("_lost_sign"))
     split = F.split(F.col("_text"), "\n")
     joined = marked.join(lost, match, "left")
     kept = F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(
@@ -102,4 +104,4 @@ def line_dedup(
         "n_dropped": F.coalesce(F.size("_lost"), F.lit(0)).cast("bigint").alias("n_dropped"),
     }
     order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*[out.get(c, F.col(c)) for c in order], out["n_lines"], out["n_dropped"])
+    return joined.select(*[out.get(c, F.col("_own")[c].alias(c)) for c in order], out["n_lines"], out["n_dropped"])

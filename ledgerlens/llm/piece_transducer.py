@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from ledgerlens.llm.common import worker_state
 
 BLANK = "\u2581"
-MEMO, PAIR_MEMO = 600_000, 1_000_000
+MEMO, PAIR_MEMO = 100_000, 200_000  # entries of about 200 and 100 bytes per worker
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 START = -1
 
@@ -175,6 +175,14 @@ class PieceTransducer:
                 out.append(self.unknown)
         return tuple(reversed(out))
 
+    @classmethod
+    def from_parts(cls, parts: dict) -> PieceTransducer:
+        """The machine with the attributes ``parts``. They are plain values and travel by themselves, so that a worker
+        need not find this class by its name."""
+        made = cls.__new__(cls)
+        made.__dict__.update(parts)
+        return made
+
     def encode_many(self, texts: Sequence[str | None]) -> list[list[int]]:
         """The ids of each text; none for a null or empty text."""
         state = worker_state("pieces")
@@ -269,12 +277,12 @@ def encode_pieces(
     Columns of ``docs`` with these names are replaced, all others pass through unchanged; repeated rows
     stay, an empty table stays empty. The machine travels as a broadcast of the model's size.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(machine)
+    shipped = docs.sparkSession.sparkContext.broadcast(vars(machine))
     made = ["ids", "n_ids", "round_trip", *(["decoded"] if decoded else [])]
     kept = docs.drop(*made)
 
     def run(batches):
-        made = shipped.value
+        made = PieceTransducer.from_parts(shipped.value)
         for batch in batches:
             # Batches hold many long texts; smaller parts keep the lists of ids small.
             for start in range(0, len(batch), 256):
@@ -296,12 +304,13 @@ def encode_pieces(
 
 def decode_pieces(docs: DataFrame, machine: PieceTransducer, ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``decoded``, the text of ``ids_col``; null for null ids, empty for none."""
-    shipped = docs.sparkSession.sparkContext.broadcast(machine)
+    shipped = docs.sparkSession.sparkContext.broadcast(vars(machine))
     kept = docs.drop("decoded")
 
     def run(batches):
+        made = PieceTransducer.from_parts(shipped.value)
         for batch in batches:
-            back = [None if i is None else shipped.value.decode(list(i)) for i in batch[ids_col]]
+            back = [None if i is None else made.decode(list(i)) for i in batch[ids_col]]
             yield batch.assign(decoded=pd.Series(back, index=batch.index, dtype=object))
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import table
 from ledgerlens.llm.piece_transducer import PieceTransducer, encode_pieces
 from ledgerlens.llm.registry import register
 
-#: Folder of the public tokenizer files; a parameter of the query.
-TOKENIZERS = os.environ.get("LEDGERLENS_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_file(name: str) -> str:
+    """The public tokenizer file ``name``: below LEDGERLENS_TOKENIZERS if that is set, else where its package has it."""
+    folder = os.environ.get("LEDGERLENS_TOKENIZERS")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
 def machine() -> PieceTransducer:
-    return PieceTransducer(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return PieceTransducer(str(tokenizer_file("piece_bpe_32k.model")))
 
 
 @register("op10_sentencepiece")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import GOLDEN, KeyFilter, _powers, checkpointed, mix, release_shuffles
+from ledgerlens.llm.common import GOLDEN, KeyFilter, _powers, checkpointed, mix
 
 SEED = 24
 SEGMENT = 1 << 20  # window starts looked at together
@@ -215,7 +215,6 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         .where(F.col("_least") < F.col("_last"))
         .select("anchor")
     )
-    release_shuffles(spark)
     shared_anchors = KeyFilter(shared.withColumnRenamed("anchor", "key"))
 
     def runs_of(batches):
@@ -241,7 +240,6 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     combined = checkpointed(
         places.groupBy("anchor", "piece").agg(F.min("id").alias("least"), F.max("id").alias("last"))
     )
-    release_shuffles(spark)
     names = {"sign_a": F.xxhash64("piece"), "sign_b": F.xxhash64("anchor", "piece", F.lit(7))}
     heavy = checkpointed(
         combined.groupBy("anchor")
@@ -249,7 +247,6 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         .where(F.col("_bytes") > SHARD)
         .select(F.col("anchor").alias("_heavy"))
     )
-    release_shuffles(spark)
     is_heavy = F.col("anchor") == F.col("_heavy")
     light = combined.join(heavy, is_heavy, "left_anti")
     dealt = light.repartition("anchor").sortWithinPartitions("anchor").withColumns(names)
@@ -282,7 +279,6 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
 
     shape = f"sign_a bigint, sign_b bigint, at int, windows int, least {kind}"
     sorted_ranges = checkpointed(dealt.mapInPandas(shards, shape))
-    release_shuffles(spark)
     frequent = combined.join(heavy, is_heavy, "left_semi").withColumns(names)
     found = sorted_ranges.unionByName(_heavy_ranges(frequent, length, shape)).select(
         F.col("sign_a").alias("_a"), F.col("sign_b").alias("_b"), "at", "windows", "least"

@@ -109,7 +109,8 @@ def top_k(
 
     Rows whose id or vector is null, or whose vector holds a null or a number that is not finite, take no
     part. Repeated rows count once. Of several vectors under one id each is a candidate, and the one that is
-    first in array order is the query. Vectors without components score 0 with each other. An empty table
+    first in array order is the query. If the largest component could give a score beyond 64 bits, an error says so
+    before the search. Vectors without components score 0 with each other. An empty table
     gives an empty table.
     """
     spark = vectors.sparkSession
@@ -120,7 +121,10 @@ def top_k(
         .groupBy("id", "v")
         .agg(F.max("q").alias("q"))
     )
-    total, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    reach = F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double"))
+    total, asked, most = rows.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.size("v") * reach * reach)).first()
+    if (most or 0.0) >= 2.0**63:
+        raise ValueError("components are so large that inner products do not fit 64 bits; use a smaller scale")
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Bounded blocks; smaller ones where that gives every task of the session one.
     blocks = max(1, -(-total // CANDIDATES), min(slots, -(-total // LEAST_CANDIDATES)))

@@ -9,10 +9,10 @@ import pytest
 from tokenizers import Tokenizer
 
 from ledgerlens.llm import token_blocks
-from ledgerlens.llm.q_pieces import TOKENIZERS
+from ledgerlens.llm.q_pieces import tokenizer_file
 from ledgerlens.llm.range_coder import CorruptBlock, decode_block, encode_block
 
-JSON = Path(f"{TOKENIZERS}/word_bpe_49k.json")
+JSON = Path(tokenizer_file("word_bpe_49k.json"))
 
 
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 511, 512, 5000, 300_001])

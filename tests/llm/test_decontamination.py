@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from ledgerlens.llm.spaced_seeds import MASKS, MISMATCH, SHORTEST, SPAN, contaminated
+from ledgerlens.llm.spaced_seeds import MASKS, SHORTEST, SPAN, contaminated
 
 WORD = re.compile(r"[^\s!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
 
@@ -35,19 +35,23 @@ def plain(docs, items, least=10):
                     )
                 if not seeded:
                     continue
-                top = (0, 0, 0, 0)
+                # Any stretch with enough equal words and at most one in four changed counts; short items match in full.
                 ks = [k for k in range(len(w)) if inside[k]]
+                enough = least if len(w) >= SPAN else len(w)
+                top = None
                 for i in range(len(ks)):
-                    total = 0
+                    equal = 0
                     for j in range(i, len(ks)):
-                        total += 1 if eq[ks[j]] else -MISMATCH
-                        if total > top[0]:
-                            run = eq[ks[i] : ks[j] + 1]
-                            top = (total, sum(run), len(run), ks[i] + offset)
-                found = top[1:]
-                if (found[0], -found[1], -found[2]) > (best[0], -best[1], -best[2]):
-                    best = found
-            if best[0] >= (least if len(w) >= SPAN else len(w)) and 4 * (best[1] - best[0]) <= best[1]:
+                        equal += eq[ks[j]]
+                        length = j - i + 1
+                        if equal >= enough and 4 * (length - equal) <= length:
+                            found = (equal - 3 * (length - equal), -(ks[i] + offset), -length, equal)
+                            top = max(top or found, found)
+                if top:
+                    found = (top[3], -top[2], -top[1])
+                    if (found[0], -found[1], -found[2]) > (best[0], -best[1], -best[2]):
+                        best = found
+            if best[0]:
                 out.add((doc_id, item_id, *best[:2], len(w), best[2]))
     return out
 

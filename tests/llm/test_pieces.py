@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 
 from ledgerlens.llm.piece_transducer import decode_pieces, encode_pieces
-from ledgerlens.llm.q_pieces import TOKENIZERS, machine
+from ledgerlens.llm.q_pieces import machine, tokenizer_file
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def made():
 
 @pytest.fixture(scope="module")
 def library():
-    return sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepiece.SentencePieceProcessor(model_file=str(tokenizer_file("piece_bpe_32k.model")))
 
 
 def odd_texts():

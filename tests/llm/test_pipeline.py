@@ -4,7 +4,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from ledgerlens.llm.q_pieces import TOKENIZERS
+from ledgerlens.llm.q_pieces import tokenizer_file
 from pyspark.sql import functions as F
 
 from .test_decontamination import plain as plain_leaks
@@ -76,7 +76,7 @@ def test_decontamination(spark, stages):
 
 
 def test_pieces(stages):
-    library = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=str(tokenizer_file("piece_bpe_32k.model")))
     before, after = stages[4]
     rows = after.select("doc_id", "text", "ids", "round_trip").collect()
     assert len(rows) == before.count() > 0
