@@ -6,7 +6,8 @@ columns of ``documents``.
 
 1. toxicity: documents scored 0.5 or more go. The model learns from the labels of the table ``labels``.
 2. line_dedup: repeated lines go; documents stay, with what is left of their text and ``n_chars`` to match.
-3. near_dedup: of each near-duplicate component the document with the smallest id stays.
+3. near_dedup: of each near-duplicate component the document with the smallest id stays. Rows are told apart by id and
+   text, so a unique text stays though its id has a copy as well.
 4. decontaminate: documents that share a passage with the table ``benchmark`` go.
 5. pieces: every document gets its SentencePiece ids; nothing goes.
 
@@ -20,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import checkpointed, table
+from ledgerlens.llm.common import checkpointed, fresh, small_batches, table
 from ledgerlens.llm.hyperminhash import near_duplicates
 from ledgerlens.llm.line_dedup import line_dedup
 from ledgerlens.llm.piece_transducer import encode_pieces
@@ -32,33 +33,44 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs, model, score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    score = fresh(docs, "score")
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup(docs)
-    if "n_chars" in docs.columns:
-        dropped = F.col("n_dropped") > 0
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # The other columns pass in a struct: one may be named as a count of the operator.
+    kept = line_dedup(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest")))
+    out = {c: F.col("rest")[c].alias(c) for c in rest}
+    if "n_chars" in rest:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        kept = kept.withColumn("n_chars", F.when(dropped, length).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+        out["n_chars"] = F.when(F.col("n_dropped") > 0, length).otherwise(F.col("rest")["n_chars"]).alias("n_chars")
+    return kept.select(*[out.get(c, F.col(c)) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(checkpointed(copies), F.col("doc_id") == F.col("_copy"), "left_anti")
+    small_batches(spark)
+    copies = near_duplicates(docs, signed=True).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    return without(docs, copies.select("doc_id", "sign"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak"), "sign")
-    # By id and text, so that rows without an id go too, and of rows that share an id those with the passage.
-    same_row = F.col("doc_id").eqNullSafe(F.col("_leak")) & (F.xxhash64("text") == F.col("sign"))
-    return docs.join(checkpointed(found.distinct()), same_row, "left_anti")
+    small_batches(spark)
+    return without(docs, overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "sign"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows in ``gone`` (id, xxhash64 of the text): rows without an id can go too, and of rows that
+    share an id only those with the text."""
+    key, sign = fresh(docs, "gone_id"), fresh(docs, "gone_sign")
+    gone = checkpointed(gone.distinct().toDF(key, sign))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(sign)), "left_anti")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return encode_pieces(docs, machine())
 
 
