@@ -9,12 +9,13 @@ is the model's own encoding. It also follows that one piece at most ends any pre
 weight: the tropical shortest path keeps one state per position, and its time is linear in the text.
 
 No piece holds a blank after another character, and none holds a line end, so inputs are cut there and the
-paths of segments are joined. Paths of segments are kept per Python worker, up to ``MEMO`` of them.
+paths of segments are joined. Paths of segments are kept per Python worker, up to ``MEMO`` segments and ``WORD_MEMO`` words of them, as packed numbers.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Sequence
 
 import ahocorasick
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from ledgerlens.llm.common import worker_state
 
 BLANK = "\u2581"
-MEMO, PAIR_MEMO = 100_000, 200_000  # entries of about 200 and 100 bytes per worker
+MEMO, WORD_MEMO, PAIR_MEMO = 100_000, 400_000, 200_000  # entries of 100 to 180 bytes per worker
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 START = -1
 
@@ -147,8 +148,8 @@ class PieceTransducer:
 
     # -- composition with an input ---------------------------------------------
 
-    def _path(self, segment: str, state: dict) -> tuple[int, ...]:
-        """Ids of the shortest path through ``segment``."""
+    def _path(self, segment: str, state: dict) -> bytes:
+        """Ids of the shortest path through ``segment``, as 32-bit numbers."""
         pairs, size = state["pairs"], len(self.pieces)
         # For each position, the piece that ends there on the path of weight 0. Without one the character
         # before it is in no piece: nothing merges across it, so what follows begins afresh.
@@ -173,7 +174,8 @@ class PieceTransducer:
                 out.extend(self.bytes[b] for b in reversed(segment[at].encode("utf-8", "surrogatepass")))
             else:
                 out.append(self.unknown)
-        return tuple(reversed(out))
+        out.reverse()
+        return array("i", out).tobytes()
 
     @classmethod
     def from_parts(cls, parts: dict) -> PieceTransducer:
@@ -183,7 +185,7 @@ class PieceTransducer:
         made.__dict__.update(parts)
         return made
 
-    def encode_many(self, texts: Sequence[str | None]) -> list[list[int]]:
+    def encode_many(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text; none for a null or empty text."""
         state = worker_state("pieces")
         if state.get("of") != (len(self.pieces), self.pieces[-1]):
@@ -193,7 +195,7 @@ class PieceTransducer:
         known = blank_memo.get
         newline = self._path("\n", state)
 
-        def segment(text: str) -> tuple[int, ...]:
+        def segment(text: str) -> bytes:
             found = memo.get(text)
             if found is None:
                 found = self._path(text, state)
@@ -203,30 +205,30 @@ class PieceTransducer:
                     memo[text] = found
             return found
 
-        def lines(text: str, ids: list[int]) -> None:
+        def lines(text: str, ids: bytearray) -> None:
             for number, line in enumerate(text.split("\n")):
                 if number:
-                    ids.extend(newline)
+                    ids += newline
                 for part in SEGMENT.findall(line):
-                    ids.extend(segment(part))
+                    ids += segment(part)
 
-        def after_blank(word: str) -> tuple[int, ...]:
+        def after_blank(word: str) -> bytes:
             path = self._path(BLANK + word, state)
             if len(word) <= 64:
-                if len(blank_memo) >= MEMO:
+                if len(blank_memo) >= WORD_MEMO:
                     blank_memo.clear()
                 blank_memo[word] = path
             return path
 
         out = []
         for text in texts:
-            ids: list[int] = []
+            ids = bytearray()
             if text:
                 marked = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
                 words = marked.split(BLANK)
                 if words[0] or "" in words[1:]:
                     lines(marked, ids)
-                    out.append(ids)
+                    out.append(np.frombuffer(bytes(ids), np.int32))
                     continue
                 for word in words[1:]:
                     found = known(word)
@@ -241,7 +243,7 @@ class PieceTransducer:
                                 ids += segment(part)
                     else:
                         ids += after_blank(word)
-            out.append(ids)
+            out.append(np.frombuffer(bytes(ids), np.int32))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -249,7 +251,7 @@ class PieceTransducer:
         numbers = np.asarray(ids, np.int64)
         if ((numbers >= self.high[0]) & (numbers <= self.high[1])).any():
             out, run = [], bytearray()
-            for i in ids:
+            for i in numbers.tolist():
                 byte = self.byte_of.get(i)
                 if byte is not None:
                     run.append(byte)
@@ -261,7 +263,7 @@ class PieceTransducer:
             out.append(_run_text(bytes(run)))
             joined = "".join(out)
         else:
-            joined = "".join(map(self.shown.__getitem__, ids))
+            joined = "".join(map(self.shown.__getitem__, numbers.tolist()))
         if self.prefix and joined.startswith(BLANK):
             joined = joined[1:]
         return joined.replace(BLANK, " ")
@@ -290,7 +292,7 @@ def encode_pieces(
                 texts = [t or "" for t in part[text_col]]
                 ids = made.encode_many(texts)
                 back = [made.decode(i) for i in ids]
-                part["ids"] = pd.Series([np.array(i, np.int32) for i in ids], index=part.index, dtype=object)
+                part["ids"] = pd.Series(ids, index=part.index, dtype=object)
                 part["n_ids"] = [len(i) for i in ids]
                 part["round_trip"] = [a == b for a, b in zip(texts, back)]
                 if decoded:

@@ -33,7 +33,7 @@ SEPARATORS = BLANK_BYTES + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CARRIER = b"0123456789!@#$%^&*()_+QWERTYUIOP"  # 32 bytes that no lower-cased word holds
 LEVELS = (3, 4, 5, 6, 7, 8)
 COUNT_CAP, GAIN_CAP = 4, 12
-MEMO = 100_000  # entries of about 100 bytes per worker
+MEMO = 200_000  # entries of about 100 bytes per worker
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
