@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from ledgerlens.llm.common import worker_state
 
 BLANK = "\u2581"
-MEMO, WORD_MEMO, PAIR_MEMO = 100_000, 400_000, 200_000  # entries of 100 to 180 bytes per worker
+MEMO, WORD_MEMO, PAIR_MEMO = 100_000, 600_000, 300_000  # entries of 100 to 180 bytes per worker
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 START = -1
 
