@@ -17,9 +17,11 @@ from ledgerlens.plans.scoring import ALERT_THRESHOLD, score_frame
 from ledgerlens.session import checkpointed
 from ledgerlens.sources.sinks import write_alerts, write_scored
 from ledgerlens.sources.store import FeatureStore
-from ledgerlens.streaming.velocity import STATE, VELOCITY_COLUMNS, velocity
+from ledgerlens.streaming.velocity import VELOCITY_COLUMNS, Velocity
 
 STATE_LATENESS = "30 days"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Declared monitoring window, slide and lateness.
 MONITOR_WINDOW, MONITOR_SLIDE, WATERMARK = "5 minutes", "1 minute", "2 minutes"
 
@@ -106,8 +108,10 @@ def velocity_stream(stream: DataFrame, key: str = "accountNumber", order: str =
     """Per-account counts and sums over the rows that have arrived, as rows arrive.
 
     Equals the batch history when rows arrive in time order. State keeps the longest window and the allowed
-    lateness, so a late row's windows are whole; rows more than ``STATE_LATENESS`` late are dropped.
+    lateness, so a late row's windows are whole; rows more than ``STATE_LATENESS`` late are dropped. State is kept by
+    hour (see ``Velocity``) in RocksDB, which the session is set to; one micro-batch holds an account's own new rows.
     """
+    stream.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     rows = validate(stream).withWatermark("event_ts", STATE_LATENESS).select(
         "event_ts",
         F.col(key).alias("account"),
@@ -115,9 +119,7 @@ def velocity_stream(stream: DataFrame, key: str = "accountNumber", order: str =
         F.unix_micros("event_ts").alias("us"),
         F.round(F.col("transactionAmount") * 10_000).cast("bigint").alias("units"),
     )
-    return rows.groupBy("account").applyInPandasWithState(
-        velocity, VELOCITY_COLUMNS, STATE, "append", "EventTimeTimeout"
-    )
+    return rows.groupBy("account").transformWithStateInPandas(Velocity(), VELOCITY_COLUMNS, "append", "eventTime")
 
 
 def parquet_sink(df: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:

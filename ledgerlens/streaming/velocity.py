@@ -1,61 +1,115 @@
-"""Per-account velocity state for the streaming history job."""
+"""Per-account velocity state for the streaming history job.
+
+State per account: one entry per hour with its totals, and one per hour with its points (distinct times). A micro-batch
+writes the entries of the hours that its rows fall in, reads the totals of the account's hours (60 days of them at
+most), and the points of the hours in which a window of a new row begins or ends. What it reads and writes does
+not grow with the points that an account has had, so a hot account costs as much per new row as any other.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 HOUR = 3_600_000_000
-COUNT_WINDOWS = {"24h": 24 * HOUR, "48h": 48 * HOUR, "7d": 168 * HOUR, "30d": 720 * HOUR}
-SUM_WINDOWS = {"24h": 24 * HOUR, "7d": 168 * HOUR}
-# The longest window and the lateness that the stream allows.
-RETAIN = 2 * 720 * HOUR
-TTL_MILLIS = RETAIN // 1000
+COUNT_WINDOWS = {"24h": 24, "48h": 48, "7d": 168, "30d": 720}
+SUM_WINDOWS = {"24h": 24, "7d": 168}
+#: Hours kept: the longest window and the lateness that the stream allows.
+RETAIN = 2 * 720
 VELOCITY_COLUMNS = ", ".join(
     ["row_key bigint", "account string"]
     + [f"txn_count_{w} bigint" for w in COUNT_WINDOWS]
     + [f"txn_amount_sum_{w} double" for w in SUM_WINDOWS]
 )
-POINT = ["us", "rows", "units"]
-STATE = "us array<bigint>, rows array<bigint>, units array<bigint>"
-
-
-def before(times: np.ndarray, at: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Running total of all points strictly before ``at``; ``totals`` has a leading 0."""
-    return totals[np.searchsorted(times, at, side="left")]
-
-
-def windowed(points: pd.DataFrame, us: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts and sums over ``[t - W, t)`` from sorted, distinct time points."""
-    times = points["us"].to_numpy()
-    counts, units = (np.concatenate([[0], points[c].to_numpy().cumsum()]) for c in ("rows", "units"))
-    out = {
-        f"txn_count_{name}": before(times, us, counts) - before(times, us - w, counts)
-        for name, w in COUNT_WINDOWS.items()
-    }
-    for name, w in SUM_WINDOWS.items():
-        out[f"txn_amount_sum_{name}"] = (before(times, us, units) - before(times, us - w, units)) / 10_000
-    return out
-
-
-def velocity(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: one (time, rows, units) point per distinct time in the last 60 days of the account."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    batch = pd.concat(batches, ignore_index=True)
-    new = batch.groupby("us", as_index=False).agg(rows=("us", "size"), units=("units", "sum"))
-    if state.exists:
-        old = pd.DataFrame(dict(zip(POINT, map(list, state.get))))
-        new = pd.concat([old, new], ignore_index=True).astype("int64").groupby("us", as_index=False).sum()
-    out = pd.DataFrame(windowed(new, batch["us"].to_numpy()))
-    out.insert(0, "row_key", batch["row_key"])
-    out.insert(1, "account", key[0])
-    fresh = new[new["us"] >= new["us"].max() - RETAIN]
-    state.update(tuple([int(v) for v in fresh[c]] for c in POINT))
-    # Idle accounts leave the state once the watermark has passed their last window.
-    state.setTimeoutTimestamp(int(new["us"].max()) // 1000 + TTL_MILLIS)
-    yield out
+
+
+def merged(old: tuple | None, us: np.ndarray, rows: np.ndarray, units: np.ndarray) -> pd.DataFrame:
+    """Points of one hour with new ones, one per time, in order of time."""
+    new = pd.DataFrame({"us": us, "rows": rows, "units": units})
+    if old is not None:
+        new = pd.concat([pd.DataFrame(dict(zip(("us", "rows", "units"), map(list, old)))), new], ignore_index=True)
+    return new.astype("int64").groupby("us", as_index=False).sum()
+
+
+class Before:
+    """Running totals of everything strictly before a time, from hour totals and the points of some hours."""
+
+    def __init__(self, totals: dict[int, tuple[int, int]], points: list[pd.DataFrame]):
+        self.hours = np.array(sorted(totals), np.int64)
+        whole = np.array([totals[h] for h in self.hours.tolist()], np.int64).reshape(-1, 2)
+        self.whole = np.concatenate([np.zeros((1, 2), np.int64), whole.cumsum(axis=0)])
+        table = pd.concat(points).sort_values("us") if points else pd.DataFrame({"us": [], "rows": [], "units": []}, dtype="int64")
+        self.us = table["us"].to_numpy()
+        self.part = np.concatenate([np.zeros((1, 2), np.int64), table[["rows", "units"]].to_numpy().cumsum(axis=0)])
+
+    def __call__(self, at: np.ndarray) -> np.ndarray:
+        """(rows, units) before each time; the points of its hour must be known."""
+        hour = at // HOUR
+        inside = self.part[np.searchsorted(self.us, at)] - self.part[np.searchsorted(self.us, hour * HOUR)]
+        return self.whole[np.searchsorted(self.hours, hour)] + inside
+
+
+class Velocity(StatefulProcessor):
+    """Input: event_ts, account, row_key, us, units. Output: ``VELOCITY_COLUMNS``, one row per input row."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getMapState("totals", "hour bigint", "rows bigint, units bigint")
+        self.points = handle.getMapState("points", "hour bigint", "us array<bigint>, rows array<bigint>, units array<bigint>")
+        self.due = handle.getValueState("due", "ms bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = pd.concat([b[["row_key", "us", "units"]] for b in rows], ignore_index=True)
+        us = batch["us"].to_numpy()
+        new = batch.groupby("us", as_index=False).agg(rows=("us", "size"), units=("units", "sum"))
+        new_hours = (new["us"] // HOUR).to_numpy()
+        totals = {int(k[0]): (int(v[0]), int(v[1])) for k, v in self.totals.iterator()}
+        known = set(totals)
+        points: dict[int, pd.DataFrame] = {}
+        for hour in np.unique(new_hours).tolist():
+            part = new[new_hours == hour]
+            old = self.points.getValue((hour,)) if hour in known else None
+            points[hour] = merged(old, *(part[c].to_numpy() for c in ("us", "rows", "units")))
+            more = (int(part["rows"].sum()), int(part["units"].sum()))
+            totals[hour] = tuple(a + b for a, b in zip(totals.get(hour, (0, 0)), more))
+            self.totals.updateValue((hour,), totals[hour])
+            self.points.updateValue((hour,), tuple([int(v) for v in points[hour][c]] for c in ("us", "rows", "units")))
+        edges = {h - w for h in points for w in COUNT_WINDOWS.values()} & known - set(points)
+        held = [*points.values(), *(merged(self.points.getValue((h,)), *[np.zeros(0, np.int64)] * 3) for h in sorted(edges))]
+        before = Before(totals, held)
+        now = before(us)
+        out = pd.DataFrame({"row_key": batch["row_key"], "account": key[0]})
+        for name, hours in COUNT_WINDOWS.items():
+            out[f"txn_count_{name}"] = (now - before(us - hours * HOUR))[:, 0]
+        for name, hours in SUM_WINDOWS.items():
+            out[f"txn_amount_sum_{name}"] = (now - before(us - hours * HOUR))[:, 1] / 10_000
+        latest = max(totals)
+        for hour in [h for h in totals if h < latest - RETAIN]:
+            self.totals.removeKey((hour,))
+            self.points.removeKey((hour,))
+        if not self.due.exists():
+            self._expire_after(latest)
+        yield out
+
+    def _expire_after(self, hour: int) -> None:
+        """Look again once the watermark has passed the last window that the hour can be in."""
+        due = (hour + 1 + RETAIN) * HOUR // 1000
+        self.handle.registerTimer(due)
+        self.due.update((due,))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        latest = max((int(k[0]) for k, _ in self.totals.iterator()), default=None)
+        if latest is not None and (latest + 1 + RETAIN) * HOUR // 1000 > expiredTimerInfo.getExpiryTimeInMs():
+            self._expire_after(latest)
+        else:
+            self.totals.clear()
+            self.points.clear()
+            self.due.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass

@@ -15,6 +15,7 @@ from ledgerlens.models.reconstruction import fit_reconstruction
 from ledgerlens.operators import explain as x
 from ledgerlens.operators import metrics as m
 from ledgerlens.operators import resample
+from ledgerlens.operators.tree_explain import TreeExplainer, tree_contributions
 from ledgerlens.operators.split import background_sample, calibration_split
 from ledgerlens.plans.feature_pipeline import FeaturePipeline, train_test_features
 from ledgerlens.plans.scoring import score_batch, score_frame
@@ -210,6 +211,52 @@ def contributions(spark, sf_dir):
     return out.select("row_key", "feature", "value", "direction")
 
 
+HELD_OUT_SQL = """WITH o AS (SELECT row_key, row_number() OVER (ORDER BY us, row_key) - 1 AS i, count(*) OVER () AS n FROM valid),
+  held AS (SELECT row_key FROM o WHERE i >= greatest(1, least(n - 1, CAST(floor(n * 0.8) AS BIGINT))))"""
+
+
+@register(
+    "contributions_tree",
+    f"{HELD_OUT_SQL} SELECT row_key, CAST({len(FEATURE_COLUMNS)} AS BIGINT) AS features, CAST(0 AS DOUBLE) AS gap FROM held",
+)
+def contributions_tree(spark, sf_dir):
+    """Exact contributions of a forest for all held-out rows: they add up to the score minus the background's mean."""
+    train, test, _ = prepared(spark, sf_dir)
+    model = t.fit_model(train, "random_forest", **SMALL)
+    explainer = TreeExplainer.of(model, background_sample(train, FEATURE_COLUMNS))
+    totals = explainer.contributions(test).groupBy("row_key").agg(F.count("feature").alias("features"), F.sum("value").alias("total"))
+    scores = model.transform(test).select(F.col("row_key").alias("_key"), "fraud_probability")
+    gap = F.abs(F.round(F.col("total") - (F.col("fraud_probability") - explainer.base()), 9))
+    return totals.join(scores, F.col("row_key") == F.col("_key")).select("row_key", "features", gap.alias("gap"))
+
+
+@register("contributions_margin")
+def contributions_margin(spark, sf_dir):
+    """Contributions to the margin of boosted trees, all held-out rows."""
+    train, test, _ = prepared(spark, sf_dir)
+    model = t.fit_model(train, "xgboost", **SMALL)
+    out = tree_contributions(model, test, background_sample(train, FEATURE_COLUMNS))
+    return out.select("row_key", "feature", "value", "direction")
+
+
+@register(
+    "score_batch_explained",
+    f"SELECT row_key, 'tree' AS methods, {x.TOP_FEATURES} AS contributions FROM valid",
+)
+def score_batch_explained(spark, sf_dir):
+    """Payloads scored one by one, each with the exact contributions of its score."""
+    train, _, pipeline = prepared(spark, sf_dir)
+    model = t.fit_model(train, "random_forest", **SMALL)
+    explainer = TreeExplainer.of(model, background_sample(train, FEATURE_COLUMNS))
+    payloads = raw(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    scores, _ = score_batch(payloads, model, pipeline, keep=("row_key",), explain=explainer.contributions)
+    return scores.select(
+        F.col("row_key").cast("bigint").alias("row_key"),
+        F.array_join("explanation_methods", ",").alias("methods"),
+        F.size("feature_contributions").alias("contributions"),
+    )
+
+
 @register("contributions_sampled")
 def contributions_sampled(spark, sf_dir):
     model, flagged, background = alerts(spark, sf_dir)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.quality import validate
 from ledgerlens.functions.scalars import micros, risk_band
 from ledgerlens.models.training import fit_model
-from ledgerlens.plans.feature_pipeline import FeaturePipeline
-from ledgerlens.schema import TRANSACTION_FIELDS, coerce
+from ledgerlens.operators.split import background_sample
+from ledgerlens.operators.tree_explain import TreeExplainer
+from ledgerlens.schema import FEATURE_COLUMNS, TRANSACTION_FIELDS, coerce
 from ledgerlens.session import work_dir
 from ledgerlens.sources.store import FeatureStore
 from ledgerlens.streaming import jobs, sources
+from ledgerlens.streaming.velocity import VELOCITY_COLUMNS
 from ledgerlens.workload.fixture import TXN_SQL
 from ledgerlens.workload.io import CSV_SQL
 from ledgerlens.workload.learning import SMALL, prepared
@@ -27,24 +29,23 @@ def event_stream(spark, sf_dir):
     return coerce(rows, keep=("row_key",))
 
 
-FILES = 5
+SLICES = 5
 
 
-def staged_stream(spark, sf_dir):
-    """The events as ``FILES`` files in time order, one per micro-batch."""
+def staged_runs(spark, sf_dir, start):
+    """The events in ``SLICES`` slices of time, each written and then drained by ``start`` as one run of a stream."""
     landing = work_dir(spark, "events")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cuts = events.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / FILES for i in range(1, FILES)])).first()[0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(F.percentile_approx(at, [i / SLICES for i in range(1, SLICES)])).first()[0]
     bounds = [None, *cuts, None]
     for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        at = F.unix_micros(F.col("ts").cast("timestamp"))
         part = events if low is None else events.where(at > low)
         part = part if high is None else part.where(at <= high)
-        # One file each; files are taken in the order they were written.
-        part.coalesce(1).write.parquet(f"{landing}/part={i}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-    rows = spark.sql(TXN_SQL.replace("FROM events", "FROM {events}"), events=stream.parquet(f"{landing}/part=*"))
-    return coerce(rows, keep=("row_key",))
+        part.write.parquet(f"{landing}/part={i}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{landing}/part=*")
+        rows = spark.sql(TXN_SQL.replace("FROM events", "FROM {events}"), events=stream)
+        start(coerce(rows, keep=("row_key",))).awaitTermination()
 
 
 def drained(spark, df):
@@ -96,7 +97,9 @@ def stream_monitor(spark, sf_dir):
 @register("stream_history", f"SELECT row_key, {COUNTS_SQL}, {SUMS_SQL} FROM valid")
 def stream_history(spark, sf_dir):
     """Stateful velocity over several micro-batches equals the batch windows."""
-    out = drained(spark, jobs.velocity_stream(staged_stream(spark, sf_dir)))
+    path, state = work_dir(spark, "stream-out"), work_dir(spark, "stream-state")
+    staged_runs(spark, sf_dir, lambda rows: jobs.parquet_sink(jobs.velocity_stream(rows), path, state))
+    out = spark.read.schema(VELOCITY_COLUMNS).parquet(path)
     return out.select("row_key", *COUNT_COLUMNS, *[F.round(c, 2).alias(c) for c in SUM_COLUMNS])
 
 
@@ -104,20 +107,29 @@ def scoring(spark, sf_dir, history):
     """Train on the first part, stream all rows through scoring, read the scored sink."""
     train, _, pipeline = prepared(spark, sf_dir)
     model = fit_model(train, "random_forest", **SMALL)
-    scored, alerts = work_dir(spark, "scored"), work_dir(spark, "alerts")
-    stream = staged_stream(spark, sf_dir) if history == "store" else event_stream(spark, sf_dir)
-    jobs.score_stream(
-        stream,
-        pipeline,
-        model,
-        scored,
-        alerts,
-        work_dir(spark, "stream-state"),
-        store=FeatureStore(spark, work_dir(spark, "store")),
-        history=history,
-        threshold=0.6,
-        model_version="v1",
-    ).awaitTermination()
+    explainer = TreeExplainer.of(model, background_sample(train, FEATURE_COLUMNS))
+    scored, alerts, state = (work_dir(spark, n) for n in ("scored", "alerts", "stream-state"))
+    store = FeatureStore(spark, work_dir(spark, "store"))
+
+    def start(stream):
+        return jobs.score_stream(
+            stream,
+            pipeline,
+            model,
+            scored,
+            alerts,
+            state,
+            store=store,
+            history=history,
+            threshold=0.6,
+            explain=explainer.contributions if history == "batch" else None,
+            model_version="v1",
+        )
+
+    if history == "store":
+        staged_runs(spark, sf_dir, start)
+    else:
+        start(event_stream(spark, sf_dir)).awaitTermination()
     columns = (
         "row_key bigint, txn_count_24h double, txn_count_48h double, txn_count_7d double, txn_count_30d double, "
         "txn_amount_sum_24h double, txn_amount_sum_7d double, is_new_merchant double, fraud_probability double, "
