@@ -35,6 +35,14 @@ def boosted(seed: int = 42, **p: Any) -> GBTClassifier:
     )
 
 
+def light_boosted(seed: int = 42, **p: Any) -> GBTClassifier:
+    """Shallower trees on smaller samples with larger leaves and a subset of the inputs per split, so that its errors
+    differ from those of ``boosted``."""
+    own = {"max_depth": max(2, int(p.get("max_depth", 8)) - 2), "subsample": 0.6, "min_child_weight": 20, "learning_rate": 0.08}
+    built = boosted(seed + 101, **{**p, **own, **{k: v for k, v in p.items() if k not in ("max_depth",)}})
+    return built.setFeatureSubsetStrategy("onethird")
+
+
 def forest(seed: int = 42, **p: Any) -> RandomForestClassifier:
     return RandomForestClassifier(
         numTrees=int(p.get("num_trees", 300)),
@@ -74,7 +82,7 @@ COMPONENTS: dict[str, Component] = {
         Component("logistic_regression", "linear reference", "available", "One weight per input; cheap to explain.", logistic),
         Component("random_forest", "tree reference", "available", "Bagged trees.", forest),
         Component("xgboost", "main booster", "available", "Slot filled by gradient-boosted trees.", boosted),
-        Component("lightgbm", "second booster", "available", "Slot filled by gradient-boosted trees.", boosted),
+        Component("lightgbm", "second booster", "available", "Gradient-boosted trees: shallower, more random.", light_boosted),
         Component("catboost", "linear alternative", "available", "Slot filled by the linear model.", logistic),
         Component("isolation_forest", "unlabelled outliers", "available", "Random split trees, no labels.", isolation),
         Component("one_class_svm", "unlabelled outliers", "available", "Slot filled by low-rank reconstruction error.", low_rank),

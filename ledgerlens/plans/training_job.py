@@ -19,7 +19,7 @@ from ledgerlens.sources.store import FeatureStore
 
 # The promotion gate.
 GATE = {"auc_pr": 0.20, "recall": 0.65}
-#: Grids tried by default, by model; all others are fitted with their defaults.
+# Grids searched by default, by model; models without one are fitted with their defaults.
 GRIDS: dict[str, dict[str, Sequence[Any]]] = {
     "xgboost": {"max_depth": [6, 8], "num_trees": [80, 120]},
     "lightgbm": {"max_depth": [6, 8], "num_trees": [80, 120]},
@@ -46,9 +46,9 @@ def train_job(
 ) -> Artifact:
     """Train on ``raw`` and save one artifact below ``path``.
 
-    ``fit`` gives the model from the training features (a stack, for example); otherwise ``grid`` is searched
-    over ``folds`` expanding folds if given, else ``model_name`` is fitted with ``params``. ``facts`` of the
-    artifact hold the metrics of the held-out side and ``passed``: a failed gate is told, the artifact is
+    ``fit`` gives the model from the training features (a stack, for example). Otherwise ``grid`` is searched over
+    ``folds`` expanding folds: the model's own of ``GRIDS`` if none is given, unless ``params`` say what to fit or
+    the grid given is empty. A ``store`` gets the features of both sides. ``facts`` of the artifact hold the metrics of the held-out side and ``passed``: a failed gate is told, the artifact is
     saved all the same, and the caller decides on promotion.
     """
     both, pipeline = train_test_features(raw, test_days)
@@ -56,6 +56,9 @@ def train_job(
     train, test = both.where("is_test = 0"), both.where("is_test = 1")
     if store is not None:
         store.write(train.drop("is_test"))
+        store.append(test.drop("is_test"), batch="held-out")
+    if grid is None and not params:
+        grid = GRIDS.get(model_name)
     if fit is not None:
         model = fit(train)
     elif grid:

@@ -130,14 +130,16 @@ def test_one_old_row_does_not_widen_the_scan(spark, txns, tmp_path):
     store = FeatureStore(spark, str(tmp_path))
     rng = random.Random(2)
     store.append(FeaturePipeline().fit(rows_of(txns, rng, 30, 0, 300)).transform(rows_of(txns, rng, 80, 0, 300)), batch="x")
-    new = txns({"transactionDateTime": "1970-01-01T05:00:00"}, {"transactionDateTime": "2018-11-20T05:00:00"})
+    new = txns(*[{"transactionDateTime": f"{d}T05:00:00", "accountNumber": "3"} for d in ("1970-01-01", "2018-11-20")])
     past = store.history_for(new)
     plan = past._sc._jvm.PythonSQLUtils.explainString(past._jdf.queryExecution(), "formatted")
     scans = [part for part in plan.split("Scan parquet")[1:] if "Location" in part]
     data = [part for part in scans if "/data" in part.split("Location")[1][:600]]
     assert data and all("event_date" in part.split("PartitionFilters: ")[1].split("\n")[0] for part in data)
-    read = past.where(F.to_date("event_ts") >= F.lit(date(2018, 10, 20))).count()
-    assert 0 < past.count() <= read + 8 * 16
+    near = F.to_date("event_ts").between(F.lit(date(2018, 10, 20)), F.lit(date(2018, 11, 20)))
+    # All rows of the dates asked for, and of older ones the first per merchant and the last.
+    assert past.where(near).count() == store.read().where(near & (F.col("accountNumber") == "3")).count() > 0
+    assert 0 < past.where(~near).count() <= 8
 
 
 def test_date_ranges():
