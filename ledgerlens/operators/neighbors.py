@@ -1,10 +1,10 @@
 """Exact k-nearest-neighbour join on numeric vectors.
 
 Identical data vectors are reduced to the few copies that can matter, so a large group of copies
-costs no more than one row. Points fall into quantile grid cells, cells into blocks of bounded size;
-a pair of blocks is one task that returns only its best k per query. Cell pairs whose bounding boxes
-are further apart than the query cell's current worst k-th distance are skipped, which cannot lose a
-neighbour.
+costs no more than one row. Points fall into the leaves of a splitting tree, which hold a bounded
+number of rows at any table size. Every query looks through its own leaf first; then it goes to those
+leaves whose bounding box is no further away than its k-th distance so far, which cannot lose a
+neighbour. Missing, not-a-number and infinite components count as 0.
 """
 
 from __future__ import annotations
@@ -16,19 +16,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.scan import fixed_edges, with_chunk
+from ledgerlens.operators.kdtree import boxes, gap, nodes_by_depth, place, within_reach
 from ledgerlens.session import checkpointed
 
-GRID_COLUMNS = 3
-MAX_CELLS = 1000
-BLOCK_ROWS = 4000
+BLOCK_ROWS = 4000  # data rows of a leaf
+QUERY_ROWS = 4000  # queries that meet one copy of a leaf
 STEP = 500  # queries per distance matrix inside a block
 PAIR_SCHEMA = "qid bigint, id bigint, distance double"
 
 
 def vectors(df: DataFrame, columns: Sequence[str], key: str = "row_key") -> DataFrame:
-    """(id, x): the numeric columns of each row as one array; missing is 0."""
-    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    """(id, x): the numeric columns of each row as one array; missing and non-finite values are 0."""
+    numbers = [F.col(c).cast("double") for c in columns]
+    values = [F.when(F.abs(v) < float("inf"), v).otherwise(F.lit(0.0)) for v in numbers]
     return df.select(F.col(key).cast("bigint").alias("id"), F.array(*values).alias("x"))
 
 
@@ -57,122 +57,57 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, block_rows: int = BLOCK
 
 
 def _search(asked: DataFrame, points: DataFrame, need: int, block_rows: int) -> DataFrame:
-    total = points.count()
-    width = len(points.select("x").first()[0]) if total else 0
-    asked, points = _cells(asked, points, total, width, block_rows)
-    boxes = {side: _boxes(df, width) for side, df in (("q", asked), ("d", points))}
-    blocks = {side: _block_counts(box, block_rows) for side, box in boxes.items()}
-    asked, points = _blocked(asked, blocks["q"], "qid"), _blocked(points, blocks["d"], "id")
-
-    # First look: each query against the first block of its own cell.
-    own = [(c, c, 1) for c in boxes["q"] if c in boxes["d"]]
-    bound = {}
-    if own:
-        first = _pairs(asked, points, own, blocks, need)
-        reach = first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
-        per_cell = (
-            asked.join(reach, "qid", "left")
-            .groupBy("cell")
-            .agg(F.min(F.coalesce("n", F.lit(0))).alias("n"), F.max("far").alias("far"))
-            .collect()  # at most MAX_CELLS rows
-        )
-        bound = {cell: far for cell, n, far in per_cell if n >= need}
-
-    wanted = [
-        (q, d, blocks["d"][d])
-        for q, box in boxes["q"].items()
-        for d, other in boxes["d"].items()
-        if _gap(box, other) <= bound.get(q, np.inf) * (1 + 1e-9)
-    ]
+    head = points.select(F.size("x").alias("n")).first()
+    if head is None:
+        return asked.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    width = head.n
+    placed = place(points, asked, max(block_rows, 4 * need))
+
+    # First look: each query against its own leaf. Its worst distance there bounds what can still be nearer.
+    first = _match(placed.asked, placed.points, need)
+    if not placed.rounds:
+        return first
+    first = checkpointed(first)
+    seen = first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+    reach = F.when(F.col("n") >= need, F.col("far")).otherwise(F.lit(float("inf")))
+    bounded = checkpointed(placed.asked.join(seen, "qid", "left").select("qid", "x", "node", reach.alias("reach")))
+
+    levels = nodes_by_depth(boxes(placed.points, width), placed.rounds, width)
+    seekers = boxes(bounded, width, F.max("reach").alias("reach"))
+    pairs = within_reach(seekers, levels, width).where(F.col("node") != F.col("other"))
+    near = gap(F.col("x"), F.col("x"), F.col("low"), F.col("high"), width) <= F.col("reach") * (1 + 1e-9)
+    further = checkpointed(bounded.join(pairs, "node").where(near).select("qid", "x", F.col("other").alias("node")))
     closest = Window.partitionBy("qid").orderBy("distance", "id")
     return (
-        _pairs(asked, points, wanted, blocks, need)
+        first.unionByName(_match(further, placed.points, need))
         .withColumn("_n", F.row_number().over(closest))
         .where(F.col("_n") <= need)
         .drop("_n")
     )
 
 
-def _cells(asked: DataFrame, points: DataFrame, total: int, width: int, block_rows: int):
-    """Assign both sides to a grid over the first few dimensions that vary."""
-    wanted = min(MAX_CELLS, max(1, total // block_rows))
-    bins = max(1, int(wanted ** (1 / GRID_COLUMNS)))
-    sides = [asked.withColumn("cell", F.lit(0)), points.withColumn("cell", F.lit(0))]
-    if bins < 2:
-        return sides
-    varied = points.agg(*[F.approx_count_distinct(F.col("x")[i]).alias(str(i)) for i in range(width)]).first()
-    dims = sorted(range(width), key=lambda i: -varied[i])[:GRID_COLUMNS]
-    for i in dims:
-        edges = fixed_edges(points.select(F.col("x")[i].alias("v")), "v", bins)
-        sides = [
-            with_chunk(df.withColumn("_v", F.col("x")[i]), "_v", edges, "_c")
-            .withColumn("cell", F.col("cell") * bins + F.col("_c"))
-            .drop("_v", "_c")
-            for df in sides
-        ]
-    return [checkpointed(df) for df in sides]
-
-
-def _boxes(df: DataFrame, width: int) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-    """cell → (rows, lower corner, upper corner); at most MAX_CELLS cells."""
-    low = F.array(*[F.min(F.col("x")[i]) for i in range(width)])
-    high = F.array(*[F.max(F.col("x")[i]) for i in range(width)])
-    rows = df.groupBy("cell").agg(F.count(F.lit(1)), low, high).collect()
-    return {cell: (n, np.array(lo), np.array(hi)) for cell, n, lo, hi in rows}
-
-
-def _gap(a, b) -> float:
-    """Smallest possible distance between two boxes."""
-    apart = np.maximum(0.0, np.maximum(a[1] - b[2], b[1] - a[2]))
-    return float(np.sqrt((apart**2).sum()))
-
-
-def _block_counts(boxes: dict, block_rows: int) -> dict[int, int]:
-    return {cell: -(-box[0] // block_rows) for cell, box in boxes.items()}
-
-
-def _blocked(df: DataFrame, counts: dict[int, int], key: str) -> DataFrame:
-    """Spread each cell over its blocks by hash."""
-    table = df.sparkSession.createDataFrame(list(counts.items()) or [(0, 1)], "cell int, blocks int")
-    return (
-        df.join(F.broadcast(table), "cell")  # at most MAX_CELLS rows
-        .withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
-        .drop("blocks")
-    )
-
-
-def _pairs(asked: DataFrame, points: DataFrame, wanted, blocks, need: int) -> DataFrame:
-    """Best ``need`` points per query within each wanted (query block, data block)."""
-    spark = asked.sparkSession
-    if not wanted:
-        return spark.createDataFrame([], PAIR_SCHEMA)
-    table = spark.createDataFrame(
-        [(q, d, blocks["q"][q], n) for q, d, n in wanted], "qcell int, dcell int, qblocks int, dblocks int"
-    )
-
-    def all_blocks(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+def _match(asked: DataFrame, points: DataFrame, need: int) -> DataFrame:
+    """Best ``need`` points of the leaf ``node`` for every query sent there.
 
-    left = (
-        asked.join(table, F.col("cell") == F.col("qcell"))
-        .withColumn("dblock", all_blocks("dblocks"))
-        .select("qcell", F.col("block").alias("qblock"), "dcell", "dblock", F.col("qid").alias("id"), "x", F.lit(True).alias("asks"))
+    A leaf's queries are dealt out to parts of about ``QUERY_ROWS``, each with a copy of the leaf.
+    """
+    parts = F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("parts")
+    wanted = checkpointed(asked.groupBy("node").agg(parts))
+    left = asked.join(wanted, "node").select(
+        "node", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int").alias("part"), F.col("qid").alias("id"), "x"
     )
-    right = (
-        points.join(table, (F.col("cell") == F.col("dcell")) & (F.col("block") < F.col("dblocks")))
-        .withColumn("qblock", all_blocks("qblocks"))
-        .select("qcell", "qblock", "dcell", F.col("block").alias("dblock"), "id", "x", F.lit(False).alias("asks"))
+    right = points.join(wanted, "node").select(
+        "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "x"
     )
 
-    def block(group: pd.DataFrame) -> pd.DataFrame:
-        q, d = group[group["asks"]], group[~group["asks"]].sort_values("id")
-        return best_of(q, d, need)
+    def block(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        return best_of(q, d.sort_values("id"), need)
 
-    return left.unionByName(right).groupBy("qcell", "qblock", "dcell", "dblock").applyInPandas(block, PAIR_SCHEMA)
+    return left.groupBy("node", "part").cogroup(right.groupBy("node", "part")).applyInPandas(block, PAIR_SCHEMA)
 
 
 def best_of(q: pd.DataFrame, d: pd.DataFrame, need: int) -> pd.DataFrame:
-    """Brute force inside one block pair; ``d`` is sorted by id, so a stable sort breaks ties."""
+    """Brute force of queries against one leaf; ``d`` is sorted by id, so a stable sort breaks ties."""
     empty = pd.DataFrame({"qid": [], "id": [], "distance": []}).astype({"qid": "int64", "id": "int64"})
     if q.empty or d.empty:
         return empty
