@@ -118,16 +118,15 @@ def nodes_by_depth(leaves: DataFrame, rounds: int, width: int) -> list[DataFrame
     return out[::-1]
 
 
-def gap(low: Column, high: Column, other_low: Column, other_high: Column, width: int) -> Column:
-    """Smallest possible distance between two boxes."""
-    total = F.lit(0.0)
-    for i in range(width):
-        apart = F.greatest(F.lit(0.0), low[i] - other_high[i], other_low[i] - high[i])
-        total = total + apart * apart
-    return F.sqrt(total)
+def gap(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
+    """Smallest possible distance between two boxes, as array functions: code of the same size at any width."""
+    above = F.zip_with(low, other_high, lambda a, b: a - b)
+    below = F.zip_with(other_low, high, lambda a, b: a - b)
+    apart = F.zip_with(above, below, lambda a, b: F.greatest(F.lit(0.0), a, b))
+    return F.sqrt(F.aggregate(apart, F.lit(0.0), lambda total, v: total + v * v))
 
 
-def within_reach(seekers: DataFrame, levels: Sequence[DataFrame], width: int) -> DataFrame:
+def within_reach(seekers: DataFrame, levels: Sequence[DataFrame]) -> DataFrame:
     """(node, other, low, high): leaves of the tree whose box is within ``reach`` of a seeking leaf's box.
 
     ``seekers`` is (node, low, high, reach). The walk starts at the root and goes on below the nodes within reach
@@ -139,7 +138,7 @@ def within_reach(seekers: DataFrame, levels: Sequence[DataFrame], width: int) ->
     found = []
     for depth, level in enumerate(levels):
         level = F.broadcast(level) if depth == 0 else level  # the root has at most FANOUT children
-        close = gap(F.col("_low"), F.col("_high"), F.col("low"), F.col("high"), width) <= F.col("reach") * (1 + 1e-9)
+        close = gap(F.col("_low"), F.col("_high"), F.col("low"), F.col("high")) <= F.col("reach") * (1 + 1e-9)
         reached = ahead.join(level, F.col("_at") == F.col("parent")).where(close)
         if depth + 1 < len(levels):
             reached = checkpointed(reached)

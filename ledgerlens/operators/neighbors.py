@@ -74,8 +74,8 @@ def _search(asked: DataFrame, points: DataFrame, need: int, block_rows: int) ->
 
     levels = nodes_by_depth(boxes(placed.points, width), placed.rounds, width)
     seekers = boxes(bounded, width, F.max("reach").alias("reach"))
-    pairs = within_reach(seekers, levels, width).where(F.col("node") != F.col("other"))
-    near = gap(F.col("x"), F.col("x"), F.col("low"), F.col("high"), width) <= F.col("reach") * (1 + 1e-9)
+    pairs = within_reach(seekers, levels).where(F.col("node") != F.col("other"))
+    near = gap(F.col("x"), F.col("x"), F.col("low"), F.col("high")) <= F.col("reach") * (1 + 1e-9)
     further = checkpointed(bounded.join(pairs, "node").where(near).select("qid", "x", F.col("other").alias("node")))
     closest = Window.partitionBy("qid").orderBy("distance", "id")
     return (

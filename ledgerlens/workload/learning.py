@@ -19,7 +19,7 @@ from ledgerlens.operators.tree_explain import TreeExplainer, tree_contributions
 from ledgerlens.operators.split import background_sample, calibration_split
 from ledgerlens.plans.feature_pipeline import FeaturePipeline, train_test_features
 from ledgerlens.plans.scoring import score_batch, score_frame
-from ledgerlens.schema import FEATURE_COLUMNS, NUMERIC_FEATURES
+from ledgerlens.schema import CATEGORICAL_FEATURES, FEATURE_COLUMNS, NUMERIC_FEATURES
 from ledgerlens.session import checkpointed, work_dir
 from ledgerlens.workload.registry import coerced, raw, register, rounded, rounded_sql, scored
 
@@ -165,7 +165,62 @@ def smote(spark, sf_dir):
     return resample.smote(scored(spark, sf_dir), NEAR_COLUMNS, ratio=0.2)
 
 
-@register("tomek_links")
+OUTSIDE = " OR ".join(f"s.{c} < low_{c} OR s.{c} > high_{c}" for c in NEAR_COLUMNS)
+
+
+@register(
+    "smote_balanced",
+    """WITH n AS (SELECT count(*) FILTER (y = 1) AS fraud, count(*) FILTER (y = 0) AS legit FROM valid)
+    SELECT 0 AS "isFraud", 0 AS synthetic, legit AS "rows", legit AS keys, 0 AS outside, 0 AS strange FROM n
+    UNION ALL SELECT 1, 0, fraud, fraud, 0, 0 FROM n
+    UNION ALL SELECT 1, 1, w, w, 0, 0 FROM (SELECT CAST(floor(0.2 * CAST(legit AS DOUBLE)) AS BIGINT) - fraud AS w FROM n) WHERE w > 0""",
+)
+def smote_balanced(spark, sf_dir):
+    """The balanced table by class: rows, distinct keys, synthetic rows with a number outside the frauds' range and
+    with a category that no fraud has."""
+    table = checkpointed(resample.smote_table(scored(spark, sf_dir), NEAR_COLUMNS, CATEGORICAL_FEATURES, ratio=0.2))
+    fraud = table.where("isFraud = 1 AND synthetic = 0")
+    ranges = fraud.agg(*[f(c).alias(f"{n}_{c}") for f, n in ((F.min, "low"), (F.max, "high")) for c in NEAR_COLUMNS])
+    seen = fraud.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in CATEGORICAL_FEATURES])).alias("e")).select("e.*").distinct()
+    new = table.where("synthetic = 1")
+    held = new.select("row_key", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in CATEGORICAL_FEATURES])).alias("e")).select("row_key", "e.*")
+    strange = held.alias("h").join(
+        seen.alias("s"), (F.col("h.c") == F.col("s.c")) & F.col("h.v").eqNullSafe(F.col("s.v")), "left_anti"
+    ).select("row_key").distinct().withColumn("_strange", F.lit(1))
+    rows = table.join(F.broadcast(ranges)).alias("s")  # one row
+    return (
+        rows.join(strange, "row_key", "left")
+        .groupBy("isFraud", "synthetic")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_distinct("row_key").alias("keys"),
+            F.count_if((F.col("synthetic") == 1) & F.expr(OUTSIDE)).cast("int").alias("outside"),
+            F.count("_strange").cast("int").alias("strange"),
+        )
+    )
+
+
+@register("train_balanced")
+def train_balanced(spark, sf_dir):
+    """Held-out scores of a model fitted on all features after SMOTE to equal classes and removal of Tomek links."""
+    train, test, _ = prepared(spark, sf_dir)
+    table = checkpointed(resample.smote_tomek(train, NUMERIC_FEATURES, CATEGORICAL_FEATURES, ratio=1.0))
+    return score_frame(t.fit_model(table, "logistic_regression"), test, 0.5).select(*SCORED)
+
+
+APART = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NEAR_COLUMNS)
+NEAREST_SQL = f"min({{'d': sqrt({APART}), 'k': b.row_key}}).k"
+
+
+@register(
+    "tomek_links",
+    f"""WITH p AS (SELECT row_key, y, {', '.join(f'coalesce({c}, 0) AS {c}' for c in NEAR_COLUMNS)} FROM valid),
+    ahead AS (SELECT a.row_key AS minority, {NEAREST_SQL} AS majority FROM p a JOIN p b ON a.row_key <> b.row_key WHERE a.y = 1 GROUP BY a.row_key),
+    crossing AS (SELECT minority, majority FROM ahead JOIN p ON row_key = majority WHERE y = 0),
+    back AS (SELECT a.row_key AS majority, {NEAREST_SQL} AS minority FROM p a JOIN p b ON a.row_key <> b.row_key
+             WHERE a.row_key IN (SELECT majority FROM crossing) GROUP BY a.row_key)
+    SELECT row_key, y AS "isFraud" FROM valid WHERE row_key NOT IN (SELECT c.majority FROM crossing c JOIN back USING (minority, majority))""",
+)
 def tomek_links(spark, sf_dir):
     return resample.drop_tomek(scored(spark, sf_dir), NEAR_COLUMNS).select("row_key", "isFraud")
 

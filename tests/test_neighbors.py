@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import kdtree
+from ledgerlens.operators import kdtree, resample
 from ledgerlens.operators.neighbors import nearest, vectors
 
 
@@ -80,3 +80,67 @@ def test_task_size_does_not_grow_with_the_rows(spark):
         placed = kdtree.place(v, v.select(F.col("id").alias("qid"), "x"), 200)
         largest.append(placed.points.groupBy("node").count().agg(F.max("count")).first()[0])
     assert max(largest) <= 200
+
+
+@pytest.fixture
+def mixed(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(90):
+        fraud = i % 6 == 0
+        place = None if i % 9 == 0 else f"p{i % 4}"
+        rows.append((i, float(rng.normal()), None if i % 15 == 0 else int(rng.integers(0, 50)), place, i % 2 == 0, f"text {i}", fraud))
+    return spark.createDataFrame(rows, "row_key bigint, a double, b int, place string, here boolean, note string, isFraud boolean")
+
+
+def test_balanced_table_equals_its_definition(spark, mixed):
+    """Every synthetic row re-derived from the neighbours by brute force."""
+    table = resample.smote_table(mixed, ["a", "b"], ["place", "here"], ratio=1.0, k=3, block_rows=12)
+    assert [f.dataType for f in table.schema.fields[:-1]] == [f.dataType for f in mixed.schema.fields]
+    rows, old = table.where("synthetic = 1").collect(), {r.row_key: r for r in mixed.collect()}
+    assert table.where("synthetic = 0").drop("synthetic").exceptAll(mixed).count() == 0
+    fraud = {k: r for k, r in old.items() if r.isFraud}
+    legit = len(old) - len(fraud)
+    assert sorted(r.row_key for r in rows) == list(range(90, 90 + legit - len(fraud)))
+
+    def around(r):
+        by = sorted(((r.a - o.a) ** 2 + ((r.b or 0) - (o.b or 0)) ** 2, o.row_key) for o in fraud.values() if o is not r)
+        return [old[k] for _, k in by[:3]]
+
+    def vote(values):
+        return max(values, key=lambda v: (values.count(v), -values.index(v)))
+
+    plain = {(r.a,): r for r in resample.smote(mixed, ["a", "b"], ratio=1.0, k=3).collect()}
+    for r in rows:
+        base = fraud[plain[(r.a,)].row_key]
+        assert r.isFraud and r.note is None
+        assert (r.place, r.here) == (vote([o.place for o in around(base)]), vote([o.here for o in around(base)]))
+        bs = [v for v in (base.b, *(o.b for o in around(base))) if v is not None]
+        if r.b is None:  # only where both ends lack it
+            assert base.b is None and any(o.b is None for o in around(base))
+        else:
+            assert min(bs) <= r.b <= max(bs)
+
+
+def test_balanced_table_of_odd_tables(spark, mixed):
+    enough = resample.smote_table(mixed, ["a", "b"], ["place"], ratio=0.1)
+    assert enough.count() == 90 and enough.where("synthetic = 1").count() == 0
+    for few in (mixed.where("row_key = 0 OR NOT isFraud"), mixed.where("NOT isFraud"), mixed.limit(0)):
+        assert resample.smote_table(few, ["a"], ratio=1.0).where("synthetic = 1").count() == 0
+    with pytest.raises(ValueError, match="synthetic"):
+        resample.smote_table(mixed.withColumn("synthetic", F.lit(1)), ["a"])
+
+
+def test_balanced_then_links_removed(spark, mixed):
+    table = resample.smote_table(mixed, ["a", "b"], ["place"], ratio=1.0)
+    links = {r.majority for r in resample.tomek_links(table, ["a", "b"]).collect()}
+    left = resample.smote_tomek(mixed, ["a", "b"], ["place"], ratio=1.0)
+    assert links
+    assert {r.row_key for r in left.collect()} == {r.row_key for r in table.collect()} - links
+
+
+def test_wide_rows(spark):
+    x = np.random.default_rng(8).normal(size=(600, 32)).round(3)
+    v = frame(spark, x)
+    ids = np.arange(600)
+    assert found(nearest(v.where("id % 50 = 0"), v, 2, 16)) == brute(x[::50], x, ids[::50], ids, 2)
