@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.features import with_event_time
 from ledgerlens.functions.scalars import label, location_key, to_time, whole_days
 from ledgerlens.operators.scan import (
+    TooManyGroups,
     chunk_count,
+    order_statistics,
     quantile_edges,
     sampled_edges,
     segmented_scan,
@@ -241,18 +245,30 @@ def label_codes(fitted_on: DataFrame, column: str) -> DataFrame:
 PERCENTILES = [0.01, 0.05, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
+# Groups up to this number are described from selected ranks.
+MAX_REPORT_GROUPS = 20
+
+
 def describe(df: DataFrame, value: str, by: Column | None = None, approximate: bool = False) -> DataFrame:
     """Count, mean, deviation, range and 12 percentiles per group.
 
-    Exact percentiles keep a value→count map per group; ``approximate`` bounds that memory.
+    Percentiles are exact, between the two rows next to each place. For up to ``MAX_REPORT_GROUPS`` groups these rows
+    are selected, all at once, and no task holds a group's values. Beyond, percentiles keep a value→count map per
+    group, each a small share of the table; ``approximate`` bounds that memory.
     """
+    by = by if by is not None else _fraud()
+    if not approximate:
+        try:
+            return _described(df, value, by)
+        except TooManyGroups:
+            pass
     wanted = F.array(*[F.lit(p) for p in PERCENTILES])
     quantiles = (
         F.percentile_approx(value, wanted, F.lit(10_000))
         if approximate
         else F.percentile(value, wanted)
     )
-    grouped = df.groupBy((by if by is not None else _fraud()).alias("label")).agg(
+    grouped = df.groupBy(by.alias("label")).agg(
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
@@ -260,10 +276,42 @@ def describe(df: DataFrame, value: str, by: Column | None = None, approximate: b
         quantiles.alias("_q"),
         F.max(value).alias("max"),
     )
-    named = {f"p{round(p * 100):02d}": F.col("_q")[i] for i, p in enumerate(PERCENTILES)}
+    named = {_percent(p): F.col("_q")[i] for i, p in enumerate(PERCENTILES)}
     return grouped.withColumns(named).drop("_q")
 
 
+def _percent(p: float) -> str:
+    return f"p{round(p * 100):02d}"
+
+
+def _described(df: DataFrame, value: str, by: Column) -> DataFrame:
+    def places(_, n: int) -> list[int]:
+        return [r for p in PERCENTILES for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))]
+
+    stats = [F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std")]
+    groups, at = order_statistics(df, value, places, by=by, stats=stats, max_groups=MAX_REPORT_GROUPS)
+    rows = []
+    for g, row in groups.items():
+        n, quantiles = row["n"], []
+        for p in PERCENTILES if n else ():
+            place = (n - 1) * p
+            low, high = (float(at[g, r].value) for r in (math.floor(place), math.ceil(place)))
+            quantiles.append(low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high)
+        rows.append((g, n, row["mean"], row["std"], row["_low"], row["_high"], *(quantiles or [None] * len(PERCENTILES))))
+    kinds = df.select(by.alias("label"), F.col(value).alias("v")).schema
+    numbers = ["mean", "std", *map(_percent, PERCENTILES)]
+    schema = T.StructType(
+        [
+            T.StructField("label", kinds["label"].dataType),
+            T.StructField("count", T.LongType()),
+            *[T.StructField(c, T.DoubleType()) for c in numbers[:2]],
+            *[T.StructField(c, kinds["v"].dataType) for c in ("min", "max")],
+            *[T.StructField(c, T.DoubleType()) for c in numbers[2:]],
+        ]
+    )
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Equal-width density histogram per label, over that label's own range (last bin closed)."""
     df = df.withColumns({"label": _fraud(), "_v": F.col(value)}).where(F.col("_v").isNotNull())

@@ -7,9 +7,11 @@ the totals of earlier chunks, at most ``MAX_CHUNKS`` rows per segment, are added
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import checkpointed
@@ -141,64 +143,181 @@ def running_total(
 
 # -- order statistics ----------------------------------------------------------
 
+GRID = 2048  # buckets of a pass, cut at approximate quantiles
+PASSES = 20
 
-Bucket = tuple[int, int, int]
 
+class TooManyGroups(ValueError):
+    """More groups than a report has."""
 
-def _histogram(df: DataFrame, value: str, low: int, high: int, buckets: int) -> list[Bucket]:
-    """(low, high, rows) of the non-empty equal-width buckets over [low, high], in order."""
-    width = max(1, -(-(high - low + 1) // buckets))
-    unit = F.lit(width).cast("bigint")
-    offset = F.col(value) - F.lit(low).cast("bigint")
-    counted = (
-        df.where(F.col(value).between(low, high))
-        .groupBy(((offset - F.pmod(offset, unit)) / unit).cast("bigint").alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("b")
-        .collect()  # at most ``buckets`` rows
-    )
-    return [(low + b * width, min(high, low + (b + 1) * width - 1), n) for b, n in counted]
 
+@dataclass
+class Bracket:
+    """Ranks of one group within reach of each other: ``below`` rows come before ``low``, ``rows`` lie in [low, high]."""
 
-def _locate(histogram: list[Bucket], rank: int) -> tuple[int, int, int, int]:
-    """The bucket holding ``rank``: (low, high, rank within it, rows in it)."""
-    for low, high, n in histogram:
-        if rank < n:
-            return low, high, rank, n
-        rank -= n
-    raise ValueError("rank beyond the end of the table")
+    group: Any
+    low: Any
+    high: Any
+    below: int
+    rows: int
+    ranks: list[int]
 
 
-def nth_keys(
+@dataclass(frozen=True)
+class Found:
+    """The row at a rank: its value, how many rows have less, how many the same, and the least tie-breaker of these."""
+
+    value: Any
+    before: int
+    equal: int
+    least: Any
+
+
+def order_statistics(
     df: DataFrame,
-    order: str,
-    tie: str,
-    ranks: Sequence[int],
+    value: str,
+    ranks: Callable[[Any, int], Sequence[int]],
     *,
-    small: int = 50_000,
-    buckets: int = 4096,
+    by: Column | None = None,
+    least: str | None = None,
+    stats: Sequence[Column] = (),
+    small: int = 200_000,
+    buckets: int = GRID,
+    max_groups: int | None = None,
+) -> tuple[dict[Any, Row], dict[tuple[Any, int], Found]]:
+    """Exact values at 0-based ranks of the non-null ``value`` in each group; ``ranks(group, n)`` says which.
+
+    All ranks of all groups are narrowed in the same passes: one for totals and a grid of approximate quantiles, one
+    that counts the rows of every bracket between grid points, one that ranks what is left, at most ``small`` rows a
+    bracket. Larger brackets get a grid of their own first. Counts are exact, so a poor quantile costs a pass, not the
+    result. The driver holds one grid a group: meant for the groups of a report, and ``TooManyGroups`` beyond
+    ``max_groups``.
+
+    Also returns the row of each group from the first pass, with ``n`` and ``stats`` (over the values, ``_v``).
+    """
+    rows = df.select(
+        *[(by if by is not None else F.lit(0)).alias("_g"), F.col(value).alias("_v")],
+        (F.col(least) if least else F.lit(None).cast("bigint")).alias("_t"),
+    )
+    known = rows.where("_v IS NOT NULL")
+    totals = rows.groupBy("_g").agg(
+        F.count("_v").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), _grid(buckets), *stats
+    )
+    first = totals.collect() if max_groups is None else totals.limit(max_groups + 1).collect()
+    if max_groups is not None and len(first) > max_groups:
+        raise TooManyGroups(f"more than {max_groups} groups")
+    groups = {row["_g"]: row for row in first}
+    brackets, grids = [], []
+    for g, row in groups.items():
+        wanted = sorted(set(ranks(g, row["n"]))) if row["n"] else []
+        if wanted and not 0 <= wanted[0] <= wanted[-1] < row["n"]:
+            raise ValueError("rank beyond the end of the table")
+        if wanted:
+            brackets.append(Bracket(g, row["_low"], row["_high"], 0, row["n"], wanted))
+            grids.append(row["_grid"])
+    for _ in range(PASSES):
+        large = [i for i, b in enumerate(brackets) if b.rows > small and b.low < b.high]
+        if not large:
+            break
+        heavy = [brackets[i] for i in large]
+        if grids is None:
+            found = {row["_b"]: row["_grid"] for row in _marked(known, heavy).groupBy("_b").agg(_grid(buckets)).collect()}
+        else:  # the grids of the first pass serve the first cut
+            found = {k: grids[i] for k, i in enumerate(large)}
+        smaller = _narrowed(known, [(b, found[k]) for k, b in enumerate(heavy)], buckets)
+        stuck = sum(b.rows for b in smaller) == sum(b.rows for b in heavy)
+        brackets, grids = [b for i, b in enumerate(brackets) if i not in set(large)] + smaller, None
+        if stuck:
+            break
+    return groups, _ranked(known, brackets)
+
+
+def _grid(buckets: int) -> Column:
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    return F.percentile_approx("_v", shares, F.lit(10_000)).alias("_grid")
+
+
+def _marked(rows: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
+    """The rows of the brackets with the bracket's number ``_b``; brackets of a group do not overlap."""
+    numbers = []
+    for i, b in enumerate(brackets):
+        inside = F.col("_g").eqNullSafe(F.lit(b.group)) & (F.col("_v") >= F.lit(b.low)) & (F.col("_v") <= F.lit(b.high))
+        numbers.append(F.when(inside, F.lit(i)))
+    return rows.withColumn("_b", F.coalesce(*numbers)).where("_b IS NOT NULL")
+
+
+def _narrowed(rows: DataFrame, gridded: Sequence[tuple[Bracket, Sequence]], buckets: int) -> list[Bracket]:
+    """Cut every bracket at the grid points next to its ranks, count the parts and keep those that hold a rank."""
+    cuts = []
+    for b, grid in gridded:
+        near = set()
+        for rank in b.ranks:
+            at = (rank - b.below) * buckets // b.rows - 1  # about (at + 1) / buckets of the rows are up to grid[at]
+            near |= {grid[j] for j in (at - 2, at + 2) if 0 <= j < len(grid)}
+        cuts.append(sorted(v for v in near if b.low < v < b.high))
+    # Parts alternate: the rows between two cuts (even) and the rows equal to a cut (odd).
+    parts = []
+    for i, points in enumerate(cuts):
+        place = sum(((F.col("_v") >= F.lit(v)).cast("int") + (F.col("_v") > F.lit(v)).cast("int") for v in points), F.lit(0))
+        parts.append(F.when(F.col("_b") == i, place))
+    counted = (
+        _marked(rows, [b for b, _ in gridded])
+        .groupBy("_b", F.coalesce(*parts).alias("_part"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        .orderBy("_b", "_part")
+        .collect()
+    )
+    out, below = [], {}
+    for i, _, n, low, high in counted:
+        b = gridded[i][0]
+        start = below.get(i, b.below)
+        below[i] = start + n
+        held = [r for r in b.ranks if start <= r < start + n]
+        if held:
+            out.append(Bracket(b.group, low, high, start, n, held))
+    return out
+
+
+def _ranked(rows: DataFrame, brackets: Sequence[Bracket]) -> dict[tuple[Any, int], Found]:
+    """Equal values are combined, then ranked within their bracket; only the rows at a rank come back."""
+    if not brackets:
+        return {}
+    wanted = [(i, r - b.below) for i, b in enumerate(brackets) for r in b.ranks]
+    asked = F.broadcast(rows.sparkSession.createDataFrame(wanted, "_b int, _rank bigint"))  # the ranks asked for
+    equal = _marked(rows, brackets).groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("least"))
+    upto = F.sum("n").over(Window.partitionBy("_b").orderBy("_v"))
+    ranked = equal.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("n"))
+    hits = ranked.join(asked, "_b").where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
+    out = {}
+    for row in hits.collect():
+        b = brackets[row["_b"]]
+        out[b.group, b.below + row["_rank"]] = Found(row["_v"], b.below + row["_before"], row["n"], row["least"])
+    return out
+
+
+def nth_keys(
+    df: DataFrame, order: str, tie: str, ranks: Sequence[int], *, small: int = 200_000, buckets: int = GRID
 ) -> list[tuple[int, int]]:
     """The rows at the given 0-based ranks by ``(order, tie)``, two integral columns; exact.
 
-    Counts histogram buckets, narrows to the bucket of each rank until at most ``small`` rows remain,
-    then takes the row with a top-k query. Nothing is sorted as a whole, and the driver sees at most
-    ``buckets`` counts per pass.
+    All ranks are found in the same scans by :func:`order_statistics`; the rows that share the time of a cut are then
+    selected by tie-breaker, again all at once. Nothing is sorted as a whole.
     """
-    pairs = df.select(order, tie)
-    low, high = pairs.agg(F.min(order), F.max(order)).first()
-    first_pass = _histogram(pairs, order, low, high, buckets)
+    _, at = order_statistics(df, order, lambda _, n: ranks, least=tie, small=small, buckets=buckets)
+    if any((0, r) not in at for r in ranks):
+        raise ValueError("rank beyond the end of the table")
+    shared: dict[int, set[int]] = {}
+    for r in ranks:
+        hit = at[0, r]
+        if hit.equal > 1 and r > hit.before:
+            shared.setdefault(hit.value, set()).add(r - hit.before)
+    ties = {}
+    if shared:
+        tied = df.where(F.col(order).isin(list(shared)))
+        _, ties = order_statistics(tied, tie, lambda g, _: shared[g], by=F.col(order), small=small, buckets=buckets)
     found = []
-    for rank in ranks:
-        low, high, left, rows = _locate(first_pass, rank)
-        part = pairs
-        for column in (order, tie):
-            if column == tie:
-                low, high = part.agg(F.min(tie), F.max(tie)).first()
-            while rows > small and low < high:
-                low, high, left, rows = _locate(_histogram(part, column, low, high, buckets), left)
-            part = part.where(F.col(column).between(low, high))
-            if rows <= small:
-                break
-        row = part.orderBy(order, tie).offset(left).limit(1).first()
-        found.append((row[0], row[1]))
+    for r in ranks:
+        hit = at[0, r]
+        behind = ties.get((hit.value, r - hit.before))
+        found.append((hit.value, behind.value if behind else hit.least))
     return found
