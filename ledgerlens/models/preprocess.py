@@ -1,19 +1,22 @@
 """Model inputs: one-hot categories with rare values pooled, median-imputed numbers, one vector.
 
 The vocabulary is a table joined by value, not a list on the driver, so a category with very many
-values is handled like any other join. Only the slot count per category reaches the driver.
+values is handled like any other join; one with few is broadcast by its measured size. Only the slot
+count and the size of each category reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.lookup import left_lookup, part_bytes
 from ledgerlens.operators.scan import chunk_count, sampled_edges, segmented_scan
 from ledgerlens.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from ledgerlens.session import checkpointed
@@ -29,6 +32,11 @@ class Preprocessor:
     slots: dict[str, int]
     stages: PipelineModel
 
+    @cached_property
+    def sizes(self) -> dict[str, int]:
+        """Bytes of each category's vocabulary."""
+        return part_bytes(self.vocabulary, "feature", "value")
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``features``. Unseen category values give all zeros."""
         for name in self.categorical:
@@ -37,7 +45,7 @@ class Preprocessor:
             )
             value = F.coalesce(F.col(name).cast("string"), F.lit("unknown"))
             df = (
-                df.join(known, value == F.col("_v"), "left")
+                left_lookup(df, known, value == F.col("_v"), self.sizes.get(name, 0))
                 .withColumn(f"_ix_{name}", F.coalesce(F.col("_s"), F.lit(self.slots[name])).cast("double"))
                 .drop("_v", "_s")
             )

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import label
+from ledgerlens.operators.lookup import left_lookup, part_bytes
 from ledgerlens.schema import ENCODED_ENTITIES
 from ledgerlens.session import checkpointed
 
@@ -21,6 +23,11 @@ class Encoders:
     frauds: int
     rows: int
 
+    @cached_property
+    def sizes(self) -> dict[str, int]:
+        """Bytes of each entity's rates."""
+        return part_bytes(self.rates, "entity", "value")
+
     @property
     def global_rate(self) -> float:
         return self.frauds / self.rows if self.rows else 0.0
@@ -77,8 +84,8 @@ def encoder_apply(
 ) -> DataFrame:
     """``{entity}_fraud_rate``: the fitted rate of the value, else the global rate.
 
-    Unhinted left joins: AQE broadcasts a rate table that is small at run time and splits skewed
-    values otherwise.
+    The rates of an entity with few values are broadcast by their measured size, so rows are never shuffled on such a
+    column; the others are joined by an exchange, whose skewed values AQE splits.
     """
     default = F.lit(encoders.global_rate)
     for entity in entities:
@@ -86,7 +93,7 @@ def encoder_apply(
             F.col("value").alias("_value"), F.col("rate").alias("_rate")
         )
         df = (
-            df.join(rates, F.col(entity).cast("string") == F.col("_value"), "left")
+            left_lookup(df, rates, F.col(entity).cast("string") == F.col("_value"), encoders.sizes.get(entity, 0))
             .withColumn(f"{entity}_fraud_rate", F.coalesce(F.col("_rate"), default))
             .drop("_value", "_rate")
         )
