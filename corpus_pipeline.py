@@ -29,6 +29,9 @@ from ledgerlens.llm.q_pieces import machine
 from ledgerlens.llm.spaced_seeds import overlaps
 from ledgerlens.llm.toxicity import fit_toxicity, score_toxicity
 
+# Word paths a worker keeps in pieces, about 36 MB: the stages before leave less memory than the operator alone has.
+REMEMBERED = 200_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -71,7 +74,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return encode_pieces(docs, machine())
+    return encode_pieces(docs, machine(), remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -185,8 +185,8 @@ class PieceTransducer:
         made.__dict__.update(parts)
         return made
 
-    def encode_many(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """The ids of each text; none for a null or empty text."""
+    def encode_many(self, texts: Sequence[str | None], remembered: int = WORD_MEMO) -> list[np.ndarray]:
+        """The ids of each text; none for a null or empty text. The worker remembers the paths of ``remembered`` words."""
         state = worker_state("pieces")
         if state.get("of") != (len(self.pieces), self.pieces[-1]):
             state.update(of=(len(self.pieces), self.pieces[-1]), memo={}, after_blank={}, pairs={})
@@ -215,7 +215,7 @@ class PieceTransducer:
         def after_blank(word: str) -> bytes:
             path = self._path(BLANK + word, state)
             if len(word) <= 64:
-                if len(blank_memo) >= WORD_MEMO:
+                if len(blank_memo) >= remembered:
                     blank_memo.clear()
                 blank_memo[word] = path
             return path
@@ -270,14 +270,20 @@ class PieceTransducer:
 
 
 def encode_pieces(
-    docs: DataFrame, machine: PieceTransducer, text_col: str = "text", *, decoded: bool = False
+    docs: DataFrame,
+    machine: PieceTransducer,
+    text_col: str = "text",
+    *,
+    decoded: bool = False,
+    remembered: int = WORD_MEMO,
 ) -> DataFrame:
     """``docs`` with ``ids`` (array<int>), ``n_ids`` and ``round_trip``, and ``decoded`` if asked for.
 
     ``round_trip`` says whether decoding the ids gives the text back; a null text counts as empty. A text
     with U+2581 in it does not, as that character stands for a blank. Null and empty texts have no ids.
     Columns of ``docs`` with these names are replaced, all others pass through unchanged; repeated rows
-    stay, an empty table stays empty. The machine travels as a broadcast of the model's size.
+    stay, an empty table stays empty. The machine travels as a broadcast of the model's size. ``remembered``
+    bounds the word paths a worker keeps (about 180 bytes each); it trades memory for time, ids do not change.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vars(machine))
     made = ["ids", "n_ids", "round_trip", *(["decoded"] if decoded else [])]
@@ -290,7 +296,7 @@ def encode_pieces(
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256].copy()
                 texts = [t or "" for t in part[text_col]]
-                ids = made.encode_many(texts)
+                ids = made.encode_many(texts, remembered)
                 back = [made.decode(i) for i in ids]
                 part["ids"] = pd.Series(ids, index=part.index, dtype=object)
                 part["n_ids"] = [len(i) for i in ids]

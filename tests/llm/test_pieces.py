@@ -31,6 +31,11 @@ def test_ids_are_the_library_s(made, library):
     assert [ids.tolist() for ids in made.encode_many(texts)] == library.encode(texts)
 
 
+def test_ids_do_not_depend_on_what_is_remembered(made, library):
+    texts = odd_texts()[:300]
+    assert [ids.tolist() for ids in made.encode_many(texts, 1)] == library.encode(texts)
+
+
 def test_decoding_is_the_library_s(made, library):
     rng = random.Random(8)
     runs = [[rng.randrange(3, 32_000) for _ in range(20)] for _ in range(200)]
