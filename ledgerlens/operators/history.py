@@ -2,7 +2,8 @@
 
 Rows of one entity with the same timestamp never see each other. Counts and sums over a window are
 the difference of two growing frames, so a long window on a busy entity stays linear; money is summed
-in whole 1/10000 units, which makes the difference exact.
+in whole 1/10000 units, which makes the difference exact. A maximum is that of two blocks of time
+(:func:`_sliding_max`), which growing frames give as well.
 
 An entity that holds more than ``spark.ledgerlens.hotKeyRows`` rows is not windowed in one task.
 Its rows are reduced to one point per timestamp and scanned in range chunks (``operators.scan``).
@@ -36,8 +37,6 @@ KINDS = [
 ]
 # Order of an entity's rows: time, history before current, then row order.
 POSITION = "struct(_us, _current, _ord)"
-# A sliding maximum re-reads its window; entities above this many rows take the block method.
-MAX_SLIDING_ROWS = 5_000
 # Hot-key lists up to this length are collected and broadcast.
 LISTED_HOT_KEYS = 100_000
 
@@ -185,6 +184,8 @@ def _cold(
 ) -> DataFrame:
     by_time = Window.partitionBy("_key").orderBy("_us")
     before = by_time.rangeBetween(Window.unboundedPreceding, -1)
+    if sliding_max:
+        rows = _sliding_max(rows, sliding_max)
     measures = _measures(specs)
     windows = sorted({s.micros for s in specs})
     frames = {}
@@ -198,10 +199,6 @@ def _cold(
     if lag:
         frames["_last_us"] = F.max("_us").over(before)
         frames["_first_ord"] = F.min(F.struct("_current", "_ord")).over(by_time.rangeBetween(0, 0))
-    for s in sliding_max:
-        frames[s.name] = F.coalesce(
-            F.max("_amt").over(by_time.rangeBetween(-s.micros, -1)) / float(MONEY_SCALE), F.lit(0.0)
-        )
     rows = rows.withColumns(frames) if frames else rows
     if merchant:
         # Hashing by entity already satisfies this partitioning: one more sort, no exchange.
@@ -210,6 +207,52 @@ def _cold(
     return rows
 
 
+def _block(at: Column, length: int) -> Column:
+    """Number of the block of ``length`` µs that holds ``at``."""
+    width = F.lit(length).cast("bigint")
+    return ((at - F.pmod(at, width)) / width).cast("bigint")
+
+
+def _sliding_max(rows: DataFrame, specs: Sequence[Spec]) -> DataFrame:
+    """Maxima over ``[t - W, t)`` of any length from growing frames: one more sort, no exchange.
+
+    Time is cut into blocks as long as the window, so the window is a tail of one block and a head of the next. A
+    growing maximum of (block, amount) is the head's; seen from the end of time, one of (-block, amount) is the tail's,
+    wanted at the first row in the window. That row follows the last one before the window, which a growing frame
+    finds; where there is none, it is the entity's first row.
+    """
+    lengths = sorted({s.micros for s in specs})
+    us, amount = F.col("_us"), F.col("_amt")
+    forward = Window.partitionBy("_key").orderBy("_us")
+    backward = Window.partitionBy("_key").orderBy(F.col("_us").desc())
+    upto = backward.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns(
+        {f"_tail_{w}": F.max(F.struct((-_block(us, w)).alias("b"), amount.alias("a"))).over(upto) for w in lengths}
+    )
+    at = F.struct("_us", *[f"_tail_{w}" for w in lengths])
+    rows = rows.withColumn("_here", at).withColumn("_next", F.lead("_here").over(forward))
+    seen = forward.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    frames = {"_first": F.min("_here").over(seen)}
+    for w in lengths:
+        # Of rows at one time, the last has the greatest successor.
+        older = F.struct("_us", F.struct(F.col("_next._us"), F.col(f"_next._tail_{w}")).alias("next"))
+        frames[f"_after_{w}"] = F.max(older).over(forward.rangeBetween(Window.unboundedPreceding, -(w + 1)))
+        head = F.struct(_block(us, w).alias("b"), amount.alias("a"))
+        frames[f"_head_{w}"] = F.max(head).over(forward.rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns(frames)
+    peaks = {}
+    for w in lengths:
+        block = _block(us, w)
+        after = F.col(f"_after_{w}")
+        tail = F.when(after.isNull(), F.col(f"_first._tail_{w}")).otherwise(after["next"][f"_tail_{w}"])
+        peaks[w] = F.greatest(
+            F.when(F.col(f"_head_{w}.b") == block, F.col(f"_head_{w}.a")), F.when(tail["b"] == 1 - block, tail["a"])
+        )
+    money = float(MONEY_SCALE)
+    rows = rows.withColumns({s.name: F.coalesce(peaks[s.micros] / money, F.lit(0.0)) for s in specs})
+    return rows.drop("_here", "_next", *frames, *[f"_tail_{w}" for w in lengths])
+
+
 # -- chunked scan for entities too large for one task ------------------------------
 
 
@@ -369,6 +412,7 @@ def history_features(
 ) -> DataFrame:
     """Add one column per spec (and optionally the gap and new-merchant columns) to ``df``.
 
+    An entity above ``hot_rows`` rows is split over tasks; ``max_rows`` lowers that bound where maxima are asked for.
     ``lookback`` rows only feed the windows; at equal times they come before current rows.
     """
     source_columns = df.columns
@@ -383,8 +427,8 @@ def history_features(
     plain = [s for s in specs if s.kind != "amount_max"]
 
     merchant = "merchantName" if new_merchant else None
-    if maxima:
-        limit = min(limit, max_rows or MAX_SLIDING_ROWS)
+    if maxima and max_rows is not None:
+        limit = min(limit, max_rows)
     hot = hot_keys(rows, ["_key"], limit)
     if hot is None:
         rows = _cold(rows, plain, gap, maxima, merchant)

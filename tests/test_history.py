@@ -80,6 +80,34 @@ def test_sliding_maximum_matches_a_loop(spark, max_rows):
     assert {r.row_key: r.m for r in got} == pytest.approx({i: w["max"] for i, w in want.items()})
 
 
+AMOUNT = st.tuples(st.integers(0, 1), st.integers(0, 400), st.integers(-300, 300))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(points=st.lists(AMOUNT, min_size=1, max_size=60))
+def test_maxima_of_several_windows_match_a_loop(spark, points):
+    """Ties, gaps longer than a window, negative amounts, windows that share block edges, on both paths."""
+    hours = (1, 24, 48, 168)
+    df = rows_of(spark, [(a, h_ * HOUR, amount, 0, 0) for a, h_, amount in points])
+    specs = [h.Spec(f"m{w}", "amount_max", f"{w}h") for w in hours] + [h.Spec("n", "velocity", "48h")]
+    for hot_rows in (None, 6):
+        got = h.history_features(df, "accountNumber", specs, hot_rows=hot_rows).collect()
+        assert len(got) == len(points)
+        for row in got:
+            account, at, _ = points[row.row_key]
+            for w in hours:
+                inside = [p[2] / 100 for p in points if p[0] == account and at - w <= p[1] < at]
+                assert row[f"m{w}"] == pytest.approx(max(inside, default=0.0)), (row.row_key, w, hot_rows)
+
+
+def test_maxima_need_no_more_exchanges(spark):
+    specs = h.parametric_specs("amount_max", "accountNumber")
+    df = h.history_features(rows_of(spark, [(0, 0, 1, 0, 0)]), "accountNumber", specs)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Sort [") == 2  # backwards for the tails, then forwards for all the rest
+
+
 def test_rows_do_not_count_themselves(spark):
     got = h.pipeline_history(rows_of(spark, [(0, 0, 1000, 0, 0), (0, HOUR, 2000, 0, 0)])).orderBy("row_key").collect()
     assert [r.txn_count_24h for r in got] == [0, 1] and got[1].txn_amount_sum_24h == 10.0
