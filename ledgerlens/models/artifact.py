@@ -12,12 +12,12 @@ from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.models.isolation import IsolationForest
+from ledgerlens.models.isotonic import IsotonicCalibration, IsotonicTable
 from ledgerlens.models.reconstruction import ReconstructionError
 from ledgerlens.models.training import (
     AnomalyScore,
     Constant,
     FraudModel,
-    IsotonicCalibration,
     MetaModel,
     StackedModel,
     load_model,
@@ -60,6 +60,9 @@ def save_any(spark: SparkSession, model: Any, path: str) -> None:
     elif isinstance(model, IsotonicCalibration):
         facts |= {"score": model.score}
         model.model.write().overwrite().save(f"{path}/model")
+    elif isinstance(model, IsotonicTable):
+        facts |= {"score": model.score}
+        model.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
     elif isinstance(model, Constant):
         facts |= {"rate": model.rate}
     else:
@@ -87,6 +90,8 @@ def load_any(spark: SparkSession, path: str) -> Any:
         return MetaModel(facts["columns"], LogisticRegressionModel.load(f"{path}/classifier"))
     if kind == "IsotonicCalibration":
         return IsotonicCalibration(facts["score"], IsotonicRegressionModel.load(f"{path}/model"))
+    if kind == "IsotonicTable":
+        return IsotonicTable(facts["score"], spark.read.parquet(f"{path}/blocks"))
     if kind == "Constant":
         return Constant(facts["rate"])
     raise ValueError(f"unknown model kind {kind!r} in {path}")

@@ -18,11 +18,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import label
+from ledgerlens.models.isotonic import calibrate_isotonic  # noqa: F401
 from ledgerlens.models.preprocess import Preprocessor, fit_preprocessor
 from ledgerlens.models.registry import ANOMALY, LINEAR, component
 from ledgerlens.operators.encoding import class_weights
@@ -282,27 +282,6 @@ def calibrate_platt(held: DataFrame, score: str = "fraud_probability"):
     return MetaModel([score], LogisticRegression(labelCol="_label", maxIter=100).fit(ready))
 
 
-@dataclass
-class IsotonicCalibration:
-    score: str
-    model: Any
-
-    def transform(self, df: DataFrame, output: str = "calibrated") -> DataFrame:
-        scored = self.model.transform(df.withColumn("_x", F.col(self.score)))
-        return scored.withColumn(output, F.col("_y")).drop("_x", "_y")
-
-
-def calibrate_isotonic(held: DataFrame, score: str = "fraud_probability") -> IsotonicCalibration:
-    """Monotone score map. Rows are reduced to one weighted point per distinct score first."""
-    points = held.groupBy(F.col(score).alias("_x")).agg(
-        F.avg(label(F.col("isFraud"))).alias("_label"), F.count(F.lit(1)).cast("double").alias("_n")
-    )
-    fitted = IsotonicRegression(
-        featuresCol="_x", labelCol="_label", weightCol="_n", predictionCol="_y"
-    ).fit(points)
-    return IsotonicCalibration(score, fitted)
-
-
 # -- persistence -------------------------------------------------------------------
 
 
