@@ -81,7 +81,7 @@ def _dealt(blocks: DataFrame, chunk: int, shift: int) -> DataFrame:
 def isotonic_blocks(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The blocks (``low``, ``high``, ``ones``, ``n``) of the isotonic fit, means rising strictly with the score.
 
-    ``points`` has one row per distinct score ``x``, with its rows ``n`` and those labelled 1, ``ones``. Of two turns
+    ``points`` has one row per distinct score ``x``, with its rows ``n`` and those labelled 1, ``ones``; a score that is null or no number takes no part. Of two turns
     with a falling seam, one at least pools: a seam that stays on a chunk's edge is inside a chunk in the next.
     """
     if chunk < 2:
@@ -92,7 +92,9 @@ def isotonic_blocks(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.col("ones").cast("double").alias("ones"),
         F.col("n").cast("double").alias("n"),
     )
-    blocks = checkpointed(blocks)  # range edges are drawn from a sample, so the rows must not change
+    # Stored first: range edges are drawn from a sample, so the rows must not change, and a filter on a model's score
+    # would be pushed below the model, which then computes it once more for each condition.
+    blocks = checkpointed(blocks).where("low IS NOT NULL AND NOT isnan(low)")
     parts = max(1, -(-blocks.count() // chunk))
     ranged = blocks.repartitionByRange(parts, "low").sortWithinPartitions("low")
     blocks = checkpointed(ranged.mapInPandas(_pool_partition, BLOCKS))
@@ -157,8 +159,7 @@ def calibrate_isotonic(
 
     Rows without a score, or with one that is no number, take no part; a missing label counts as 0.
     """
-    known = held.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    points = known.groupBy(F.col(score).alias("x")).agg(
+    points = held.groupBy(F.col(score).alias("x")).agg(
         F.sum(label(F.col("isFraud"))).alias("ones"), F.count(F.lit(1)).alias("n")
     )
     blocks = isotonic_blocks(points, chunk)
