@@ -107,27 +107,45 @@ def _match(asked: DataFrame, points: DataFrame, need: int) -> DataFrame:
 
 
 def best_of(q: pd.DataFrame, d: pd.DataFrame, need: int) -> pd.DataFrame:
-    """Brute force of queries against one leaf; ``d`` is sorted by id, so a stable sort breaks ties."""
+    """Brute force of queries against one leaf; ``d`` is sorted by id, so ties go to the smaller id.
+
+    A matrix product gives all distances but for its rounding; only rows that this rounding leaves in question for the
+    best ``need`` get their distance summed column by column.
+    """
     empty = pd.DataFrame({"qid": [], "id": [], "distance": []}).astype({"qid": "int64", "id": "int64"})
     if q.empty or d.empty:
         return empty
     data, ids = np.stack(d["x"].to_numpy()), d["id"].to_numpy()
     take, out = min(need, len(ids)), []
+    middle = data.mean(axis=0)
     for start in range(0, len(q), STEP):
         part = q.iloc[start : start + STEP]
-        distance = np.zeros((len(part), len(ids)))
         asked = np.stack(part["x"].to_numpy())
+        row, column = np.nonzero(_in_question(asked - middle, data - middle, take))
+        distance = np.zeros(len(row))
         for j in range(data.shape[1]):
-            distance += (asked[:, j : j + 1] - data[:, j]) ** 2
+            distance += (asked[row, j] - data[column, j]) ** 2
         distance = np.sqrt(distance)
-        order = np.argsort(distance, axis=1, kind="stable")[:, :take]
+        order = np.lexsort((column, distance, row))
+        # Each query has at least ``take`` rows here.
+        first = np.searchsorted(row, np.arange(len(part)))
+        best = order[(first[:, None] + np.arange(take)).ravel()]
         out.append(
             pd.DataFrame(
-                {
-                    "qid": np.repeat(part["id"].to_numpy(), take),
-                    "id": ids[order].ravel(),
-                    "distance": np.take_along_axis(distance, order, axis=1).ravel(),
-                }
+                {"qid": np.repeat(part["id"].to_numpy(), take), "id": ids[column[best]], "distance": distance[best]}
             )
         )
     return pd.concat(out, ignore_index=True)
+
+
+def _in_question(asked: np.ndarray, data: np.ndarray, take: int) -> np.ndarray:
+    """(queries, rows): whether the row can be among the query's ``take`` nearest, for all that rounding may do."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        mine, theirs = (asked * asked).sum(axis=1), (data * data).sum(axis=1)
+        size = mine[:, None] + theirs.max()
+        about = mine[:, None] + theirs - 2 * (asked @ data.T)
+    if not np.isfinite(size).all():
+        return np.ones(about.shape, bool)
+    limit = np.partition(about, take - 1, axis=1)[:, take - 1 : take]
+    # The product's error is below (columns + 4) * 2**-52 * 2 * size, that of the exact sum far less.
+    return about <= limit + 4 * (data.shape[1] + 8) * 2.0**-52 * 2 * size
