@@ -88,3 +88,16 @@ def test_background_is_checked(rows):
     model = fitted(rows, "random_forest", num_trees=2, max_depth=2)
     with pytest.raises(ValueError, match="background"):
         TreeExplainer.of(model, rows.limit(0))
+
+
+def test_largest_of_a_row_are_the_first_of_explain_frame(rows):
+    model = fitted(rows, "random_forest", num_trees=4, max_depth=4)
+    some, explainer = rows.limit(40), TreeExplainer.of(model, rows.where("row_key >= 560"))
+    every = {}
+    for r in explainer.contributions(some).collect():
+        every.setdefault(r.row_key, []).append((-abs(r.value), r.feature, r.value))
+    found = explainer.contributions(some, top=3).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.row_key, set()).add((r.feature, r.value))
+    assert len(found) == 120 and got == {k: {c[1:] for c in sorted(v)[:3]} for k, v in every.items()}
