@@ -9,9 +9,10 @@ from ledgerlens.operators.profile import at_or_above
 
 
 def write_scored(df: DataFrame, path: str, batch_id: int | None = None) -> str:
-    """All enriched rows as JSON lines; a batch writes, and on replay rewrites, its own folder."""
+    """All enriched rows as JSON lines, gzipped (names fill most of a line); a batch writes, and on replay rewrites, its
+    own folder."""
     target = path if batch_id is None else f"{path}/batch={batch_id}"
-    df.write.mode("overwrite").json(target)
+    df.write.mode("overwrite").json(target, compression="gzip")
     return target
 
 
