@@ -73,3 +73,43 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((True, r[0], r[1], r[2], r[3], r[4]) for r in op9_suffix_dedup(spark, path).collect())
     assert got == plain(rows, 50)
+
+
+def test_little_goes_between_blocks(spark, monkeypatch):
+    """Copies within a block are one, texts are not dealt again: far less is shuffled and written than runs have bytes."""
+    kept = []
+    monkeypatch.setattr(R, "checkpointed", lambda df, made=R.checkpointed: kept.append(made(df)) or kept[-1])
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    page = " ".join(word() for _ in range(3000))
+    rows = [(i, page[i:] + str(i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert found(drop_repeats(docs)) == plain(rows, 50)
+    size = sum(len(t) for _, t in rows)
+    written = sum(len(b["data"]) for df in kept for b in df.select("data").collect())
+    assert len(kept) == 1 and written < size / 4
+
+
+def test_equal_signs_of_other_bytes(spark, monkeypatch):
+    """Strings with one hash but other bytes stay apart."""
+    text = np.frombuffer(b"abcabdabcabcabx", np.uint8)
+    begin, size = np.array([0, 3, 6, 9, 12]), np.full(5, 3)
+    same = R.Distinct(text, begin, size, np.zeros(5, np.uint64))
+    assert [same.group[0] == g for g in same.group] == [True, False, True, True, False]
+    assert len(same.head) == 3 and same.group[1] != same.group[4]
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date"])
+def test_ids_of_other_types_in_several_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(R, "BLOCK", 500)
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("abcdé ") for _ in range(90)) for _ in range(9)]
+    rows = [(i, "".join(rng.choice(pool) for _ in range(rng.randint(0, 4)))) for i in range(1, 90)]
+    rows += [(5, pool[0] * 2), (5, pool[0] * 2), (None, pool[1]), (95, None)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    number = "date_add(date'2020-01-01', cast(doc_id as int))" if kind == "date" else "lpad(doc_id, 3, '0')" if kind == "string" else "doc_id"
+    back = "datediff(doc_id, date'2020-01-01')" if kind == "date" else "doc_id"
+    got = drop_repeats(docs.selectExpr(f"cast({number} as {kind}) doc_id", "text"))
+    assert got.schema["doc_id"].dataType.simpleString() == kind
+    assert found(got.selectExpr(f"cast({back} as long) doc_id", "n_bytes", "n_removed", "n_spans", "kept")) == plain(rows, 50)
