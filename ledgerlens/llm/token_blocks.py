@@ -11,11 +11,18 @@ Reading needs one number per part, the ids in all parts before it, to place ever
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import compress
+from string import ascii_lowercase
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,28 +30,56 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import worker_state
 from ledgerlens.llm.range_coder import decode_block, encode_block
 
-BLOCK_IDS = 1 << 20
-MEMO = 300_000
-BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
-ENDS = ".,;:!?"
+BLOCK_IDS = 1 << 21
+MEMO = 600_000
+ENDS = ".,;:!?#%&*$"
+SIMPLE = 0x250  # letters below: Latin, each with one composed form
+GATHER = 1 << 15  # words whose ids are put together at a time
+
+
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gathered(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The parts ``which`` of ``flat`` one after another; ``size`` has the size of each part."""
+    start, parts = np.cumsum(size) - size, [flat[:0]]
+    for k in range(0, len(which), GATHER):
+        some = which[k : k + GATHER]
+        n = size[some]
+        stop = np.cumsum(n)
+        at = np.repeat(start[some] - stop + n, n)
+        at += np.arange(len(at))
+        parts.append(flat.take(at))
+    return np.concatenate(parts)
 
 
 class WordTokenizer:
     """Ids of a tokenizer file that drops white space, found word by word and kept per Python worker.
 
     Such a tokenizer cuts at white space and between letters and ASCII punctuation, so a text's ids are those
-    of its words, and a word of letters with ``ENDS`` after it has those of the letters and of the rest.
+    of its words, and a word of letters with ``ENDS`` after it has those of the letters and of the rest. The
+    library is asked once for each distinct word of a batch. It normalises letter by letter up to ``SIMPLE``, so
+    words of these go to its model, each letter as its normaliser and pre-tokenizer have it.
     """
 
     def __init__(self, json_text: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for every core
         self.tokenizer = Tokenizer.from_str(json_text)
         self.limit = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.cores: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.apart = [t for t in added if t]
+        self.letters: dict[int, str] = {}
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        for letter in filter(str.isalpha, map(chr, range(SIMPLE))):
+            plain = normal.normalize_str(letter) if normal else letter
+            pieces = cut.pre_tokenize_str(plain) if cut else [(plain, None)]
+            if len(plain) == len(pieces) == 1 and plain.isalpha():
+                self.letters[ord(letter)] = pieces[0][0]
+        self.simple = re.compile("[" + "".join(map(chr, self.letters)) + "]+").fullmatch
 
     @staticmethod
     def of(json_text: str) -> WordTokenizer:
@@ -53,43 +88,81 @@ class WordTokenizer:
             state.update(json=json_text, made=WordTokenizer(json_text))
         return state["made"]
 
-    def _library(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _core(self, text: str) -> tuple[int, ...]:
-        found = self.cores.get(text)
-        if found is None:
-            if len(self.cores) >= MEMO:
-                self.cores.clear()
-            found = self.cores[text] = self._library(text)
-        return found
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        core = word.rstrip(ENDS)
-        if core.isalpha() and core.lower().isalpha():  # a letter may become a letter and a mark
-            found = self._core(core.lower() if core.isascii() else core)
-            if len(core) < len(word):
-                found += self._core(word[len(core) :])
-        else:
-            found = self._library(word)
-        if len(word) <= 48:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            self.words[word] = found
-        return found
-
-    def ids(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if any(t in text for t in self.apart):
-            return list(self._library(text))
-        out: list[int] = []
-        known, other = self.words.get, self._word
-        for word in text.translate(BLANKS).split(" "):
-            if word:
-                out += known(word) or other(word)
+    def _library(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, 4 bytes an id."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, words: list[str], plain: bool) -> list[bytes]:
+        """Ids of distinct words; ``plain`` words are of letters alone."""
+        known, simple, letters, model = self.known, self.simple, self.letters, self.tokenizer.model.tokenize
+        # Words of ASCII letters come in lower case.
+        same = all(letters.get(ord(c)) == c for c in ascii_lowercase)
+        out = list(map(known.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        if not missing:
+            return out
+        others = []
+        for k in missing:
+            word = words[k]
+            if not (plain and simple(word)):
+                others.append(k)
+                continue
+            seen = word if same and word.isascii() else word.translate(letters)
+            out[k] = array("I", [t.id for t in model(seen)]).tobytes()
+        for k, ids in zip(others, self._library([words[k] for k in others])):
+            out[k] = ids
+        if len(known) + len(missing) > MEMO:
+            known.clear()
+        known.update((words[k], out[k]) for k in missing[:MEMO] if len(words[k]) <= 48)
         return out
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each of the distinct ``words``, all their ids)."""
+        core = pc.utf8_rtrim(words, characters=ENDS)
+        longer = pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy()
+        coded = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core).dictionary_encode()
+        cores = _strings(coded.dictionary)
+        # A letter may become a letter and a mark when it is lowered.
+        plain = [c.isalpha() and (c.isascii() or c.lower().isalpha()) for c in cores]
+        mask, first = np.array(plain, bool), coded.indices.to_numpy()
+        odd, first = ~mask[first], (np.cumsum(mask) - 1)[first]
+        table = self._ids(list(compress(cores, plain)), True)
+        first[odd] = len(table) + np.arange(int(odd.sum()))
+        whole = _strings(words.filter(pa.array(odd)))
+        table += self._ids(whole, False)
+        ended = ~odd & (longer > 0)
+        ends = [w[-n:] for w, n in zip(_strings(words.filter(pa.array(ended))), longer[ended].tolist())]
+        place = {end: len(table) + k for k, end in enumerate(dict.fromkeys(ends))}
+        table += self._ids(list(place), False)
+        second = np.full(len(words), len(table))
+        second[ended] = [place[end] for end in ends]
+        table.append(b"")
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        both = np.stack([first, second], axis=1)
+        return size[both].sum(axis=1), _gathered(np.frombuffer(b"".join(table), np.uint32), size, both.ravel())
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); null texts have none."""
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for token in self.apart:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        coded = lists.flatten().dictionary_encode()
+        size, flat = self._words(coded.dictionary)
+        which = coded.indices.to_numpy()
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        ids = _gathered(flat, size, which)
+        stops = np.concatenate([[0], np.cumsum(size[which])])[edges]
+        lengths = np.diff(stops)
+        if whole.any():
+            # Texts that hold an added token: by the library alone.
+            at = np.flatnonzero(whole).tolist()
+            more = self._library([texts[k].as_py() for k in at])
+            lengths[at] = [len(m) // 4 for m in more]
+            ids = np.insert(ids, np.repeat(stops[at], lengths[at]), np.frombuffer(b"".join(more), np.uint32))
+        return ids, lengths
+
 
 def write_token_blocks(
     docs: DataFrame,
@@ -109,31 +182,47 @@ def write_token_blocks(
     shipped = docs.sparkSession.sparkContext.broadcast(json_text)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = WordTokenizer.of(shipped.value)
         limit = max(made.limit, end_id + 1)
         part, seq, first = TaskContext.get().partitionId(), 0, 0
-        keys: list = []
+        keys: list[pa.Array] = []
         runs: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal seq, first, held
-            lengths = [len(r) for r in runs]
-            row = (part, seq, first, held, list(keys), lengths, encode_block(np.concatenate(runs), limit))
+            names, lengths = pa.concat_arrays(keys), np.concatenate(sizes)
+            row = {
+                "part": pa.array([part], pa.int32()),
+                "seq": pa.array([seq], pa.int32()),
+                "first": pa.array([first], pa.int64()),
+                "n_ids": pa.array([held], pa.int64()),
+                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
+                "lengths": pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.array(lengths, pa.int64())),
+                "block": pa.array([encode_block(np.concatenate(runs), limit)], pa.binary()),
+            }
             seq, first, held = seq + 1, first + held, 0
-            keys.clear()
-            runs.clear()
-            return pd.DataFrame([row], columns=["part", "seq", "first", "n_ids", "doc_ids", "lengths", "block"])
+            for gathered in (keys, runs, sizes):
+                gathered.clear()
+            return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            numbers = batch["id"].astype(object).where(batch["id"].notna(), None)
-            for key, text in zip(numbers, batch["text"]):
-                ids = made.ids(text)
-                ids.append(end_id)
-                keys.append(key)
-                runs.append(np.array(ids, np.uint32))
-                held += len(ids)
+            if not batch.num_rows:
+                continue
+            ids, lengths = made.encode(batch.column("text"))
+            ids, lengths = np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
+            stops = np.concatenate([[0], np.cumsum(lengths)])
+            at = 0
+            while at < len(lengths):
+                # Documents until the block is full, or all that are left.
+                upto = min(len(lengths), max(at + 1, int(np.searchsorted(stops, stops[at] + BLOCK_IDS - held))))
+                keys.append(batch.column("id").slice(at, upto - at))
+                runs.append(ids[stops[at] : stops[upto]])
+                sizes.append(lengths[at:upto])
+                held += int(stops[upto] - stops[at])
+                at = upto
                 if held >= BLOCK_IDS:
                     yield flush()
         if runs:
@@ -142,7 +231,7 @@ def write_token_blocks(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("sign"))
     ordered = rows.repartitionByRange("id", "sign").sortWithinPartitions("id", "sign", "text")
     schema = f"part int, seq int, first bigint, n_ids bigint, doc_ids array<{kind}>, lengths array<bigint>, block binary"
-    ordered.select("id", "text").mapInPandas(blocks, schema).write.parquet(path)
+    ordered.select("id", "text").mapInArrow(blocks, schema).write.parquet(path)
 
 
 def read_token_blocks(spark: SparkSession, path: str, id_col: str = "doc_id", *, with_ids: bool = False) -> DataFrame:
@@ -181,5 +270,5 @@ def read_token_blocks(spark: SparkSession, path: str, id_col: str = "doc_id", *,
 
 
 def ids_of(texts: Sequence[str | None], json_text: str) -> list[list[int]]:
-    made = WordTokenizer.of(json_text)
-    return [made.ids(t) for t in texts]
+    ids, lengths = WordTokenizer.of(json_text).encode(pa.array(texts, pa.string()))
+    return [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]

@@ -5,6 +5,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -89,3 +90,28 @@ def test_query(spark):
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(tuple(r) for r in op7_token_blocks(spark, path).collect()) == want
+
+
+@pytest.mark.parametrize("gather", [7, 1 << 15])
+def test_library_is_asked_once_for_a_word(monkeypatch, gather):
+    """Batches with nulls, added tokens and slices: the library's ids, asked for distinct words only."""
+    monkeypatch.setattr(token_blocks, "GATHER", gather)
+    library = Tokenizer.from_file(str(JSON))
+    made, asked = token_blocks.WordTokenizer(JSON.read_text()), []
+    monkeypatch.setattr(made, "_library", lambda texts, own=made._library: asked.extend(texts) or own(texts))
+    rng = random.Random(6)
+    words = ["plain", "Plain", "straße,", "ÉTÉ", "x-1", "x-1.", "it's", "end***", "ΑΣ", "中文", "***", "12", "12,", "İi", "ét"]
+    texts = [None, "", " \n ", "a <|endoftext|> b", None, "c<|startoftext|>"]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) + rng.choice(["", " ", "\t"]) for _ in range(300)]
+    rng.shuffle(texts)
+    for part in (pa.array(texts), pa.array(["skipped", *texts])[1:], pa.array(texts[:0], pa.string())):
+        want = [e.ids for e in library.encode_batch([t or "" for t in part.to_pylist()], add_special_tokens=False)]
+        ids, lengths = made.encode(part)
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    once = [t for t in asked if "<|" not in t]
+    assert len(once) == len(set(once)) <= len(words) + 2
+
+
+def test_order_zero_learns_in_early_steps():
+    """A block of one id, short lanes: its ids cost little from the second step on."""
+    assert len(encode_block(np.full(4096, 7), 65_536)) < 400
