@@ -27,11 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import worker_state
+from ledgerlens.llm.common import byte_chunks, worker_state
 from ledgerlens.llm.range_coder import decode_block, encode_block
 
 BLOCK_IDS = 1 << 21
-MEMO = 600_000
+PIECE = 8 << 20  # bytes of texts tokenised at a time, at most, but for longer documents
+MEMO, MEMO_BYTES = 450_000, 24 << 20
 ENDS = ".,;:!?#%&*$"
 SIMPLE = 0x250  # letters below: Latin, each with one composed form
 GATHER = 1 << 15  # words whose ids are put together at a time
@@ -54,6 +55,33 @@ def _gathered(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarr
     return np.concatenate(parts)
 
 
+class _Memo:
+    """Ids of words, kept in Arrow and numpy arrays: some 30 bytes a word, where a dict takes about 200."""
+
+    def __init__(self):
+        self.words, self.size, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, -1 for words that are not kept."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words.cast(words.type)), -1).to_numpy().astype(np.int64)
+
+    def add(self, words: pa.Array, ids: list[bytes]) -> np.ndarray:
+        """Places of new words, which are distinct."""
+        first = len(self.words)
+        self.words = pa.concat_arrays([self.words.cast(words.type), words])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids)) // 4])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
+        return np.arange(first, len(self.words))
+
+    def trim(self, used: np.ndarray) -> None:
+        """Beyond the limits, keep the words at the distinct places ``used`` alone, or none if they are too many."""
+        for some in (used, used[:0]):
+            if len(self.words) <= MEMO and self.words.nbytes + self.size.nbytes + self.flat.nbytes <= MEMO_BYTES:
+                return
+            self.flat = _gathered(self.flat, self.size, some)
+            self.words, self.size = self.words.take(pa.array(some)), self.size[some]
+
+
 class WordTokenizer:
     """Ids of a tokenizer file that drops white space, found word by word and kept per Python worker.
 
@@ -69,7 +97,7 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for every core
         self.tokenizer = Tokenizer.from_str(json_text)
         self.limit = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
+        self.cores, self.others = _Memo(), _Memo()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.apart = [t for t in added if t]
         self.letters: dict[int, str] = {}
@@ -92,54 +120,65 @@ class WordTokenizer:
         """Ids of each text, 4 bytes an id."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, words: list[str], plain: bool) -> list[bytes]:
-        """Ids of distinct words; ``plain`` words are of letters alone."""
-        known, simple, letters, model = self.known, self.simple, self.letters, self.tokenizer.model.tokenize
+    def _model(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words of letters alone."""
+        simple, letters, model = self.simple, self.letters, self.tokenizer.model.tokenize
         # Words of ASCII letters come in lower case.
         same = all(letters.get(ord(c)) == c for c in ascii_lowercase)
-        out = list(map(known.get, words))
-        missing = [k for k, ids in enumerate(out) if ids is None]
-        if not missing:
-            return out
-        others = []
-        for k in missing:
-            word = words[k]
-            if not (plain and simple(word)):
-                others.append(k)
-                continue
-            seen = word if same and word.isascii() else word.translate(letters)
-            out[k] = array("I", [t.id for t in model(seen)]).tobytes()
+        out, others = [], []
+        for word in words:
+            if simple(word):
+                seen = word if same and word.isascii() else word.translate(letters)
+                out.append(array("I", [t.id for t in model(seen)]).tobytes())
+            else:
+                others.append(len(out))
+                out.append(b"")
         for k, ids in zip(others, self._library([words[k] for k in others])):
             out[k] = ids
-        if len(known) + len(missing) > MEMO:
-            known.clear()
-        known.update((words[k], out[k]) for k in missing[:MEMO] if len(words[k]) <= 48)
         return out
 
+    def _whole(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words in ``others``."""
+        place = self.others.find(words)
+        missing = place < 0
+        if missing.any():
+            new = words.filter(pa.array(missing))
+            place[missing] = self.others.add(new, self._library(_strings(new)))
+        return place
+
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each of the distinct ``words``, all their ids)."""
         core = pc.utf8_rtrim(words, characters=ENDS)
         longer = pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy()
         coded = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core).dictionary_encode()
-        cores = _strings(coded.dictionary)
+        place = self.cores.find(coded.dictionary)
+        missing = place < 0
+        new = coded.dictionary.filter(pa.array(missing))
+        names = _strings(new)
         # A letter may become a letter and a mark when it is lowered.
-        plain = [c.isalpha() and (c.isascii() or c.lower().isalpha()) for c in cores]
-        mask, first = np.array(plain, bool), coded.indices.to_numpy()
-        odd, first = ~mask[first], (np.cumsum(mask) - 1)[first]
-        table = self._ids(list(compress(cores, plain)), True)
-        first[odd] = len(table) + np.arange(int(odd.sum()))
-        whole = _strings(words.filter(pa.array(odd)))
-        table += self._ids(whole, False)
+        plain = [c.isalpha() and (c.isascii() or c.lower().isalpha()) for c in names]
+        mask = np.array(plain, bool)
+        missing[missing] = mask
+        if mask.any():
+            place[missing] = self.cores.add(new.filter(pa.array(mask)), self._model(list(compress(names, plain))))
+        first = place[coded.indices.to_numpy()]
+        odd = first < 0
+        whole = self._whole(words.filter(pa.array(odd)))
         ended = ~odd & (longer > 0)
         ends = [w[-n:] for w, n in zip(_strings(words.filter(pa.array(ended))), longer[ended].tolist())]
-        place = {end: len(table) + k for k, end in enumerate(dict.fromkeys(ends))}
-        table += self._ids(list(place), False)
-        second = np.full(len(words), len(table))
-        second[ended] = [place[end] for end in ends]
-        table.append(b"")
-        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        distinct = list(dict.fromkeys(ends))
+        last = self._whole(pa.array(distinct, words.type))
+        of_end = dict(zip(distinct, last.tolist()))
+        # The two memos one after the other, and an entry without ids.
+        size, after = np.concatenate([self.cores.size, self.others.size, [0]]), len(self.cores.size)
+        first[odd] = after + whole
+        second = np.full(len(words), len(size) - 1)
+        second[ended] = after + np.array([of_end[end] for end in ends], np.int64)
         both = np.stack([first, second], axis=1)
-        return size[both].sum(axis=1), _gathered(np.frombuffer(b"".join(table), np.uint32), size, both.ravel())
+        ids = _gathered(np.concatenate([self.cores.flat, self.others.flat]), size, both.ravel())
+        self.cores.trim(place[place >= 0])
+        self.others.trim(np.unique(np.concatenate([whole, last])))
+        return size[both].sum(axis=1), ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); null texts have none."""
@@ -164,6 +203,22 @@ class WordTokenizer:
         return ids, lengths
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The columns of all batches, documents of three quarters of ``PIECE`` bytes of text or more at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+        for part in byte_chunks(sizes.tolist(), PIECE // 4):
+            held.append(batch.slice(part.start, part.stop - part.start))
+            size += int(sizes[part].sum())
+            if size >= PIECE // 4 * 3:
+                yield tuple(pa.concat_arrays([h.column(c) for h in held]) for c in ("id", "text"))
+                held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([h.column(c) for h in held]) for c in ("id", "text"))
+
+
 def write_token_blocks(
     docs: DataFrame,
     path: str,
@@ -208,17 +263,16 @@ def write_token_blocks(
                 gathered.clear()
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, lengths = made.encode(batch.column("text"))
+        for names, texts in _pieces(batches):
+            ids, lengths = made.encode(texts)
+            pa.default_memory_pool().release_unused()  # a worker would keep its largest piece's memory
             ids, lengths = np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
             stops = np.concatenate([[0], np.cumsum(lengths)])
             at = 0
             while at < len(lengths):
                 # Documents until the block is full, or all that are left.
                 upto = min(len(lengths), max(at + 1, int(np.searchsorted(stops, stops[at] + BLOCK_IDS - held))))
-                keys.append(batch.column("id").slice(at, upto - at))
+                keys.append(names.slice(at, upto - at))
                 runs.append(ids[stops[at] : stops[upto]])
                 sizes.append(lengths[at:upto])
                 held += int(stops[upto] - stops[at])

@@ -1,6 +1,7 @@
 """Range-coded token blocks: exact round trips, damage, order and offsets."""
 
 import random
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -115,3 +116,47 @@ def test_library_is_asked_once_for_a_word(monkeypatch, gather):
 def test_order_zero_learns_in_early_steps():
     """A block of one id, short lanes: its ids cost little from the second step on."""
     assert len(encode_block(np.full(4096, 7), 65_536)) < 400
+
+
+def test_a_kept_word_takes_few_bytes(monkeypatch):
+    """A worker keeps hundreds of thousands of words beside others and the executor's heap."""
+    made = token_blocks.WordTokenizer(JSON.read_text())
+    monkeypatch.setattr(made, "_library", lambda texts: [b"\1\0\0\0"] * len(texts))
+    letters, n = "abcdefghij", 100_000
+    text = " ".join("".join(letters[int(c)] for c in str(k)) for k in range(n, 2 * n))
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    made.encode(pa.array([text]))
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert kept < 60 * n
+
+
+@pytest.mark.parametrize("limit", ["MEMO", "MEMO_BYTES"])
+def test_a_full_memo_is_cut_down(monkeypatch, limit):
+    monkeypatch.setattr(token_blocks, limit, 40)
+    library = Tokenizer.from_file(str(JSON))
+    made, rng = token_blocks.WordTokenizer(JSON.read_text()), random.Random(8)
+    for _ in range(60):
+        words = [f"{rng.choice('abé')}{chr(97 + rng.randrange(26))}{rng.choice(['', 'x-1', '.', '!?', '中'])}" for _ in range(rng.randrange(90))]
+        texts = [" ".join(words), None, " ".join(words[::2])]
+        ids, lengths = made.encode(pa.array(texts, rng.choice([pa.string(), pa.large_string()])))
+        want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        for memo in (made.cores, made.others):
+            assert len(memo.words) == len(memo.size) and memo.size.sum() == len(memo.flat)
+            assert len(memo.words) <= token_blocks.MEMO and memo.words.nbytes <= token_blocks.MEMO_BYTES
+
+
+def test_pieces_have_bounded_texts(monkeypatch):
+    """Batches of any size are tokenised in pieces, every document once and in order."""
+    monkeypatch.setattr(token_blocks, "PIECE", 400)
+    rng = random.Random(9)
+    rows = [(k, rng.choice([None, "", "a" * rng.randrange(90)])) for k in range(500)]
+    rows[100] = (100, "long" * 500)
+    cuts = [0, 0, 3, 3, 200, 450, 500]
+    batches = [pa.RecordBatch.from_pydict({"id": [i for i, _ in rows[a:b]], "text": pa.array([t for _, t in rows[a:b]], pa.string())}) for a, b in zip(cuts, cuts[1:])]
+    pieces = [list(zip(i.to_pylist(), t.to_pylist())) for i, t in token_blocks._pieces(iter(batches))]
+    assert [r for piece in pieces for r in piece] == rows
+    sizes = [sum(len(t or "") for _, t in piece) for piece in pieces]
+    assert sorted(sizes)[-2] <= 400 and min(sizes[:-1]) >= 300 and max(sizes) < 2400
