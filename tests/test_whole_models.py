@@ -10,7 +10,7 @@ class Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("name, fit, want", [("train_gbt", "fit_model", ("xgboost",))])
+@pytest.mark.parametrize("name, fit, want", [("train_gbt", "fit_model", ("xgboost",)), ("stacked_model", "fit_stacked", ())])
 def test_no_parameter_shrinks_the_fit(monkeypatch, name, fit, want):
     def asked(train, *args, **params):
         raise Asked(args, params)
@@ -25,3 +25,7 @@ def test_no_parameter_shrinks_the_fit(monkeypatch, name, fit, want):
 def test_own_numbers(spark):
     built = component("xgboost").build()
     assert (built.getMaxIter(), built.getMaxDepth()) == (120, 8)
+    built = component("lightgbm").build()
+    assert (built.getMaxIter(), built.getMaxDepth()) == (120, 6)
+    built = component("tabtransformer").build()
+    assert (built.getNumTrees(), built.getMaxDepth()) == (300, 16)
