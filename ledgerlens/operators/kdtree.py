@@ -26,11 +26,12 @@ SPLIT_SCHEMA = "node bigint, depth int, dims array<int>, cuts array<double>"
 
 @dataclass
 class Placed:
-    """Rows with the leaf they fall in (``node``), and how many rounds the tree took."""
+    """Rows with the leaf they fall in (``node``), how many rounds the tree took, and the splits of each."""
 
     points: DataFrame
-    asked: DataFrame
+    asked: DataFrame | None
     rounds: int
+    splits: list[DataFrame]
 
 
 def cut(x: np.ndarray, depth: int) -> tuple[list[int], list[float]]:
@@ -59,6 +60,20 @@ def cut(x: np.ndarray, depth: int) -> tuple[list[int], list[float]]:
 
 def place(points: DataFrame, asked: DataFrame, leaf_rows: int) -> Placed:
     """Grow a tree over ``points`` (id, x) until leaves hold at most ``leaf_rows`` and put both sides in it."""
+    grown = grow(points, leaf_rows)
+    return Placed(grown.points, walk(asked, grown.splits), grown.rounds, grown.splits)
+
+
+def walk(rows: DataFrame, splits: Sequence[DataFrame]) -> DataFrame:
+    """Put rows in a grown tree."""
+    rows = rows.withColumn("node", F.lit(ROOT).cast("bigint"))
+    for step in splits:
+        rows = _moved(rows, step)
+    return rows
+
+
+def grow(points: DataFrame, leaf_rows: int) -> Placed:
+    """Grow a tree over ``points`` (id, x) until leaves hold at most ``leaf_rows`` and put them in it."""
 
     def split(group: pd.DataFrame) -> pd.DataFrame:
         n = int(group["n"].iloc[0])
@@ -66,17 +81,17 @@ def place(points: DataFrame, asked: DataFrame, leaf_rows: int) -> Placed:
         dims, cuts = cut(np.stack(group["x"].to_numpy()), depth)
         return pd.DataFrame({"node": [group["node"].iloc[0]], "depth": [depth], "dims": [dims], "cuts": [cuts]})
 
-    root = F.lit(ROOT).cast("bigint")
-    points, asked = points.withColumn("node", root), asked.withColumn("node", root)
+    points, rounds = points.withColumn("node", F.lit(ROOT).cast("bigint")), []
     for round_ in range(ROUNDS):
         large = checkpointed(points.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows))
         if large.isEmpty():
-            return Placed(points, asked, round_)
+            break
         drawn = F.pmod(F.xxhash64("id", F.lit(round_)), F.col("n")) < SAMPLE
         sample = points.join(large, "node").where(drawn).select("node", "n", "x")
         splits = checkpointed(sample.groupBy("node").applyInPandas(split, SPLIT_SCHEMA))
-        points, asked = _moved(points, splits), _moved(asked, splits)
-    return Placed(points, asked, ROUNDS)
+        points = _moved(points, splits)
+        rounds.append(splits)
+    return Placed(points, None, len(rounds), rounds)
 
 
 def _moved(rows: DataFrame, splits: DataFrame) -> DataFrame:
@@ -137,7 +152,10 @@ def within_reach(seekers: DataFrame, levels: Sequence[DataFrame]) -> DataFrame:
     )
     found = []
     for depth, level in enumerate(levels):
-        level = F.broadcast(level) if depth == 0 else level  # the root has at most FANOUT children
+        if depth == 0:
+            level = F.broadcast(level)  # the root has at most FANOUT children
+            # Few bytes, but each row is compared with all of these.
+            ahead = ahead.repartition(ahead.sparkSession.sparkContext.defaultParallelism)
         close = gap(F.col("_low"), F.col("_high"), F.col("low"), F.col("high")) <= F.col("reach") * (1 + 1e-9)
         reached = ahead.join(level, F.col("_at") == F.col("parent")).where(close)
         if depth + 1 < len(levels):

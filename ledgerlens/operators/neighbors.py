@@ -10,13 +10,15 @@ neighbour. Missing, not-a-number and infinite components count as 0.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.kdtree import boxes, gap, nodes_by_depth, place, within_reach
+from ledgerlens.operators.kdtree import boxes, gap, grow, nodes_by_depth, walk, within_reach
 from ledgerlens.session import checkpointed
 
 BLOCK_ROWS = 4000  # data rows of a leaf
@@ -37,53 +39,79 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, block_rows: int = BLOCK
 
     Both sides are (id, x) tables; equal distances are ordered by id.
     """
-    need = k + 1  # a query row may find itself
-    copies = Window.partitionBy("x").orderBy("id")
-    numbered = data.withColumn("_n", F.row_number().over(copies))
-    points = checkpointed(numbered.where(F.col("_n") <= need).select("id", "x"))
-    asked = checkpointed(queries.groupBy("x").agg(F.min("id").alias("qid")).select("qid", "x"))
-    best = _search(asked, points, need, block_rows)
-
-    found = queries.join(asked.select("x", "qid"), "x").join(
-        best.withColumnRenamed("id", "neighbor"), "qid"
-    )
-    closest = Window.partitionBy("id").orderBy("distance", "neighbor")
-    return (
-        found.where(F.col("neighbor") != F.col("id"))
-        .withColumn("rank", F.row_number().over(closest))
-        .where(F.col("rank") <= k)
-        .select("id", "neighbor", "distance", "rank")
-    )
-
+    return Index.of(data, k, block_rows).nearest(queries)
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """Rows with a hash of ``x`` to sort by before ``x``: long vectors are then seldom compared."""
+    return rows.withColumn("_h", F.xxhash64("x"))
+
+
+@dataclass
+class Index:
+    """Data rows in the leaves of a tree, for several searches of ``k`` neighbours."""
+
+    k: int
+    width: int
+    points: DataFrame
+    splits: list[DataFrame]
+
+    @classmethod
+    def of(cls, data: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> Index:
+        need = k + 1  # a query row may find itself
+        copies = Window.partitionBy("_h", "x").orderBy("id")
+        numbered = hashed(data).withColumn("_n", F.row_number().over(copies))
+        points = checkpointed(numbered.where(F.col("_n") <= need).select("id", "x"))
+        head = points.select(F.size("x").alias("n")).first()
+        if head is None:
+            return cls(k, 0, points, [])
+        grown = grow(points, max(block_rows, 4 * need))
+        return cls(k, head.n, grown.points, grown.splits)
+
+    @cached_property
+    def levels(self) -> list[DataFrame]:
+        return nodes_by_depth(boxes(self.points, self.width), len(self.splits), self.width)
+
+    def nearest(self, queries: DataFrame) -> DataFrame:
+        queries = hashed(queries)
+        asked = checkpointed(queries.groupBy("_h", "x").agg(F.min("id").alias("qid")).select("qid", "x", "_h"))
+        best = self._search(asked.select("qid", "x"))
+
+        found = queries.join(asked, ["_h", "x"]).select("id", "qid").join(best.withColumnRenamed("id", "neighbor"), "qid")
+        closest = Window.partitionBy("id").orderBy("distance", "neighbor")
+        return (
+            found.where(F.col("neighbor") != F.col("id"))
+            .withColumn("rank", F.row_number().over(closest))
+            .where(F.col("rank") <= self.k)
+            .select("id", "neighbor", "distance", "rank")
+        )
 
-def _search(asked: DataFrame, points: DataFrame, need: int, block_rows: int) -> DataFrame:
-    head = points.select(F.size("x").alias("n")).first()
-    if head is None:
-        return asked.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    width = head.n
-    placed = place(points, asked, max(block_rows, 4 * need))
-
-    # First look: each query against its own leaf. Its worst distance there bounds what can still be nearer.
-    first = _match(placed.asked, placed.points, need)
-    if not placed.rounds:
-        return first
-    first = checkpointed(first)
-    seen = first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
-    reach = F.when(F.col("n") >= need, F.col("far")).otherwise(F.lit(float("inf")))
-    bounded = checkpointed(placed.asked.join(seen, "qid", "left").select("qid", "x", "node", reach.alias("reach")))
-
-    levels = nodes_by_depth(boxes(placed.points, width), placed.rounds, width)
-    seekers = boxes(bounded, width, F.max("reach").alias("reach"))
-    pairs = within_reach(seekers, levels).where(F.col("node") != F.col("other"))
-    near = gap(F.col("x"), F.col("x"), F.col("low"), F.col("high")) <= F.col("reach") * (1 + 1e-9)
-    further = checkpointed(bounded.join(pairs, "node").where(near).select("qid", "x", F.col("other").alias("node")))
-    closest = Window.partitionBy("qid").orderBy("distance", "id")
-    return (
-        first.unionByName(_match(further, placed.points, need))
-        .withColumn("_n", F.row_number().over(closest))
-        .where(F.col("_n") <= need)
-        .drop("_n")
-    )
+    def _search(self, asked: DataFrame) -> DataFrame:
+        need = self.k + 1
+        if not self.width:
+            return asked.sparkSession.createDataFrame([], PAIR_SCHEMA)
+        asked = walk(asked, self.splits)
+
+        # First look: each query against its own leaf. Its worst distance there bounds what can still be nearer.
+        first = _match(asked, self.points, need)
+        if not self.splits:
+            return first
+        first = checkpointed(first)
+        seen = first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+        reach = F.when(F.col("n") >= need, F.col("far")).otherwise(F.lit(float("inf")))
+        bounded = checkpointed(asked.join(seen, "qid", "left").select("qid", "x", "node", reach.alias("reach")))
+
+        seekers = boxes(bounded, self.width, F.max("reach").alias("reach"))
+        pairs = within_reach(seekers, self.levels).where(F.col("node") != F.col("other"))
+        near = gap(F.col("x"), F.col("x"), F.col("low"), F.col("high")) <= F.col("reach") * (1 + 1e-9)
+        further = checkpointed(bounded.join(pairs, "node").where(near).select("qid", "x", F.col("other").alias("node")))
+        closest = Window.partitionBy("qid").orderBy("distance", "id")
+        return (
+            first.unionByName(_match(further, self.points, need))
+            .withColumn("_n", F.row_number().over(closest))
+            .where(F.col("_n") <= need)
+            .drop("_n")
+        )
 
 
 def _match(asked: DataFrame, points: DataFrame, need: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.scalars import label
-from ledgerlens.operators.neighbors import BLOCK_ROWS, nearest, vectors
+from ledgerlens.operators.neighbors import BLOCK_ROWS, Index, nearest, vectors
 from ledgerlens.operators.scan import chunk_count, fixed_edges, segmented_scan
 from ledgerlens.session import checkpointed
 
@@ -156,11 +156,12 @@ def tomek_links(
         df.select(F.col(key).cast("bigint").alias("id"), _is_fraud().alias("_fraud")), "id"
     ))
     points = rows.select("id", "x")
-    ahead = nearest(rows.where("_fraud").select("id", "x"), points, 1, block_rows)
+    index = Index.of(points, 1, block_rows)
+    ahead = index.nearest(rows.where("_fraud").select("id", "x"))
     legit = rows.where("NOT _fraud").select(F.col("id").alias("neighbor"), "x")
     crossing = checkpointed(ahead.join(legit, "neighbor").select(F.col("id").alias("minority"), F.col("neighbor").alias("majority"), "x"))
     asked = crossing.select(F.col("majority").alias("id"), "x").dropDuplicates(["id"])
-    back = nearest(asked, points, 1, block_rows).select(
+    back = index.nearest(asked).select(
         F.col("id").alias("majority"), F.col("neighbor").alias("minority")
     )
     return crossing.select("minority", "majority").join(back, ["minority", "majority"])
